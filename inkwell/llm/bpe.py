@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +46,12 @@ class Vocabulary:
             self.bytes_of[rank] = token
         self.coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(x, "<u4") for x in self.coder.encode_ordinary_batch(words, num_threads=1)]
+        # Native unsigned types of 2 and 4 bytes, little-endian on all hosts of Spark's workers.
+        self.code = "H" if len(self.bytes_of) <= 1 << 16 else "I"
+
+    def packed_ids(self, word: bytes) -> bytes:
+        """Ids of one pre-token, end to end."""
+        return array(self.code, self.coder.encode_ordinary(word.decode("utf-8", "surrogatepass"))).tobytes()
 
 
 _loaded: dict = {}
@@ -77,7 +83,7 @@ def _unpack(raw: bytes, spread: zstandard.ZstdDecompressor) -> list[bytes]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
-    """(key, id column, text hashes, tokens per document, positions, distinct pre-tokens)."""
+    """(key, id column, pre-tokens of each document, distinct pre-tokens in order of occurrence)."""
     split = splitter(pattern)
     for batch in batches:
         texts = batch.column(1).to_pylist()
@@ -87,12 +93,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
             while end < len(texts) and (end == at or chars < BLOCK_CHARS):
                 chars += len(texts[end] or "")
                 end += 1
-            seen: dict[str, int] = {}
-            counts, positions = [], []
-            for text in texts[at:end]:
-                found = split(text) if text else []
-                counts.append(len(found))
-                positions.append(np.array([seen.setdefault(w, len(seen)) for w in found], "<u4"))
+            found = [split(text) if text else [] for text in texts[at:end]]
+            distinct: dict[str, None] = {}
+            for tokens in found:
+                distinct.update(dict.fromkeys(tokens))
             part = batch.slice(at, end - at)
             # The key names the content, so a block that came out otherwise the second
             # time finds no partner and the job fails instead of mixing documents up.
@@ -100,7 +104,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
             for value, text in zip(part.column(0).to_pylist(), texts[at:end], strict=True):
                 key.update(repr(value).encode())
                 key.update(b"\0" if text is None else b"\1" + text.encode("utf-8", "surrogatepass"))
-            yield key.digest(), part.column(0), counts, positions, list(seen)
+            yield key.digest(), part.column(0), found, list(distinct)
             at = end
 
 
@@ -120,7 +124,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for key, _, _, _, words in _blocks(batches, pattern):
+        for key, _, _, words in _blocks(batches, pattern):
             raw = [w.encode("utf-8", "surrogatepass") for w in words]
             to = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in raw), np.int64, len(raw))
             order = np.argsort(to, kind="stable")
@@ -137,14 +141,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 words = _unpack(packed, spread)
                 if len(known) > KEEP:
                     known.clear()
-                new = [w for w in words if w not in known]
-                known.update(zip(new, (x.astype("<u2" if len(coder.bytes_of) <= 1 << 16 else "<u4").tobytes() for x in coder.encode_words([w.decode("utf-8", "surrogatepass") for w in new])), strict=True))
+                for w in words:
+                    if w not in known:
+                        known[w] = coder.packed_ids(w)
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary()), pa.array([which], pa.binary()), pa.array([_pack([known[w] for w in words], squeeze)], pa.binary())], names=["block", "which", "ids"])
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for key, ids, counts, positions, words in _blocks(batches, pattern):
-            flat = np.concatenate(positions) if positions else np.zeros(0, "<u4")
+        for key, ids, found, words in _blocks(batches, pattern):
+            place = dict(zip(words, range(len(words)), strict=True)).__getitem__
+            counts = [len(tokens) for tokens in found]
+            flat = np.fromiter(map(place, chain.from_iterable(found)), "<u4", sum(counts))
             # Low and high bytes apart: the high ones are alike and squeeze well.
             planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             sink = pa.BufferOutputStream()
