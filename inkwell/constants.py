@@ -46,7 +46,7 @@ FEEDBACK_HAUSDORFF = "Hay partes del trazo muy alejadas de la forma correcta."
 CONFIDENCE = 0.55
 AREA_RATIO = (0.0005, 0.60)
 ASPECT_RATIO = (0.20, 5.0)
-OVERLAP = 0.45
+OVERLAP = 0.40
 MAX_BOXES = 50
 WORD_GAP = 1.5
 LINE_TOLERANCE, LINE_LEAST = 0.35, 8.0

@@ -97,11 +97,11 @@ def effective_weights(counts: DataFrame, beta: float = 0.999, raised: Column | N
     return rows.crossJoin(F.broadcast(mean)).withColumn("weight", F.when(raised, weight * factor).otherwise(weight) if raised is not None else weight).drop("_raw", "_mean")
 
 
-def quota(counts: DataFrame, target: Column, enough: int = 100, none: int = 300) -> DataFrame:
-    """Samples to make for each class: ``none`` without any, up to the target under
-    ``enough``, otherwise 0."""
+def quota(counts: DataFrame, stroke: Column, enough: int = 100, none: int = 300, strokes: int = 200) -> DataFrame:
+    """Samples to make for each class: strokes up to their number; ``none`` for a class
+    without any; what is missing to ``enough``; otherwise 0."""
     n = F.coalesce(F.col("n"), F.lit(0))
-    return counts.withColumn("make", F.when(n == 0, F.lit(none)).when(n < enough, F.greatest(target - n, F.lit(0))).otherwise(0))
+    return counts.withColumn("make", F.when(stroke, F.greatest(F.lit(strokes) - n, F.lit(0))).when(n == 0, F.lit(none)).when(n < enough, F.lit(enough) - n).otherwise(0))
 
 
 def weighted_sample(df: DataFrame, weight: str, draws: int, seed: int = 42, cells: int = 64) -> DataFrame:

@@ -195,61 +195,63 @@ def grid(pixels) -> np.ndarray:
     return out
 
 
-def label(mask: np.ndarray) -> np.ndarray:
-    """8-connected components by min-label propagation with pointer jumping; 0 is background."""
-    h, w = mask.shape
-    labels = np.where(mask, np.arange(1, h * w + 1).reshape(h, w), 0)
-    big = h * w + 2
-    while True:
-        padded = np.pad(np.where(mask, labels, big), 1, constant_values=big)
-        least = np.min([padded[1 + a : 1 + a + h, 1 + b : 1 + b + w] for a in (-1, 0, 1) for b in (-1, 0, 1)], axis=0)
-        new = np.where(mask, least, 0)
-        flat = np.r_[0, new.ravel()]
-        while True:
-            jumped = flat[new]
-            if (jumped == new).all():
-                break
-            new = jumped
-            flat = np.r_[0, new.ravel()]
-        if (new == labels).all():
-            return new
-        labels = new
-
-
 def component_sizes(mask: np.ndarray) -> list[int]:
-    found = label(mask)
-    return sorted(np.unique(found[found > 0], return_counts=True)[1].tolist(), reverse=True)
+    """Sizes of the 8-connected components, largest first, by a search over the ink alone."""
+    return sorted(map(len, _search(mask, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])), reverse=True)
+
+
+def _search(mask: np.ndarray, steps: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Components of the ink under the given steps, in order of their first pixel."""
+    todo = dict.fromkeys(map(tuple, np.argwhere(mask).tolist()))
+    out = []
+    while todo:
+        edge, part = [todo.popitem()[0]], []
+        while edge:
+            r, c = edge.pop()
+            part.append((r, c))
+            for a, b in steps:
+                if (near := (r + a, c + b)) in todo:
+                    del todo[near]
+                    edge.append(near)
+        out.append(part)
+    return out
 
 
 def loops(mask: np.ndarray) -> int:
-    """Background components, 8-connected, that don't touch a corner, after dilation by a cross."""
-    wide = mask.copy()
-    wide[1:] |= mask[:-1]
-    wide[:-1] |= mask[1:]
-    wide[:, 1:] |= mask[:, :-1]
-    wide[:, :-1] |= mask[:, 1:]
-    background = label(~np.pad(wide, 1))
-    outer = {int(background[i, j]) for i in (0, -1) for j in (0, -1)}
-    return len(set(np.unique(background).tolist()) - outer - {0})
+    """Background components, 8-connected, that don't touch a corner, after dilation by a cross.
+
+    Counted by Euler's number: with 4-connected ink and 8-connected background it is the
+    components less the holes, and a sum over all 2x2 squares of the padded grid.
+    """
+    wide = np.pad(mask, 2)
+    wide = wide | np.roll(wide, 1, 0) | np.roll(wide, -1, 0) | np.roll(wide, 1, 1) | np.roll(wide, -1, 1)
+    wide = np.pad(wide[2:-2, 2:-2], 1)
+    q = wide.astype(np.int8)
+    total = q[:-1, :-1] + q[1:, :-1] + q[:-1, 1:] + q[1:, 1:]
+    diagonal = (total == 2) & (q[:-1, :-1] == q[1:, 1:])
+    euler = (np.count_nonzero(total == 1) - np.count_nonzero(total == 3) + 2 * np.count_nonzero(diagonal)) // 4
+    return len(_search(wide, [(0, 1), (0, -1), (1, 0), (-1, 0)])) - euler
 
 
 def background_distance(mask: np.ndarray) -> np.ndarray:
-    """Exact distance of each ink pixel to the nearest background pixel."""
+    """Exact distance of each ink pixel to the nearest background pixel; none: 0.
+
+    Rings of growing radius are tried for the pixels that still have none nearer.
+    """
     ink = np.argwhere(mask)
-    out = np.full(len(ink), np.inf)
-    padded_radius = 1
-    while len(ink) and np.isinf(out).any() and padded_radius <= 2 * K.CANVAS:
-        r = padded_radius
-        steps = [(a, b) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r]
-        for i in np.flatnonzero(np.isinf(out)):
-            best = np.inf
-            for a, b in steps:
-                y, x = ink[i][0] + a, ink[i][1] + b
-                if 0 <= y < mask.shape[0] and 0 <= x < mask.shape[1] and not mask[y, x]:
-                    best = min(best, a * a + b * b)
-            out[i] = np.sqrt(best)
-        padded_radius *= 2
-    return np.where(np.isinf(out), 0.0, out)
+    best = np.full(len(ink), np.inf)
+    h, w = mask.shape
+    for r in range(1, h + w):
+        todo = np.flatnonzero(best > r * r)
+        if not len(todo):
+            break
+        for a in range(-r, r + 1):
+            for b in {-r, r} if abs(a) < r else range(-r, r + 1):
+                y, x = ink[todo, 0] + a, ink[todo, 1] + b
+                inside = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+                free = inside & ~mask[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)]
+                best[todo[free]] = np.minimum(best[todo[free]], a * a + b * b)
+    return np.where(np.isinf(best), 0.0, np.sqrt(best))
 
 
 def structural_similarity(x: np.ndarray, y: np.ndarray, window: int = 7) -> float:
@@ -357,10 +359,9 @@ def largest_fragments(pixels: DataFrame, keys: list[str], share: float = 0.3) ->
     def keep(col: pd.Series) -> pd.Series:
         out = []
         for p in col:
-            found = label(grid(p))
-            names, sizes = np.unique(found[found > 0], return_counts=True)
-            good = names[sizes >= share * sizes.max()] if len(sizes) else names
-            out.append([{"row": int(r), "col": int(c)} for r, c in np.argwhere(np.isin(found, good) & (found > 0))])
+            parts = _search(grid(p), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+            least = share * max(map(len, parts), default=0)
+            out.append([{"row": r, "col": c} for part in parts if len(part) >= least for r, c in part])
         return pd.Series(out)
 
     return gather(pixels, keys, "a").select(*keys, F.explode(keep("a")).alias("q")).select(*keys, "q.row", "q.col")

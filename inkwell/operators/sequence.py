@@ -99,35 +99,48 @@ def segment_cosine(glyphs: DataFrame, student: DataFrame, template: DataFrame) -
 
 def banded_dtw(p: np.ndarray, a: np.ndarray, band_ratio: float = K.BAND_RATIO) -> float:
     """Sakoe-Chiba banded DTW over the longer length; 999 if either is empty or no path ends."""
-    n, m = len(p), len(a)
+    return float(banded_dtw_batch(np.asarray(p, float)[None], np.asarray(a, float)[None], band_ratio)[0])
+
+
+def banded_dtw_batch(p: np.ndarray, a: np.ndarray, band_ratio: float = K.BAND_RATIO) -> np.ndarray:
+    """Banded DTW of pairs of equal lengths at once: (pairs, n, 2) against (pairs, m, 2).
+
+    The cells are filled in the order of a single pair's; each step works on all pairs.
+    """
+    pairs, n, m = len(p), p.shape[1], a.shape[1]
     if not n or not m:
-        return K.UNDEFINED
+        return np.full(pairs, K.UNDEFINED)
     band, inf = max(1, int(max(n, m) * band_ratio)), 1e9
-    cost = np.sqrt(((p[:, None].astype(float) - a[None]) ** 2).sum(-1))
-    d = np.full((n, m), np.nan)
+    cost = np.sqrt(((p[:, :, None] - a[:, None]) ** 2).sum(-1)).transpose(1, 2, 0).copy()
+    # A border of infinity stands for the cells that don't exist.
+    d = np.full((n + 1, m + 1, pairs), np.inf)
     for i in range(n):
         for j in range(max(0, i - band), min(m, i + band + 1)):
-            if i == 0 and j == 0:
-                d[0, 0] = cost[0, 0]
-                continue
-            before = [x for x in (d[i - 1, j] if i else np.nan, d[i, j - 1] if j else np.nan, d[i - 1, j - 1] if i and j else np.nan) if x == x]
-            d[i, j] = cost[i, j] + (min(before) if before else inf)
-    end = d[n - 1, m - 1]
-    if end != end:
-        edge = np.concatenate([d[n - 1][~np.isnan(d[n - 1])], d[:, m - 1][~np.isnan(d[:, m - 1])]])
-        end = edge.min() if len(edge) else inf
-        if end >= inf:
-            return K.UNDEFINED
-    return float(end / max(n, m))
+            least = np.minimum(np.minimum(d[i, j + 1], d[i + 1, j]), d[i, j])
+            d[i + 1, j + 1] = cost[i, j] + (0.0 if i == j == 0 else np.where(np.isinf(least), inf, least))
+    end = d[n, m]
+    if np.isinf(end).all():
+        end = np.minimum(d[n, 1:].min(axis=0), d[1:, m].min(axis=0))
+    return np.where(end >= inf, K.UNDEFINED, end / max(n, m))
 
 
 def trajectory_column(p: Column, a: Column) -> Column:
-    """Banded DTW of two arrays of points already ordered, one pair at a time in Arrow batches."""
+    """Banded DTW of two arrays of points already ordered, in Arrow batches; pairs of the
+    same lengths are computed together."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        points = lambda s: np.array([(q["row"], q["col"]) for q in s]) if s is not None else np.zeros((0, 2))
-        return pd.Series([banded_dtw(points(i), points(j)) for i, j in zip(x, y, strict=True)])
+        points = lambda s: np.array([(q["row"], q["col"]) for q in s], float).reshape(-1, 2) if s is not None else np.zeros((0, 2))
+        left, right = [points(s) for s in x], [points(s) for s in y]
+        shapes: dict[tuple[int, int], list[int]] = {}
+        for i, (u, v) in enumerate(zip(left, right, strict=True)):
+            shapes.setdefault((len(u), len(v)), []).append(i)
+        out = np.empty(len(left))
+        for rows in shapes.values():
+            for at in range(0, len(rows), 1024):
+                part = rows[at : at + 1024]
+                out[part] = banded_dtw_batch(np.stack([left[i] for i in part]), np.stack([right[i] for i in part]))
+        return pd.Series(out)
 
     return run(p, a)
 

@@ -378,11 +378,11 @@ def rollup_totals(spark, sf_dir):
 
 
 @add(f"""{SAMPLES}, c AS (SELECT i::INT AS cls, n FROM range(120) r(i) LEFT JOIN (SELECT cls, count(*) AS n FROM samples GROUP BY cls) c ON c.cls = i)
-    SELECT cls, (CASE WHEN coalesce(n, 0) = 0 THEN 300 WHEN n < 100 THEN greatest(150 - n, 0) ELSE 0 END)::BIGINT AS make FROM c""")
+    SELECT cls, (CASE WHEN cls % 20 = 19 THEN greatest(200 - coalesce(n, 0), 0) WHEN coalesce(n, 0) = 0 THEN 300 WHEN n < 100 THEN 100 - n ELSE 0 END)::BIGINT AS make FROM c""")
 def quota(spark, sf_dir):
     counts = V.samples(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("n"))
     every = D.universe(spark, 120).join(counts, "cls", "left")
-    return D.quota(every, F.lit(150)).select("cls", F.col("make").cast("long").alias("make"))
+    return D.quota(every, F.col("cls") % 20 == 19).select("cls", F.col("make").cast("long").alias("make"))
 
 
 @add(f"""WITH letters AS (SELECT ch, sum(n)::BIGINT AS n FROM (SELECT unnest(string_split(text, '')) AS ch, 1 AS n FROM documents) GROUP BY ch), pairs(base, accent) AS (VALUES {", ".join(f"('{b}', '{a}')" for a, b in zip(O.ACCENTED, O.BASES, strict=True))})

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from inkwell.plans import ink, tables
+from inkwell.plans import ink, tables, vision
 
 ROOT = Path(__file__).resolve().parent.parent
 DATA = "/root/testdata/sf0.001"
-NAMES = [*ink.catalogue.queries, *tables.catalogue.queries]
+NAMES = [*ink.catalogue.queries, *tables.catalogue.queries, *vision.catalogue.queries]
 
 
 def test_every_sql_has_its_query():

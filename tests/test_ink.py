@@ -149,6 +149,50 @@ def test_resampling_matches_interpolation(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def plain_loops(mask):
+    wide = {(r + a, c + b) for r, c in np.argwhere(mask).tolist() for a, b in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0))}
+    h, w = mask.shape
+    todo = {(r, c) for r in range(-1, h + 1) for c in range(-1, w + 1)} - {(r, c) for r, c in wide if 0 <= r < h and 0 <= c < w}
+    found = 0
+    while todo:
+        edge, corner = [todo.pop()], False
+        while edge:
+            r, c = edge.pop()
+            corner |= r in (-1, h) and c in (-1, w)
+            near = {(r + a, c + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & todo
+            todo -= near
+            edge += near
+        found += not corner
+    return found
+
+
+@given(st.sets(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=70))
+@settings(max_examples=60, deadline=None)
+def test_loops_match_a_plain_search(points):
+    mask = np.zeros((16, 16), bool)
+    for r, c in points:
+        mask[r, c] = True
+    assert ink.loops(mask) == plain_loops(mask)
+
+
+def plain_dtw(p, a, ratio=0.25):
+    n, m = len(p), len(a)
+    band, d = max(1, int(max(n, m) * ratio)), {}
+    for i in range(n):
+        for j in range(max(0, i - band), min(m, i + band + 1)):
+            before = [d[k] for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if k in d]
+            d[i, j] = math.dist(p[i], a[j]) + (0 if i == j == 0 else min(before) if before else 1e9)
+    end = d.get((n - 1, m - 1), min([v for (i, j), v in d.items() if i == n - 1 or j == m - 1], default=1e9))
+    return 999.0 if end >= 1e9 else end / max(n, m)
+
+
+@pytest.mark.parametrize(("n", "m"), [(1, 1), (5, 5), (20, 13), (64, 64), (3, 20), (20, 3), (64, 50)])
+def test_dtw_matches_the_plain_table(n, m):
+    rng = np.random.default_rng(n * 100 + m)
+    p, a = rng.integers(0, 128, (6, n, 2)).astype(float), rng.integers(0, 128, (6, m, 2)).astype(float)
+    assert sequence.banded_dtw_batch(p, a).tolist() == pytest.approx([plain_dtw(x, y) for x, y in zip(p, a, strict=True)])
+
+
 def test_dtw_of_shifted_sequences():
     p = np.array([(i, 0) for i in range(20)])
     assert sequence.banded_dtw(p, p) == 0
