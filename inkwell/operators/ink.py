@@ -114,11 +114,16 @@ def overlay(glyphs: DataFrame) -> DataFrame:
 
 
 def neighbours(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Each pixel with its number of 8-neighbours, by an equi join on shifted pixels."""
-    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc])
-    shifted = pixels.select(*keys, "row", "col", F.explode(steps).alias("s")).select(*keys, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
-    votes = pixels.select(*keys, "row", "col", F.lit(1).alias("own"), F.lit(0).alias("near")).unionByName(shifted.select(*keys, "row", "col", F.lit(0).alias("own"), F.lit(1).alias("near")))
-    counted = votes.groupBy(*keys, "row", "col").agg(F.max("own").alias("own"), F.sum("near").cast("int").alias("neighbours"))
+    """Each pixel with its number of 8-neighbours, by an aggregate over shifted pixels.
+
+    Pixels are dealt by glyph first: the nine rows that each becomes, and the sums by
+    pixel and by glyph, then stay where they are.
+    """
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
+    votes = pixels.select(*keys, "row", "col").repartition(*keys).select(*keys, "row", "col", F.explode(steps).alias("s"))
+    own = (F.col("s.dr") == 0) & (F.col("s.dc") == 0)
+    votes = votes.select(*keys, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), own.cast("int").alias("own"))
+    counted = votes.groupBy(*keys, "row", "col").agg(F.max("own").alias("own"), (F.count("*") - F.max("own")).cast("int").alias("neighbours"))
     return counted.where("own = 1").drop("own")
 
 
