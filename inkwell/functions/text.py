@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -67,3 +70,29 @@ def colour_band(accuracy: Column, kind: Column) -> Column:
     """high, mid or low by accuracy, with the kind of data; no data has no band."""
     level = F.when(accuracy >= 0.8, "high").when(accuracy >= 0.5, "mid").otherwise("low")
     return F.when(kind == "no_data", F.lit("none")).otherwise(F.concat_ws(":", kind, level))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode's composed form, which Spark has no function for; in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+    return run(text)
+
+
+def class_index(chars: DataFrame, classes: DataFrame, ch: str = "ch") -> DataFrame:
+    """``class_idx`` of each character, as written or composed; null if it has none.
+
+    ``classes`` (class_idx, ch) is the fixed alphabet; of equal characters the first counts.
+    """
+    table = classes.groupBy(F.col("ch").alias("_ch")).agg(F.min("class_idx").alias("class_idx"))
+    composed = F.when(F.col(ch).rlike(r"\p{M}"), nfc(F.col(ch))).otherwise(F.col(ch))
+    return chars.withColumn("_key", composed).join(F.broadcast(table), F.col("_key") == F.col("_ch"), "left").drop("_key", "_ch")
+
+
+def emnist_char(label: Column) -> Column:
+    """Character of a by-class label: digits, then upper, then lower case."""
+    chars = K.DIGITS + K.UPPER.replace("Ñ", "") + K.LOWER.replace("ñ", "")
+    return F.when(label.between(0, len(chars) - 1), F.substring(F.lit(chars), label + 1, F.lit(1)))

@@ -220,3 +220,12 @@ def page_text(chars: DataFrame, page: str = "page_id", char: str = "ch") -> Data
     word = chars.groupBy(page, "line", "word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", char))), lambda x: x[char]), "").alias("text"))
     line = word.groupBy(page, "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "text"))), lambda x: x["text"]), " ").alias("text"))
     return line.groupBy(page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("lines"))
+
+
+def parse_detections(output: DataFrame, values: str = "values", candidates: int = 8400, confidence: float = K.CONFIDENCE) -> DataFrame:
+    """Candidates of a detector's flat output of five rows (cx, cy, w, h, confidence), each
+    of ``candidates`` values; those confident enough, numbered by box_id."""
+    at = lambda k: F.element_at(values, (F.col("box_id") + 1 + k * candidates).cast("int"))
+    rows = output.withColumn("box_id", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+    rows = rows.withColumns({c: at(k) for k, c in enumerate(("cx", "cy", "w", "h", "conf"))})
+    return rows.where(F.col("conf") >= confidence).drop(values)

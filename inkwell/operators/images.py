@@ -110,3 +110,11 @@ def whiten(pixels: DataFrame, target: float = 245.0) -> DataFrame:
 def transpose_flip(pixels: DataFrame) -> DataFrame:
     """Orientation of scanned digits: rows and columns exchanged and values inverted."""
     return pixels.select("img", F.col("col").alias("row"), F.col("row").alias("col"), (255 - F.col("v")).alias("v"))
+
+
+def degenerate(pixels: DataFrame, expected: DataFrame, least_spread: float = 5.0, least_mean: float = 5.0) -> DataFrame:
+    """Images to leave out with the first reason that fits: unreadable (no pixels), flat, dark."""
+    stats = pixels.groupBy("img").agg(F.stddev_pop("v").alias("spread"), F.avg("v").alias("mean"))
+    rows = expected.join(stats, "img", "left")
+    reason = F.when(F.col("mean").isNull(), "unreadable").when(F.col("spread") < least_spread, "flat").when(F.col("mean") < least_mean, "dark")
+    return rows.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("img", "reason")

@@ -90,3 +90,27 @@ def count_errors(pages: DataFrame) -> DataFrame:
         F.sum(F.col("n_gt") - tp).alias("fn"),
         F.sum(F.col("n_pred") - tp).alias("fp"),
     )
+
+
+def low_classes(report: DataFrame, under: float) -> DataFrame:
+    """Sorted classes whose F1 is under a limit, as one list."""
+    return report.agg(F.sort_array(F.collect_list(F.when(F.col("f1") < under, F.col("cls")))).alias("classes"))
+
+
+def detail(predictions: DataFrame, base: DataFrame, k: int = 3) -> DataFrame:
+    """Classes of interest (cls, base): accuracy, F1, support, the k most frequent wrong
+    readings, and the share read as the base class."""
+    wrong = top_wrong(predictions, k).groupBy("true_cls").agg(F.sort_array(F.collect_list(F.struct("rank", "pred_cls", "n"))).alias("wrong"))
+    cells = confusion(predictions)
+    as_base = base.join(cells, (F.col("true_cls") == F.col("cls")) & (F.col("pred_cls") == F.col("base")), "left").select("cls", "base", F.coalesce("n", F.lit(0)).alias("as_base"))
+    rows = as_base.join(class_report(predictions), "cls", "left").join(wrong.withColumnRenamed("true_cls", "cls"), "cls", "left")
+    return rows.select("cls", "base", F.col("recall").alias("accuracy"), "f1", "support", "wrong", (100.0 * F.col("as_base") / F.greatest("support", F.lit(1))).alias("base_pct"))
+
+
+def size_bucket(n: Column) -> Column:
+    """Composition by its number of characters."""
+    return F.when(n == 1, "single").when(n <= 10, "few").when(n <= 32, "many").otherwise("dense")
+
+
+def detection_rate(pages: DataFrame) -> DataFrame:
+    return pages.agg((F.sum("n_pred") / F.greatest(F.sum("n_gt"), F.lit(1))).alias("rate"))

@@ -57,3 +57,21 @@ def band(score: Column, edges: tuple = ((85, "excelente"), (65, "bueno"), (0, "p
 def page_average(rows: DataFrame, page: str, score: str) -> DataFrame:
     """Mean of the positive scores of each page, 0 if there are none, and the counts."""
     return rows.groupBy(page).agg(F.count("*").alias("n_detected"), F.count_if(F.col(score) > 0).alias("n_evaluated"), F.coalesce(F.avg(F.when(F.col(score) > 0, F.col(score))), F.lit(0.0)).alias("avg_score"))
+
+
+def legacy_breakdown(metrics: Column) -> dict[str, Column]:
+    """Components from an older response's map of raw metrics; missing ones count as 0."""
+    get = lambda k: F.coalesce(F.element_at(metrics, k), F.lit(0.0))
+    return {
+        "dt_precision": clamp(get("dt_precision")),
+        "dt_coverage": clamp(get("dt_coverage") * 100.0),
+        "ssim": clamp(get("ssim_score")),
+        "procrustes": clamp(get("procrustes_score")),
+        "hausdorff": F.greatest(F.lit(0.0), 100.0 - K.HAUSDORFF_FACTOR * F.greatest(F.lit(0.0), F.coalesce(F.element_at(metrics, "hausdorff"), F.lit(K.UNDEFINED)) - K.HAUSDORFF_TOLERANCE)),
+        "trajectory": F.greatest(F.lit(0.0), 100.0 - K.TRAJECTORY_FACTOR * F.coalesce(F.element_at(metrics, "trajectory_dist"), F.lit(K.UNDEFINED))),
+    }
+
+
+def response(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """A projection with a default for every missing or null field."""
+    return df.select(*[F.coalesce(F.col(name), value).alias(name) if name in df.columns else value.alias(name) for name, value in defaults.items()])

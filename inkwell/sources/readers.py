@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,3 +150,38 @@ def safe_bytes(content: Column, most: int = 5 * 1024 * 1024) -> Column:
 def from_base64(text: Column) -> Column:
     """Bytes of base64 text; null if it isn't valid."""
     return F.try_to_binary(text, F.lit("base64"))
+
+
+# Packed image sets and reports -----------------------------------------------------------
+
+
+def idx_images(files: DataFrame, size: int = 28) -> DataFrame:
+    """(file, i, image): pictures of IDX files as bytes of size x size, cut in Arrow batches.
+
+    ``files`` comes from ``binaryFile``; a file that isn't such a set gives no rows.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if raw is None or len(raw) < 16 or raw[:4] != b"\x00\x00\x08\x03":
+                    continue
+                n = min(int.from_bytes(raw[4:8], "big"), (len(raw) - 16) // (size * size))
+                for at in range(0, n, 4096):
+                    some = range(at, min(n, at + 4096))
+                    images = [raw[16 + i * size * size : 16 + (i + 1) * size * size] for i in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(list(some), pa.int32()), pa.array(images, pa.binary())], names=["file", "i", "image"])
+
+    return files.select("path", "content").mapInArrow(run, "file string, i int, image binary")
+
+
+def idx_labels(files: DataFrame) -> DataFrame:
+    """(file, i, label) of IDX label files."""
+    body = F.substring("content", 9, 2**31 - 1)
+    rows = files.where(F.hex(F.substring("content", 1, 4)) == "00000801").select(F.col("path").alias("file"), F.posexplode(F.split(F.regexp_replace(F.hex(body), "(..)", "$1,"), ",")).alias("i", "h"))
+    return rows.where("h <> ''").select("file", "i", F.conv("h", 16, 10).cast("int").alias("label"))
+
+
+def missing_classes(report: DataFrame, column: str = "json") -> DataFrame:
+    """Classes that a coverage report lists as missing everywhere."""
+    return report.select(F.explode(F.from_json(F.get_json_object(column, "$.global_missing"), "array<string>")).alias("ch")).distinct()

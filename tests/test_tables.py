@@ -229,3 +229,34 @@ def test_streams(spark, tmp_path):
     assert out[1] == 100 and out[2] == pytest.approx(100 * (1 - (32**0.5 - 5) / 12))
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "a", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.n, r.total) for r in scoring.windowed_counts(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_smaller_rules(spark):
+    px = spark.createDataFrame([(1, 0, 0, 200), (1, 0, 1, 10), (2, 0, 0, 100), (2, 0, 1, 101), (3, 0, 0, 0), (3, 0, 1, 9)], "img int, row int, col int, v int")
+    gone = {r.img: r.reason for r in I.degenerate(px, spark.createDataFrame([(i,) for i in range(1, 5)], "img int")).collect()}
+    assert gone == {2: "flat", 3: "flat", 4: "unreadable"}
+    p = spark.createDataFrame([(0, 0, "a"), (0, 1, "a"), (0, 1, "a"), (1, 1, "a")], "true_cls int, pred_cls int, source string")
+    d = R.detail(p, spark.createDataFrame([(0, 1)], "cls int, base int")).first()
+    assert d.support == 3 and d.base_pct == pytest.approx(200 / 3) and [w.pred_cls for w in d.wrong] == [1]
+    assert R.low_classes(R.class_report(p), 0.6).first().classes == [0, 1]
+    flat = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 0.9, 0.1],)], "values array<double>")
+    box = B.parse_detections(flat, candidates=2).collect()
+    assert [(b.box_id, b.cx, b.h, b.conf) for b in box] == [(0, 1.0, 7.0, 0.9)]
+
+
+def test_classes_of_characters(spark):
+    classes = spark.createDataFrame([(0, "é"), (1, "/"), (2, "/")], "class_idx int, ch string")
+    chars = spark.createDataFrame([("é",), ("é",), ("/",), ("x",)], "ch string")
+    assert sorted((r.ch, r.class_idx) for r in T.class_index(chars, classes).where("class_idx is not null").collect()) == [("/", 1), ("é", 0), ("é", 0)]
+    labels = spark.createDataFrame([(0,), (10,), (36,), (61,), (62,)], "l int").select(T.emnist_char(F.col("l")).alias("c"))
+    assert [r.c for r in labels.collect()] == ["0", "A", "a", "z", None]
+
+
+def test_packed_image_sets(spark, tmp_path):
+    (tmp_path / "images").write_bytes(b"\0\0\x08\x03" + (2).to_bytes(4, "big") + (2).to_bytes(4, "big") * 2 + bytes(range(8)))
+    (tmp_path / "labels").write_bytes(b"\0\0\x08\x01" + (3).to_bytes(4, "big") + bytes([7, 0, 61]))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert [(r.i, bytes(r.image)) for r in readers.idx_images(files, 2).orderBy("i").collect()] == [(0, bytes(range(4))), (1, bytes(range(4, 8)))]
+    assert [r.label for r in readers.idx_labels(files).orderBy("i").collect()] == [7, 0, 61]
+    report = spark.createDataFrame([('{"global_missing": ["a", "b", "a"]}',)], "json string")
+    assert sorted(r.ch for r in readers.missing_classes(report).collect()) == ["a", "b"]
