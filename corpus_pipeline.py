@@ -39,7 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row of the mixture, and the digest of what they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(docs, ranks, pattern), ranks, pattern, keep_ids=True)
+    return bpe.encode_with_digests(docs, ranks, pattern, keep_ids=True)
 
 
 STAGES = [

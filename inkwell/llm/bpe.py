@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-#: Characters after which a block of documents is closed; bounds a worker's memory.
-BLOCK_CHARS = 4_000_000
+from .common import small_batches, text_slices
+
+#: Bytes of text in a block of documents; bounds a worker's memory.
+BLOCK_BYTES = 4_500_000
 #: Encoded pre-tokens that a worker keeps at most; older ones are encoded again if needed.
 KEEP = 1_000_000
 
@@ -86,38 +88,34 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
     """(key, id column, pre-tokens of each document, distinct pre-tokens in order of occurrence)."""
     split = splitter(pattern)
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < BLOCK_CHARS):
-                chars += len(texts[end] or "")
-                end += 1
-            found = [split(text) if text else [] for text in texts[at:end]]
+        for part in text_slices(batch, most=BLOCK_BYTES):
+            texts = part.column(1).to_pylist()
+            found = [split(text) if text else [] for text in texts]
             distinct: dict[str, None] = {}
             for tokens in found:
                 distinct.update(dict.fromkeys(tokens))
-            part = batch.slice(at, end - at)
             # The key names the content, so a block that came out otherwise the second
             # time finds no partner and the job fails instead of mixing documents up.
             key = xxhash.xxh3_128()
-            for value, text in zip(part.column(0).to_pylist(), texts[at:end], strict=True):
+            for value, text in zip(part.column(0).to_pylist(), texts, strict=True):
                 key.update(repr(value).encode())
                 key.update(b"\0" if text is None else b"\1" + text.encode("utf-8", "surrogatepass"))
+            del texts
             yield key.digest(), part.column(0), found, list(distinct)
-            at = end
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, finish: Callable[[pa.Table], pa.Table] | None = None, schema: str = "n_tokens long, ids array<int>") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (array of int).
 
     Every text is encoded whole, without special tokens, as the tiktoken library does
     with the same ranks and pattern; a null text counts as empty and has no ids. Repeated
     rows are encoded like any others; an empty table gives no rows; other columns are not
     read. ``docs`` is scanned twice and must give the same rows in the same order both
-    times, as a table or a checkpoint does.
+    times, as a table or a checkpoint does. ``finish`` may turn each block's rows into
+    others, with the columns of ``schema`` after doc_id, in the worker that has them.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(id_col, text_col)
@@ -187,13 +185,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(values))
         owner = pa.ipc.open_stream(id_column).read_all().column(0).combine_chunks()
         out = pa.table({"doc_id": owner, "n_tokens": pa.array(lengths), "ids": lists})
+        out = finish(out) if finish else out
         # A block that occurs again, with the same rows, has a head of its own each time.
         return pa.concat_tables([out] * len(heads))
 
     asked = source.mapInArrow(requests, "bucket long, block binary, which binary, words binary").repartition("bucket")
     answers = asked.mapInArrow(answer, "block binary, which binary, ids binary").withColumn("head", F.lit(False))
     placed = source.mapInArrow(sequences, "block binary, which binary, ids binary").withColumn("head", F.lit(True))
-    return answers.unionByName(placed).groupBy("block").applyInArrow(assemble, f"doc_id {kind}, n_tokens long, ids array<int>")
+    return answers.unionByName(placed).groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {schema}")
 
 
 def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
@@ -215,24 +214,37 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
     return encoded.mapInArrow(run, schema)
 
 
-def digests(encoded: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of an encoding, decoding every id;
-    with ``keep_ids`` the ids too."""
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def digest_rows(ranks_path: str, pattern: str, keep_ids: bool = False) -> Callable:
+    """Function from (doc_id, n_tokens, ids) in Arrow to the digests of each row's ids, as
+    decimals joined by spaces, and of the bytes that its ids decode to one by one."""
+
+    def run(rows):
         table = vocabulary(ranks_path, pattern).bytes_of
         decimal = [b"%d" % i for i in range(len(table))]
-        for batch in batches:
-            values = batch.column(2)
-            ids_sha, text_sha = [], []
-            offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = flat[a:b].tolist()
-                ids_sha.append(hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest())
-                text_sha.append(hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest())
-            ids_column = {"ids": values} if keep_ids else {}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_tokens": batch.column(1), "ids_sha256": ids_sha, "decoded_sha256": text_sha} | ids_column)
-
-    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, schema)
+        values = rows.column(2).combine_chunks() if isinstance(rows, pa.Table) else rows.column(2)
+        ids_sha, text_sha = [], []
+        offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            ids = flat[a:b].tolist()
+            ids_sha.append(hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest())
+        columns = {"doc_id": rows.column(0), "n_tokens": rows.column(1), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        return type(rows).from_pydict(columns | ({"ids": values} if keep_ids else {}))
+
+    return run
+
+
+def digests(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of an encoding, decoding every id."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    work = digest_rows(ranks_path, pattern)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(lambda batches: map(work, batches), f"doc_id {kind}, {DIGESTS}")
+
+
+def encode_with_digests(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False, **options) -> DataFrame:
+    """``encode`` and ``digests`` in one worker: the ids needn't leave it for their digests."""
+    schema = DIGESTS + (", ids array<int>" if keep_ids else "")
+    return encode(docs, ranks_path, pattern, finish=digest_rows(ranks_path, pattern, keep_ids), schema=schema, **options)

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of about ``most`` bytes in this session, unless it has a limit of its own.
+
+    Spark's own limits, 10,000 rows or 64 MB, are large for whole texts: a batch stands in
+    the JVM's direct memory and in the worker's at once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) == 64 << 20:
+        spark.conf.set(name, str(most))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint that every executor can read."""
     checkpoint_dir(df.sparkSession)
@@ -36,6 +50,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_slices(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each, one row at least.
+
+    Python objects are made of a slice at a time, so a worker's memory doesn't follow the
+    size of Spark's batches.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        limit = (upto[at - 1] if at else 0) + most
+        end = max(at + 1, int(np.searchsorted(upto, limit, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     x = x.astype(np.uint64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, text_or_empty
+from .common import mix64, settle, small_batches, text_or_empty, text_slices
 from .simhash import bit_votes, pack_bits
 
 WORDS = 5
@@ -92,9 +92,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts have the zero fingerprint. Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             fp = weighted_fingerprints(batch.column(1).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hex_digits(fp), pa.string())], names=["doc_id", "fingerprint"])
 
@@ -187,10 +188,11 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = with_next(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     placed = rows.repartition("bucket").sortWithinPartitions("bucket", "guest", "doc_id", "tie")
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 3)):
             columns = [batch.column(k).to_pylist() for k in range(4)]
             ids, texts, following = [], [], []
             for row in zip(*columns, strict=True):

@@ -15,12 +15,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Feistel, running_start, settle, text_or_empty
+from .common import WORD, Feistel, running_start, settle, small_batches, text_or_empty, text_slices
 
 
 def capped_shares(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -133,7 +132,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     begin = F.greatest(F.col("start"), F.col("block") * F.col("length"))
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("length"))
     parts = parts.select("row", "doc_id", "number", "block", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
-    picks = parts.join(taken, ["number", "block"]).select("shard", "slot", "row", "doc_id", "first", "words")
+    # Spark takes the slots for as small as the counts they come from, so the join is named.
+    picks = parts.join(taken.hint("merge"), ["number", "block"]).select("shard", "slot", "row", "doc_id", "first", "words")
     return rows.select("doc_id", "row", "source", "size", "source_size", "target"), picks
 
 
@@ -143,20 +143,28 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The text is that part's words with the white space between them as it was; the id and
     the other columns are the document's; ``chars_col``, if present, is counted anew.
     """
+    small_batches(docs.sparkSession)
     _, picks = mix(docs, id_col=id_col, text_col=text_col, **options)
     ranges = picks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_ranges"))
     word = re.compile(WORD)
 
-    @F.pandas_udf("array<string>")
-    def cut(texts, ranges):
-        def one(text, wanted):
-            spans = [m.span() for m in word.finditer(text or "")]
-            return [text[spans[r["first"]][0] : spans[r["first"] + r["words"] - 1][1]] for r in wanted]
-
-        return pd.Series([one(t, r) for t, r in zip(texts, ranges, strict=True)])
+    columns = docs.columns
+    at = columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in text_slices(whole, at, 2 << 20)):
+            owner, parts = [], []
+            for i, (text, wanted) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)):
+                bounds = np.array([m.span() for m in word.finditer(text)], np.int64)
+                owner += [i] * len(wanted)
+                parts += [text[bounds[r["first"], 0] : bounds[r["first"] + r["words"] - 1, 1]] for r in wanted]
+            rows = batch.select(columns).take(pa.array(owner, pa.int64()))
+            rows = rows.set_column(at, text_col, pa.array(parts, rows.schema.field(at).type))
+            if chars_col in columns:
+                k = columns.index(chars_col)
+                rows = rows.set_column(k, chars_col, pa.array([len(p) for p in parts], rows.schema.field(k).type))
+            yield rows
 
     key = F.xxhash64(F.col(id_col), F.xxhash64(text_or_empty(text_col)))
     joined = docs.withColumn("_row", key).join(ranges.withColumnRenamed("row", "_row"), "_row")
-    parts = joined.withColumn("_part", F.explode(cut(F.col(text_col), F.col("_ranges"))))
-    replaced = {text_col: F.col("_part")} | ({chars_col: F.length("_part").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
-    return parts.withColumns(replaced).select(*docs.columns)
+    return joined.select(*docs.columns, "_ranges").mapInArrow(cut, docs.schema)

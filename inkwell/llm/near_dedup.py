@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, small_batches, text_slices
 from .components import components
 from .simhash import bit_votes, majority_fingerprints, pack_bits, shingle_hashes
 
@@ -37,7 +37,7 @@ def fingerprint_rows(docs: DataFrame, words: int, second: bool, id_col: str = "d
     """(doc_id, fp, fp2): fingerprints of whole texts; fp2 is a second, independent one or 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             texts = batch.column(1).to_pylist()
             first = majority_fingerprints(texts, words)
             other = _second_fingerprints(texts, words) if second else np.zeros(len(texts), np.uint64)
@@ -308,6 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2:
     shingles of five words: ``radius`` bits of the first fingerprint, and ``radius2``
     of both, so that unrelated texts, 32 of 64 bits apart on average, aren't joined.
     """
+    small_batches(docs.sparkSession)
     rows = settle(fingerprint_rows(docs, words, radius2 >= 0, id_col, text_col))
     points = settle(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id")))
     roots = settle(components(settle(links(points.select("fp", "fp2"), radius, radius2, full=full))))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, small_batches, text_slices
 
 DIMENSIONS = 4096
 #: The last dimensions are kept for word relations and shapes.
@@ -132,9 +132,10 @@ def grade(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: float = 0.
     unless it is under ``keep``. Whole texts are read; a null text counts as empty.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             texts = batch.column(1).to_pylist()
             tails = np.concatenate([model.tails(np.stack([features(t) for t in texts[i : i + 256]])) for i in range(0, len(texts), 256)]) if texts else np.zeros((0, len(model.thresholds)))
             tail = tails[:, least - 1]
@@ -146,9 +147,10 @@ def grade(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: float = 0.
 def keep_selected(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``grade`` selects, all columns as they were."""
     kinds = docs.schema
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, whole.schema.get_field_index(text_col))):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             ok = [model.tails(features(t)[None])[0, least - 1] >= keep for t in texts]
             yield batch.filter(pa.array(ok, pa.bool_()))

@@ -68,7 +68,7 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return bpe.encode_with_digests(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op10_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Feistel, running_start, settle, text_or_empty
+from .common import Feistel, running_start, settle, small_batches, text_or_empty, text_slices
 
 #: Token ids: the byte values, then two marks.
 END, PAD = 256, 257
@@ -41,6 +41,7 @@ def training_sequences(docs: DataFrame, stride: int = 1024, shard_slots: int = 8
     begun = settle(running_start(sizes, "all", ["doc_id", "hash"], [], "start"))
     total = begun.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
     spark = docs.sparkSession
+    small_batches(spark)
     schema = "slot long, shard long, byte_offset long, doc_id " + docs.schema[id_col].dataType.simpleString() + ", part long, n_tokens int, crc32 long, tokens binary"
     if not total:
         return spark.createDataFrame([], schema)
@@ -51,7 +52,7 @@ def training_sequences(docs: DataFrame, stride: int = 1024, shard_slots: int = 8
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             ids, owner, parts, pieces, numbers = batch.column(0), [], [], [], []
             for i, (raw, start, copies, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True)):
                 for copy in range(copies):

@@ -49,7 +49,11 @@ def test_digests(spark):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = [(r[0], len(x := coder.encode_ordinary(r[1] or "")), sha(" ".join(map(str, x)).encode()), sha((r[1] or "").encode())) for r in rows]
     assert got == sorted(want, key=str)
+    both = bpe.encode_with_digests(frame(spark, rows), RANKS, PATTERN, keep_ids=True).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in both), key=str) == got
+    assert all(len(r.ids) == r.n_tokens for r in both)
     assert bpe.encode(frame(spark, []), RANKS, PATTERN).count() == 0
+    assert bpe.encode_with_digests(frame(spark, []), RANKS, PATTERN).count() == 0
 
 
 def test_blocks_are_cut_by_size(spark, monkeypatch):
