@@ -132,7 +132,7 @@ def pack_into(sizes: list[int], bins: int) -> list[int]:
     return best_fit_decreasing(sizes, low)
 
 
-def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, grain: int = 256, cell_rows: int = 20_000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, grain: int = 256, cell_rows: int = 2_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot.
 
     Give either ``shards`` (their sizes come out near equal) or ``capacity`` in bytes
