@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     spark = docs.sparkSession
     table = F.broadcast(spark.createDataFrame([(s["number"], s["source"], s["size"], float(s["target"]), s["length"]) for s in sources], "number int, name string, source_size long, target double, length long"))
     rows = base.join(table, F.col("source").eqNullSafe(F.col("name")))
-    rows = settle(running_start(rows, "size", ["doc_id", "row"], ["number"], "start"))
+    rows = settle(running_start(rows, "size", ["doc_id", "row"], ["number"], "start", cell_rows=2_000))
     shard_slots = shard_slots or max(4096, -(-sum(s["quota"] for s in sources) // 20_000))
     counts = draw_counts([s["quota"] for s in sources], shard_slots, seed)
     before = np.vstack([np.zeros((1, len(sources)), np.int64), np.cumsum(counts, axis=0)]) if len(counts) else counts
