@@ -2,12 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 
 
+#: Links of a checkpointed part at least, where there are fewer than Spark's partitions.
+ROWS_PER_PART = 200_000
+
+
+def _forest(links: DataFrame) -> DataFrame:
+    """Of each part's links only what connects the same nodes: from each to its least one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 5 * ROWS_PER_PART:
+                yield reduced(held)
+                held, size = [], 0
+        if held:
+            yield reduced(held)
+
+    def reduced(held: list) -> pa.RecordBatch:
+        pairs = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in held], axis=1)
+        names, at = np.unique(pairs, return_inverse=True)
+        a, b = at.reshape(pairs.shape)
+        label = np.arange(len(names))
+        while True:
+            new = label.copy()
+            least = np.minimum(label[a], label[b])
+            for end in (a, b, label[a], label[b]):
+                np.minimum.at(new, end, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], names=["u", "v"])
+
+    return links.mapInArrow(run, links.schema)
+
+
 def _tally(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first())
 
@@ -36,8 +78,14 @@ def components(edges: DataFrame) -> DataFrame:
     oriented = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = settle(oriented)
     tally = _tally(now)
+    if tally[0] and dict(now.dtypes)["u"] in ("int", "bigint"):
+        # Rounds move each link again and again; a group of copies has many more than it needs.
+        now = settle(_forest(now.coalesce(tally[0] // ROWS_PER_PART + 1)).distinct())
+        tally = _tally(now)
     while tally[0]:
-        now = settle(_small_star(settle(_large_star(now).where("u <> v").distinct())).distinct())
+        # A round has at most as many rows as the one before, so a few go to few files.
+        after_round = _small_star(_large_star(now).where("u <> v").distinct()).distinct()
+        now = settle(after_round.coalesce(tally[0] // ROWS_PER_PART + 1))
         if (after := _tally(now)) == tally:
             break
         tally = after

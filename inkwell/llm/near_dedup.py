@@ -171,41 +171,58 @@ def _flips(bits: list[int], threshold: int) -> list[int]:
     return [_signed(sum(1 << b for b in chosen)) for k in range(threshold + 1) for chosen in itertools.combinations(bits, k)]
 
 
-def _probes(points: DataFrame, scheme: list[tuple[list[int], int]]) -> DataFrame:
-    """(part, key, own, fp, fp2): own rows are the index, the others come from neighbours."""
+def _probes(points: DataFrame, scheme: list[tuple[list[int], int]], by: str) -> DataFrame:
+    """(part, key, own, fp, fp2): own rows are the index, the others come from neighbours
+    of the fingerprint ``by``."""
     def entry(k: int, bits: list[int], threshold: int):
         flips = F.array(*[F.lit(f) for f in _flips(bits, threshold)])
-        return F.transform(flips, lambda f, i: F.struct(F.lit(k).alias("part"), _key(bits, F.col("fp")).bitwiseXOR(f).alias("key"), (i == 0).alias("own")))
+        return F.transform(flips, lambda f, i: F.struct(F.lit(k).alias("part"), _key(bits, F.col(by)).bitwiseXOR(f).alias("key"), (i == 0).alias("own")))
 
     entries = [entry(k, bits, t) for k, (bits, t) in enumerate(scheme)]
     return points.select("fp", "fp2", F.explode(F.concat(*entries)).alias("p")).select("p.part", "p.key", "p.own", "fp", "fp2")
 
 
-def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links between index rows and all rows of one bucket, as few as keep it connected."""
+def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2: int, by: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links between index rows and all rows of one bucket, as few as keep it connected: from
+    each row of a component to its least fingerprint, which other buckets name too."""
+    first, other = (fp, fp2) if by == "fp" else (fp2, fp)
 
     def linked(a, b):
-        near = np.bitwise_count(fp[a][:, None] ^ fp[b][None]).astype(np.int32)
+        near = np.bitwise_count(first[a][:, None] ^ first[b][None]).astype(np.int32)
         ok = near <= radius
         if radius2 >= 0:
-            ok &= near + np.bitwise_count(fp2[a][:, None] ^ fp2[b][None]) <= radius2
+            ok &= near + np.bitwise_count(other[a][:, None] ^ other[b][None]) <= radius2
         return ok
 
     index, everyone = np.flatnonzero(own), np.arange(len(fp))
     out = []
-    free = np.ones(len(fp), bool)
-    if len(index) * len(fp) <= 1 << 16:
-        a, b = np.nonzero(linked(index, everyone))
+    if len(index) * len(fp) <= 1 << 20:
+        # A pair is found from both sides, in the bucket of either; the one of the smaller
+        # fingerprint counts, so a neighbour's probe need only be compared if it is larger.
+        a, b = np.nonzero(linked(index, everyone) & (own[None] | (fp[None] > fp[index][:, None])))
         a, keep = index[a], index[a] != b
         if not keep.any():
             return out
-        if keep.sum() <= 4 * len(fp):
-            return [(fp[a[keep]], fp[b[keep]])]
+        # Labels in order of the fingerprints, so that a component's is its least one.
+        names, at = np.unique(fp, return_inverse=True)
+        a, b, label = at[a[keep]], at[b[keep]], np.arange(len(names))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, least)
+            np.minimum.at(new, b, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return [(names[moved], names[label[moved]])]
+    free = np.ones(len(fp), bool)
     for start in index:
         if not free[start]:
             continue
         free[start] = False
-        frontier = np.array([start])
+        frontier, members = np.array([start]), [np.array([start])]
         while len(frontier) and free.any():
             rest = np.flatnonzero(free)
             hit = np.zeros(len(rest), bool)
@@ -214,15 +231,16 @@ def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2
                 if not len(todo):
                     break
                 hit[todo] = linked(rest[todo], frontier[at : at + 64]).any(axis=1)
-            new = rest[hit]
-            free[new] = False
-            if len(new):
-                out.append((fp[new], np.full(len(new), fp[start])))
-            frontier = new
+            frontier = rest[hit]
+            free[frontier] = False
+            members.append(frontier)
+        if len(members) > 1:
+            found = np.unique(fp[np.concatenate(members)])
+            out.append((found[1:], np.full(len(found) - 1, found[0])))
     return out
 
 
-def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int) -> DataFrame:
+def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int, by: str) -> DataFrame:
     """(a, b) links of all buckets; a bucket's rows lie in one partition, side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +254,7 @@ def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int) -> Da
             found = []
             for at, n in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                 s = slice(at, at + n)
-                found += _star(fp[s], fp2[s], own[s], radius, radius2)
+                found += _star(fp[s], fp2[s], own[s], radius, radius2, by)
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -260,7 +278,7 @@ def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int) -> Da
     return placed.mapInArrow(run, "a long, b long")
 
 
-def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int, full: int) -> DataFrame:
+def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int, by: str, full: int) -> DataFrame:
     """Links of buckets with over ``full`` rows, none lost.
 
     For radius 2 without a second check: two fingerprints differ by two bits at most if
@@ -278,26 +296,34 @@ def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int,
     cut = rows.join(sizes, ["part", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", "fp2"), "blocks"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select("part", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "own", "fp", "fp2")
-    return _verify(spread, ["part", "key", "b1", "b2"], radius, radius2)
+    return _verify(spread, ["part", "key", "b1", "b2"], radius, radius2, by)
 
 
-def links(points: DataFrame, radius: int, radius2: int = -1, part_counts: tuple[int, ...] | None = None, full: int = 4096) -> DataFrame:
+def links(points: DataFrame, radius: int, radius2: int = -1, part_counts: tuple[int, ...] | None = None, full: int | None = None) -> DataFrame:
     """(a, b): links that connect all of ``points`` (distinct fp, fp2) within the radius.
 
-    ``radius2`` also bounds the distance over both fingerprints together (-1: none).
+    ``radius2`` (-1: none) also bounds the distance over both fingerprints together; a pair
+    is then linked if either fingerprint is within the radius, each being probed.
     """
     part_counts = part_counts or tuple(m for m in (2, 3, 4, 6, 8) if m <= radius + 2)
-    scheme = plan(points, radius, part_counts)
-    probes = _probes(points, scheme)
+    # Neighbours' probes make up most of a bucket at larger radii, and cost less than its own.
+    full = full or (4096 if radius <= 2 else 32_768)
+    found = [_links_by(points, by, radius, radius2, part_counts, full) for by in (("fp",) if radius2 < 0 else ("fp", "fp2"))]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _links_by(points: DataFrame, by: str, radius: int, radius2: int, part_counts: tuple[int, ...], full: int) -> DataFrame:
+    scheme = plan(points.select(F.col(by).alias("fp")), radius, part_counts)
+    probes = _probes(points, scheme, by)
     sizes = settle(probes.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > full))
     if sizes.isEmpty():
-        return _verify(probes, ["part", "key"], radius, radius2)
+        return _verify(probes, ["part", "key"], radius, radius2, by)
     usual = probes.join(sizes, ["part", "key"], "left_anti")
     crowded = probes.join(sizes.select("part", "key"), ["part", "key"], "left_semi")
-    return _verify(usual, ["part", "key"], radius, radius2).unionByName(_full_buckets(crowded, sizes, radius, radius2, full))
+    return _verify(usual, ["part", "key"], radius, radius2, by).unionByName(_full_buckets(crowded, sizes, radius, radius2, by, full))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2: int = 26, id_col: str = "doc_id", text_col: str = "text", full: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2: int = 26, id_col: str = "doc_id", text_col: str = "text", full: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest id of its class).
 
     Classes are the components of links between fingerprints; equal texts, rows with the
@@ -305,8 +331,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2:
     whose fingerprint is zero like any text's without words. A null id takes part and
     gets its class's smallest id, null if there is none. Texts are read whole; other
     columns aren't read. The defaults find a similarity of about 0.8 or more over
-    shingles of five words: ``radius`` bits of the first fingerprint, and ``radius2``
-    of both, so that unrelated texts, 32 of 64 bits apart on average, aren't joined.
+    shingles of five words: ``radius`` bits of either fingerprint, and ``radius2``
+    of both together, so that unrelated texts, 32 of 64 bits apart on average, aren't joined.
     """
     small_batches(docs.sparkSession)
     rows = settle(fingerprint_rows(docs, words, radius2 >= 0, id_col, text_col))

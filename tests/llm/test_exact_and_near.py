@@ -118,6 +118,22 @@ def test_links_of_random_points_match_brute_force(spark):
         assert {frozenset(g) for g in got.values()} == set(want)
 
 
+@pytest.mark.parametrize("full", [4096, 16])
+def test_both_fingerprints_count(spark, full):
+    rows = chains(random.Random(5), 25) + documents(20)
+    texts = [r[1] for r in rows]
+    one, two = simhash.majority_fingerprints(texts, 5), near_dedup._second_fingerprints(texts, 5)
+    d1 = np.bitwise_count(one[:, None] ^ one[None]).astype(int)
+    d2 = np.bitwise_count(two[:, None] ^ two[None]).astype(int)
+    linked = ((d1 <= 6) | (d2 <= 6)) & (d1 + d2 <= 15) | (d1 == 0)
+    label = np.arange(len(rows))
+    while (new := np.where(linked, label[None], len(rows)).min(axis=1)).tolist() != label.tolist():
+        label = new
+    want = sorted(((r[0], min((rows[j][0] for j in np.flatnonzero(label == label[i]) if rows[j][0] is not None), default=None)) for i, r in enumerate(rows)), key=str)
+    out = near_dedup.near_duplicates(frame(spark, rows), words=5, radius=6, radius2=15, full=full).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == want
+
+
 def test_thresholds_add_up_and_cost_least():
     costs = [{-1: 0, 0: 5, 1: 50}, {-1: 0, 0: 1, 1: 3}, {-1: 0, 0: 9, 1: 90}]
     assert near_dedup.allocate(costs, 3) == [0, 1, -1]
