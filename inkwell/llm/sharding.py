@@ -118,24 +118,49 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(sizes: list[int], bins: int) -> list[int]:
-    """Best-fit-decreasing with the least capacity (by bisection) that needs ``bins`` bins at most."""
+    """Best-fit-decreasing into ``bins`` bins, near equal but for items that can't be.
+
+    An item over the mean of what is left gets a bin of its own, largest first, so that its
+    size isn't the capacity of the others. The rest go by the least capacity (by bisection)
+    that needs the other bins at most. No bin stays empty if there are items enough.
+    """
     if not sizes:
         return []
-    low = max(max(sizes), -(-sum(sizes) // bins))
-    high = max(low, 2 * low)
+    out, order, left, alone = [0] * len(sizes), sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sum(sizes), 0
+    while alone < len(order) and sizes[order[alone]] * (bins - alone) > left:
+        left -= sizes[order[alone]]
+        out[order[alone]] = alone
+        alone += 1
+    rest, room = order[alone:], bins - alone
+    if not rest:
+        return out
+    few = [sizes[i] for i in rest]
+    low = max(few[0], -(-left // room))
+    high = 2 * low
     while low < high:
         middle = (low + high) // 2
-        if max(best_fit_decreasing(sizes, middle)) < bins:
+        if max(best_fit_decreasing(few, middle)) < room:
             high = middle
         else:
             low = middle + 1
-    return best_fit_decreasing(sizes, low)
+    held: list[list[int]] = [[] for _ in range(room)]
+    for i, b in zip(rest, best_fit_decreasing(few, low), strict=True):
+        held[b].append(i)
+    for b in range(room):
+        if not held[b] and (several := [x for x in held if len(x) > 1]):
+            full = max(several, key=lambda x: sum(sizes[i] for i in x))
+            held[b], full[:] = full[1::2], full[::2]
+    for b, items in enumerate(held):
+        for i in items:
+            out[i] = alone + b
+    return out
 
 
 def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, grain: int = 256, cell_rows: int = 2_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot.
 
-    Give either ``shards`` (their sizes come out near equal) or ``capacity`` in bytes
+    Give either ``shards`` (their sizes come out near equal, but for a group over the mean
+    of what is left, which has a shard to itself) or ``capacity`` in bytes
     (the fewest shards that best fit finds; a group over it gets its own). Size is the
     UTF-8 bytes of the text plus ``overhead``; a null text counts as empty. Rows of equal
     text stay together. Slots run from 0 without gaps in each shard, in an order that

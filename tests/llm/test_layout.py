@@ -59,6 +59,34 @@ def test_shards_are_even_whole_and_numbered(spark, extra):
     assert max(rest) - min(rest) < 0.05 * max(rest)
 
 
+@pytest.mark.parametrize("share", [0.03, 0.05, 0.1, 0.34])
+def test_a_hot_group_leaves_the_other_bins_even(share):
+    rng = random.Random(13)
+    sizes = [rng.randrange(500, 1500) for _ in range(10_240)]
+    sizes.append(int(sum(sizes) * share / (1 - share)))
+    load = Counter()
+    for size, b in zip(sizes, sharding.pack_into(sizes, 40), strict=True):
+        load[b] += size
+    rest = sorted(load.values())[:-1]
+    assert sorted(load) == list(range(40)) and max(rest) < 1.01 * min(rest)
+
+
+@given(st.lists(st.integers(1, 1000), min_size=1, max_size=60), st.integers(1, 12))
+@settings(max_examples=80, deadline=None)
+def test_no_bin_stays_empty(sizes, bins):
+    assert set(sharding.pack_into(sizes, bins)) == set(range(min(bins, len(sizes))))
+
+
+def test_shards_beside_a_hot_group_are_even(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 30), None, "a", 1) for i in range(800)] + [(9000 + i, "one hot text " * 18, None, "a", 1) for i in range(400)]
+    size = Counter()
+    for r in sharding.assign_shards(frame(spark, rows), shards=8).collect():
+        size[r.shard] += r.size
+    rest = sorted(size.values())[:-1]
+    assert sorted(size) == list(range(8)) and max(rest) < 1.05 * min(rest)
+
+
 def test_shards_of_a_capacity(spark):
     rows = [(i, "x" * (50 + i), None, "a", 1) for i in range(100)]
     out = sharding.assign_shards(frame(spark, rows), capacity=1000).collect()
