@@ -12,6 +12,10 @@ all bits; what remains are links, and components of links are the classes.
 A bucket's links are reduced to a spanning set where they are found, so a large group
 of near copies gives rows in proportion to its members, not to its pairs. Buckets over
 ``full`` members go another, exact way: see ``_full_buckets``.
+
+A fingerprint only estimates likeness. Where a Jaccard similarity is asked for, the classes
+above are no more than groups of candidates, and links are the pairs in them whose shingle
+sets are that similar: see ``shingle_sets``.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, small_batches, text_slices
 from .components import components
+from .shingle_sets import digest_of, set_links, set_rows
 from .simhash import bit_votes, majority_fingerprints, pack_bits, shingle_hashes
 
 BITS = 64
@@ -47,6 +52,23 @@ def fingerprint_rows(docs: DataFrame, words: int, second: bool, id_col: str = "d
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long, fp2 long")
 
 
+def fingerprint_and_set_rows(docs: DataFrame, words: int, second: bool, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, fp2, digest): also 128 bits of the set of shingles, each hashed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in text_slices(whole)):
+            texts = batch.column(1).to_pylist()
+            hashes = [shingle_hashes(text, words) for text in texts]
+            n = np.array([len(h) for h in hashes], np.int64)
+            first = pack_bits(2 * bit_votes(np.concatenate(hashes), n) > n[:, None])
+            other = _second_fingerprints(texts, words) if second else np.zeros(len(texts), np.uint64)
+            digests = pa.array([digest_of(np.unique(h)) for h in hashes], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first.view(np.int64)), pa.array(other.view(np.int64)), digests], names=["doc_id", "fp", "fp2", "digest"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long, fp2 long, digest binary")
+
+
 def _second_fingerprints(texts: list, words: int) -> np.ndarray:
     out = []
     for text in texts:
@@ -323,7 +345,7 @@ def _links_by(points: DataFrame, by: str, radius: int, radius2: int, part_counts
     return _verify(usual, ["part", "key"], radius, radius2, by).unionByName(_full_buckets(crowded, sizes, radius, radius2, by, full))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2: int = 26, id_col: str = "doc_id", text_col: str = "text", full: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2: int = 26, id_col: str = "doc_id", text_col: str = "text", full: int | None = None, jaccard: float | None = None, **blocks) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest id of its class).
 
     Classes are the components of links between fingerprints; equal texts, rows with the
@@ -333,8 +355,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2:
     columns aren't read. The defaults find a similarity of about 0.8 or more over
     shingles of five words: ``radius`` bits of either fingerprint, and ``radius2``
     of both together, so that unrelated texts, 32 of 64 bits apart on average, aren't joined.
+
+    With ``jaccard``, such links only name candidates: classes are the components of pairs
+    among them whose sets of shingles have at least that similarity, ``blocks`` being options
+    of ``set_links``. Rows with the same fingerprint then share a class only if their sets
+    do; rows with the same set always do.
     """
     small_batches(docs.sparkSession)
+    if jaccard is not None:
+        return _verified(docs, words, radius, radius2, id_col, text_col, full, jaccard, blocks)
     rows = settle(fingerprint_rows(docs, words, radius2 >= 0, id_col, text_col))
     points = settle(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id")))
     roots = settle(components(settle(links(points.select("fp", "fp2"), radius, radius2, full=full))))
@@ -344,8 +373,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2:
     return rows.join(classes, ["fp", "fp2"]).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def _verified(docs: DataFrame, words: int, radius: int, radius2: int, id_col: str, text_col: str, full: int | None, jaccard: float, blocks: dict) -> DataFrame:
+    rows = settle(fingerprint_and_set_rows(docs, words, radius2 >= 0, id_col, text_col))
+    points = settle(rows.groupBy("fp", "fp2", "digest").agg(F.min("doc_id").alias("first_id")))
+    prints = settle(points.select("fp", "fp2").distinct())
+    roots = settle(components(settle(links(prints, radius, radius2, full=full))))
+    named = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = settle(named.groupBy("root", "digest").agg(F.min("first_id").alias("first_id")))
+    several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    asked = settle(members.join(several, "root"))
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = asked.select(F.col("first_id").alias("_id")).distinct()
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    sets = set_rows(texts, words, "doc_id", "text").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = settle(sets.withColumn("node", F.monotonically_increasing_id()))
+    groups = settle(asked.join(sets.select("digest", "node").hint("merge"), "digest").select("root", "node"))
+    found = settle(components(settle(set_links(groups, sets.select("node", "shingles"), jaccard, **blocks))))
+
+    # A set that no other is like is a class of its own.
+    firsts = points.groupBy("digest").agg(F.min("first_id").alias("first_id"))
+    linked = sets.select("digest", "node").join(found.hint("merge"), "node").select("digest", "root")
+    classes = firsts.join(linked.hint("merge"), "digest", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.hex("digest")))
+    classes = settle(classes.select("digest", "class", "first_id"))
+    least = classes.groupBy("class").agg(F.min("first_id").alias("component_id"))
+    classes = classes.join(least.hint("merge"), "class").select("digest", "component_id")
+    return rows.join(classes.hint("merge"), "digest").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", jaccard: float | None = 0.8, **options) -> DataFrame:
     """``docs`` with the row of the smallest id of each class, all columns as they were."""
-    found = near_duplicates(docs, id_col=id_col, **options)
+    found = near_duplicates(docs, id_col=id_col, jaccard=jaccard, **options)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(settle(keep), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")

@@ -156,6 +156,68 @@ def test_near_drop_finds_copies_and_keeps_the_rest(spark):
     assert near_dedup.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def jaccard(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / max(len(a | b), 1)
+
+
+def shared_part(rng, k, changed):
+    """A text of 200 words, and one that differs in a run of ``changed`` of them."""
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(200)]
+    return " ".join(words), " ".join([*words[: 100 - changed], *[f"n{k}x{i}" for i in range(changed)], *words[100:]])
+
+
+def test_near_drop_keeps_texts_under_the_similarity(spark):
+    rng = random.Random(15)
+    rows, want = [], set()
+    for i in range(60):
+        one, two = shared_part(rng, i, (14, 24, 32, 40)[i % 4])
+        rows += [(i, one, "en", "a", 1), (1000 + i, two, "en", "a", 1)]
+        want |= {i} | ({1000 + i} if jaccard(one, two) < 0.8 else set())
+    middle = [jaccard(rows[k][1], rows[k + 1][1]) for k in range(0, 120, 2)]
+    assert sum(0.6 <= j < 0.8 for j in middle) >= 40 and sum(j >= 0.8 for j in middle) >= 10
+    # Equal votes, other sets: the repeated line decides every bit of the fingerprints.
+    line = "one two three four five " * 400
+    rows += [(5000 + i, line + " ".join(f"u{i}x{k}" for k in range(100)), "en", "a", 1) for i in range(4)]
+    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert kept == want | {5000, 5001, 5002, 5003}
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 7}, {"block_bytes": 6000}])
+def test_verified_classes_match_brute_force(spark, blocks):
+    rng = random.Random(16)
+    rows = chains(rng, 8) + [r for r in documents(20) if r[0] is not None]
+    base = [f"t{rng.randrange(4000)}" for _ in range(150)]
+    for i in range(70):
+        words = list(base)
+        for _ in range(i // 9):
+            words[rng.randrange(150)] = f"c{rng.randrange(40)}"
+        rows.append((9000 + i, " ".join(words), "en", "a", 1))
+    docs = frame(spark, rows, extra=True)
+    coarse = near_dedup.near_duplicates(docs).collect()
+    text, group = defaultdict(set), defaultdict(set)
+    for r in rows:
+        text[r[0]].add(r[1] or "")
+    assert all(len(t) == 1 for t in text.values())
+    for r in coarse:
+        group[r.component_id].add(r.doc_id)
+    assert max(map(len, group.values())) > 40
+    want = {}
+    sets = {i: set(simhash.shingle_hashes(next(iter(t)), 5).tolist()) for i, t in text.items()}
+    for ids in group.values():
+        todo = set(ids)
+        while todo:
+            found = edge = {todo.pop()}
+            while edge:
+                edge = {i for i in todo if any(sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) for j in edge)}
+                todo -= edge
+                found = found | edge
+            want |= dict.fromkeys(found, min(found))
+    out = near_dedup.near_duplicates(docs, jaccard=0.8, **blocks).collect()
+    assert sorted((r.doc_id, r.component_id) for r in out) == sorted((r[0], want[r[0]]) for r in rows)
+    assert len({r.component_id for r in out}) > len(group)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 104), (7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
