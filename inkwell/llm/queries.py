@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fingerprints, language_id, mixing, near_dedup, quality, sharding, token_output, toxicity
+from .common import checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,9 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.training_sequences(table(spark, sf_dir, "documents"))
+    """The shard files are written below the checkpoint folder; the rows are read back from them."""
+    sequences = token_output.training_sequences(table(spark, sf_dir, "documents"))
+    return token_output.through_shards(sequences, f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

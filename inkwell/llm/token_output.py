@@ -85,16 +85,76 @@ def training_sequences(docs: DataFrame, stride: int = 1024, shard_slots: int = 8
     return placed.mapInArrow(widen, schema)
 
 
+def _store(folder: str):
+    """(file system, path) of a folder given as a path or a URI, also as Hadoop prints one."""
+    from pyarrow import fs
+
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
+def through_shards(sequences: DataFrame, folder: str, shard_slots: int = 8192) -> DataFrame:
+    """``sequences`` with tokens and crc32 as read back from the shard files, which are written first.
+
+    ``sequences`` must be as ``training_sequences`` gives them, a shard's rows side by side in
+    the order of slots; other orders fail. Files are ``shard-<n>.bin`` in ``folder``, which all
+    executors share, each written under a name of the attempt's own and then renamed.
+    """
+    schema = sequences.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _store(folder)
+        system.create_dir(root, recursive=True)
+        shard, out, temp, held, width = None, None, "", [], 0
+
+        def read_back() -> Iterator[pa.RecordBatch]:
+            out.close()
+            path = f"{root}/shard-{shard:08d}.bin"
+            system.move(temp, path)
+            with system.open_input_file(path) as source:
+                for rows in held:
+                    tokens = []
+                    for offset in rows.column("byte_offset").to_pylist():
+                        source.seek(offset)
+                        tokens.append(source.read(width))
+                    made = {"tokens": pa.array(tokens, pa.binary()), "crc32": pa.array([zlib.crc32(t) for t in tokens], pa.int64())}
+                    yield pa.RecordBatch.from_arrays([made[c] if c in made else rows.column(c) for c in schema.names], names=schema.names)
+
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if at == end:
+                    continue
+                if shards[at] != shard:
+                    if out is not None:
+                        yield from read_back()
+                    shard, held = int(shards[at]), []
+                    temp = f"{root}/.part-{shard}-{os.getpid()}-{uuid.uuid4().hex}"
+                    out = system.open_output_stream(temp)
+                part, done = batch.slice(at, end - at), sum(rows.num_rows for rows in held)
+                if (part.column("slot").to_numpy() != shard * shard_slots + done + np.arange(end - at)).any():
+                    raise ValueError(f"the rows of shard {shard} are not in the order of their slots")
+                tokens = part.column("tokens").to_pylist()
+                width = len(tokens[0])
+                out.write(b"".join(tokens))
+                held.append(part.drop_columns(["tokens", "crc32"]))
+        if out is not None:
+            yield from read_back()
+
+    return sequences.mapInArrow(run, schema)
+
+
 def write_shards(sequences: DataFrame, folder: str) -> DataFrame:
     """Write ``shard-<n>.bin`` files into ``folder``, which all executors share; run at once.
 
     A shard is written under a name of the attempt's own and then renamed, so a task that
     is run again leaves the same file. Returns (shard, path, slots, bytes).
     """
-    from pyarrow import fs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, root = _store(folder)
         system.create_dir(root, recursive=True)
         state = {"shard": None, "out": None, "n": 0, "bytes": 0, "temp": ""}
 

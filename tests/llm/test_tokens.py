@@ -1,13 +1,14 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from inkwell.llm import bpe, token_output
-from inkwell.llm.common import Feistel, running_start
+from inkwell.llm import bpe, queries, token_output
+from inkwell.llm.common import Feistel, checkpoint_dir, running_start
 
 from .cases import documents, frame
 
@@ -107,5 +108,24 @@ def test_sequences_fill_every_slot_and_rebuild_the_texts(spark, extra, tmp_path)
         assert raw[:128] == by_slot[f.shard * 50] and raw[-128:] == by_slot[f.shard * 50 + f.slots - 1]
 
 
+def test_the_query_writes_the_shard_files(spark, tmp_path):
+    docs = frame(spark, documents(25))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("training-*/*"))
+    got = queries.op1_training_order(spark, str(tmp_path)).collect()
+    files = {p.name: p.read_bytes() for p in set(shared.glob("training-*/*")) - before}
+    assert sorted(files) == [f"shard-{n:08d}.bin" for n in range(len(files))] and sum(map(len, files.values())) == 2048 * len(got)
+    assert all(files[f"shard-{r.shard:08d}.bin"][r.byte_offset : r.byte_offset + 2048] == r.tokens for r in got)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, token_output.training_sequences(docs).collect()), key=str)
+
+
+def test_rows_come_back_from_the_shard_files(spark, tmp_path):
+    out = token_output.training_sequences(frame(spark, documents(25)), stride=64, shard_slots=50)
+    got = token_output.through_shards(out, f"{tmp_path}/own", shard_slots=50).collect()
+    assert len(set(r.shard for r in got)) > 5 and sorted(map(tuple, got), key=str) == sorted(map(tuple, out.collect()), key=str)
+    assert b"".join(p.read_bytes() for p in sorted(Path(tmp_path, "own").iterdir())) == b"".join(r.tokens for r in sorted(got, key=lambda r: r.slot))
+
+
 def test_sequences_of_nothing(spark):
     assert token_output.training_sequences(frame(spark, [])).count() == 0
