@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import heavy_count, settle
 
 
 #: Links of a checkpointed part at least, where there are fewer than Spark's partitions.
@@ -54,15 +54,29 @@ def _tally(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``edges`` with ``m`` of their ``u``; ``least`` has (x, m, n), n being the edges of x.
+
+    Hubs, at most a thousand as each has over a thousandth of all edges, are broadcast, so
+    that none of them draws its edges into one task.
+    """
+    heavy = heavy_count(2 * total)
+    if 2 * total <= heavy:
+        return edges.join(least, F.col("u") == F.col("x"))
+    hubs = F.broadcast(least.where(F.col("n") > heavy))
+    usual = edges.join(hubs, F.col("u") == F.col("x"), "left_anti").join(least.where(F.col("n") <= heavy).hint("merge"), F.col("u") == F.col("x"))
+    return edges.join(hubs, F.col("u") == F.col("x")).unionByName(usual)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-    joined = edges.join(least, F.col("u") == F.col("x"))
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("x"), "m", "n")
+    joined = _with_least(edges, least, total)
     moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
 
@@ -84,7 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
         tally = _tally(now)
     while tally[0]:
         # A round has at most as many rows as the one before, so a few go to few files.
-        after_round = _small_star(_large_star(now).where("u <> v").distinct()).distinct()
+        after_round = _small_star(_large_star(now, tally[0]).where("u <> v").distinct(), tally[0]).distinct()
         now = settle(after_round.coalesce(tally[0] // ROWS_PER_PART + 1))
         if (after := _tally(now)) == tally:
             break

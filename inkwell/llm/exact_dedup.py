@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import settle, text_or_empty, unused
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -33,6 +33,17 @@ def _heavy_winners(rows: DataFrame, heavy: int) -> DataFrame:
     return exact.where(F.col("group_size") >= least)
 
 
+def _winners(rows: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """(heavy, other) winners of settled ``rows``: digest, winner (doc_id, row), group_size.
+
+    ``other`` has the groups of two rows or more that aren't heavy.
+    """
+    hot = settle(_heavy_winners(rows, heavy))
+    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count("*").alias("group_size"))
+    return hot, groups
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1000) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -42,11 +53,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are not read.
     """
     rows = settle(_digests(docs, id_col, text_col))
-    winners = settle(_heavy_winners(rows, heavy))
+    winners, groups = _winners(rows, heavy)
     hot = rows.join(F.broadcast(winners), "digest")
     rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    groups = rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count("*").alias("group_size")).where("group_size > 1")
-    rest = rest.join(groups, "digest", "left").withColumns({"winner": F.coalesce("winner", F.struct("doc_id", "row")), "group_size": F.coalesce("group_size", F.lit(1))})
+    rest = rest.join(groups.where("group_size > 1"), "digest", "left").withColumns({"winner": F.coalesce("winner", F.struct("doc_id", "row")), "group_size": F.coalesce("group_size", F.lit(1))})
     return hot.unionByName(rest).select(
         "doc_id",
         F.col("winner.doc_id").alias("keep_id"),
@@ -57,10 +67,35 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 1000) -> DataFrame:
-    """``docs`` with one row of each text, all columns as they were."""
-    keep = settle(exact_duplicates(docs, id_col, text_col, heavy).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")))
-    named = docs.withColumn("_sha_", F.sha2(text_or_empty(text_col), 256))
-    out = named.join(keep, (F.col("_sha_") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    if out.select(id_col, "_sha_").count() > keep.count():  # rows repeated with their id
-        out = out.dropDuplicates(["_sha_"])
-    return out.drop("_sha_")
+    """``docs`` with one row of each text, all columns as they were.
+
+    The row that ``exact_duplicates`` keeps stays; of rows that repeat both text and id one
+    stays, whichever comes first if they differ in other columns. Rows of heavy groups other
+    than the winner are removed on the map side, before their texts are shuffled. Columns
+    may have any names; an empty table stays empty.
+    """
+    rows = settle(_digests(docs, id_col, text_col))
+    winners, groups = _winners(rows, heavy)
+    sha, name = unused(docs, "_sha"), unused(docs, "_winner")
+    named = docs.withColumn(sha, F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    hot = winners.select(F.col("digest").alias(sha), F.struct(F.col("winner.doc_id").alias("id")).alias(name))
+    light = named.join(F.broadcast(hot), sha, "left").where(F.col(name).isNull() | F.col(id_col).eqNullSafe(F.col(f"{name}.id"))).select(*named.columns)
+    keep = groups.select("digest", "winner.doc_id").unionByName(winners.select("digest", "winner.doc_id"))
+    # Rows that repeat both text and id are told from the digests; they are rare.
+    repeats = settle(rows.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select("digest").distinct())
+    some = not repeats.isEmpty()
+    parts = []
+    if some:
+        # At most ``heavy`` of them: a winner that repeats very often is reduced where it lies.
+        often = F.broadcast(settle(winners.join(repeats, "digest", "left_semi")).select(F.col("digest").alias(sha)))
+        parts.append(light.join(often, sha, "left_semi").dropDuplicates([sha]))
+        light = light.join(often, sha, "left_anti")
+    keep = settle(keep.select(F.col("digest").alias(sha + "k"), F.col("doc_id").alias(name)))
+    out = light.join(keep, (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    if some:
+        again = repeats.withColumnRenamed("digest", sha)
+        parts.append(out.join(again, sha, "left_semi").dropDuplicates([sha]))
+        out = out.join(again, sha, "left_anti")
+    for part in parts:
+        out = out.unionByName(part.select(*out.columns))
+    return out.select(*docs.columns)

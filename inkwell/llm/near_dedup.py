@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches, text_slices
+from .common import heavy_count, join_counted, settle, small_batches, text_or_empty, text_slices, unused
 from .components import components
 from .shingle_sets import digest_of, set_links, set_rows
 from .simhash import bit_votes, majority_fingerprints, pack_bits, shingle_hashes
@@ -38,35 +38,35 @@ from .simhash import bit_votes, majority_fingerprints, pack_bits, shingle_hashes
 BITS = 64
 
 
-def fingerprint_rows(docs: DataFrame, words: int, second: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, fp2): fingerprints of whole texts; fp2 is a second, independent one or 0."""
+def fingerprint_rows(docs: DataFrame, words: int, second: bool, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, sha: bool = False) -> DataFrame:
+    """(doc_id, fp, fp2) of whole texts; fp2 is a second, independent fingerprint or 0.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in text_slices(whole)):
-            texts = batch.column(1).to_pylist()
-            first = majority_fingerprints(texts, words)
-            other = _second_fingerprints(texts, words) if second else np.zeros(len(texts), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first.view(np.int64)), pa.array(other.view(np.int64))], names=["doc_id", "fp", "fp2"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long, fp2 long")
-
-
-def fingerprint_and_set_rows(docs: DataFrame, words: int, second: bool, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, fp2, digest): also 128 bits of the set of shingles, each hashed once."""
+    With ``sets`` also digest, 128 bits of the set of shingles, each hashed once; with
+    ``sha`` also the text's SHA-256, by which rows that share an id are told apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole)):
             texts = batch.column(1).to_pylist()
-            hashes = [shingle_hashes(text, words) for text in texts]
-            n = np.array([len(h) for h in hashes], np.int64)
-            first = pack_bits(2 * bit_votes(np.concatenate(hashes), n) > n[:, None])
+            columns = {"doc_id": batch.column(0)}
+            if sets:
+                hashes = [shingle_hashes(text, words) for text in texts]
+                n = np.array([len(h) for h in hashes], np.int64)
+                first = pack_bits(2 * bit_votes(np.concatenate(hashes), n) > n[:, None])
+                columns["digest"] = pa.array([digest_of(np.unique(h)) for h in hashes], pa.binary())
+            else:
+                first = majority_fingerprints(texts, words)
             other = _second_fingerprints(texts, words) if second else np.zeros(len(texts), np.uint64)
-            digests = pa.array([digest_of(np.unique(h)) for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first.view(np.int64)), pa.array(other.view(np.int64)), digests], names=["doc_id", "fp", "fp2", "digest"])
+            columns |= {"fp": pa.array(first.view(np.int64)), "fp2": pa.array(other.view(np.int64))}
+            if sha:
+                columns["sha"] = batch.column(2)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in order], names=order)
 
+    order = ["doc_id", "fp", "fp2", *["digest"] * sets, *["sha"] * sha]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long, fp2 long, digest binary")
+    schema = f"doc_id {kind}, fp long, fp2 long" + ", digest binary" * sets + ", sha binary" * sha
+    extra = [F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("sha")] if sha else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, schema)
 
 
 def _second_fingerprints(texts: list, words: int) -> np.ndarray:
@@ -361,48 +361,83 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2:
     of ``set_links``. Rows with the same fingerprint then share a class only if their sets
     do; rows with the same set always do.
     """
+    rows, classes = _classes(docs, words, radius, radius2, id_col, text_col, full, jaccard, blocks, False)
+    return join_counted(rows, classes.select(*_keys(jaccard), F.col("first.doc_id").alias("component_id"), "_n"), _keys(jaccard), heavy_count(rows.count())).select("doc_id", "fp", "component_id")
+
+
+def _keys(jaccard: float | None) -> list[str]:
+    return ["fp", "fp2"] if jaccard is None else ["digest"]
+
+
+def _classes(docs: DataFrame, words: int, radius: int, radius2: int, id_col: str, text_col: str, full: int | None, jaccard: float | None, blocks: dict, sha: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows have doc_id and ``_keys``; classes have one row of each keys with
+    ``first``, the first row of its class: (no_id, doc_id, and with ``sha`` the text's),
+    and ``_n``, how many rows have these keys. Both are settled."""
     small_batches(docs.sparkSession)
-    if jaccard is not None:
-        return _verified(docs, words, radius, radius2, id_col, text_col, full, jaccard, blocks)
-    rows = settle(fingerprint_rows(docs, words, radius2 >= 0, id_col, text_col))
-    points = settle(rows.groupBy("fp", "fp2").agg(F.min("doc_id").alias("first_id")))
-    roots = settle(components(settle(links(points.select("fp", "fp2"), radius, radius2, full=full))))
-    named = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "fp2", "component_id")
-    return rows.join(classes, ["fp", "fp2"]).select("doc_id", "fp", "component_id")
-
-
-def _verified(docs: DataFrame, words: int, radius: int, radius2: int, id_col: str, text_col: str, full: int | None, jaccard: float, blocks: dict) -> DataFrame:
-    rows = settle(fingerprint_and_set_rows(docs, words, radius2 >= 0, id_col, text_col))
-    points = settle(rows.groupBy("fp", "fp2", "digest").agg(F.min("doc_id").alias("first_id")))
-    prints = settle(points.select("fp", "fp2").distinct())
+    keys = _keys(jaccard)
+    rows = settle(fingerprint_rows(docs, words, radius2 >= 0, id_col, text_col, sets=jaccard is not None, sha=sha))
+    # A known id comes before a null one, ties go by the text's digest.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *["sha"] * sha)).alias("first")
+    points = settle(rows.groupBy(*dict.fromkeys(["fp", "fp2", *keys])).agg(first, F.count("*").alias("_n")))
+    prints = points.select("fp", "fp2") if jaccard is None else settle(points.select("fp", "fp2").distinct())
     roots = settle(components(settle(links(prints, radius, radius2, full=full))))
-    named = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    members = settle(named.groupBy("root", "digest").agg(F.min("first_id").alias("first_id")))
-    several = members.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    asked = settle(members.join(several, "root"))
+    total = points.count()
+    table = points.groupBy("fp").agg(F.count("*").alias("_n")).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    table = settle(table.withColumn("root", F.coalesce("root", "fp")))
+    named = join_counted(points.withColumnRenamed("_n", "_k"), table, ["fp"], heavy_count(total)).withColumnRenamed("_k", "_n")
+    if jaccard is None:
+        return rows, settle(_with_first(settle(named), "root", total).select(*keys, "first", "_n"))
+    members = settle(named.groupBy("root", "digest").agg(F.min("first").alias("first"), F.sum("_n").alias("_n")))
+    return rows, _verified(docs, members, total, words, id_col, text_col, jaccard, blocks)
+
+
+def _with_first(members: DataFrame, by: str, total: int) -> DataFrame:
+    """Settled ``members`` with ``first`` as the least of all rows with the same ``by``."""
+    least = members.groupBy(by).agg(F.min("first").alias("first"), F.count("*").alias("_m"))
+    least = settle(least).select(by, "first", F.col("_m").alias("_n"))
+    counts = members.drop("first").withColumnRenamed("_n", "_k")
+    return join_counted(counts, least, [by], heavy_count(total)).withColumnRenamed("_k", "_n")
+
+
+def _verified(docs: DataFrame, members: DataFrame, total: int, words: int, id_col: str, text_col: str, jaccard: float, blocks: dict) -> DataFrame:
+    """Classes of the candidates' components, ``members``, by the likeness of their sets."""
+    several = members.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1")
+    asked = settle(join_counted(members.select("root", "digest", "first"), settle(several), ["root"], heavy_count(total)))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = asked.select(F.col("first_id").alias("_id")).distinct()
+    wanted = asked.select(F.col("first.doc_id").alias("_id")).distinct()
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = set_rows(texts, words, "doc_id", "text").groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = settle(sets.withColumn("node", F.monotonically_increasing_id()))
     groups = settle(asked.join(sets.select("digest", "node").hint("merge"), "digest").select("root", "node"))
     found = settle(components(settle(set_links(groups, sets.select("node", "shingles"), jaccard, **blocks))))
 
-    # A set that no other is like is a class of its own.
-    firsts = points.groupBy("digest").agg(F.min("first_id").alias("first_id"))
+    # A set that no other is like is a class of its own. Words that repeat count for the
+    # fingerprint and not for the set, so a set may be a member of several components.
+    firsts = members.groupBy("digest").agg(F.min("first").alias("first"), F.sum("_n").alias("_n"))
     linked = sets.select("digest", "node").join(found.hint("merge"), "node").select("digest", "root")
     classes = firsts.join(linked.hint("merge"), "digest", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.hex("digest")))
-    classes = settle(classes.select("digest", "class", "first_id"))
-    least = classes.groupBy("class").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(least.hint("merge"), "class").select("digest", "component_id")
-    return rows.join(classes.hint("merge"), "digest").select("doc_id", "fp", "component_id")
+    classes = settle(classes.select("digest", "class", "first", "_n"))
+    return settle(_with_first(classes, "class", total).select("digest", "first", "_n"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", jaccard: float | None = 0.8, **options) -> DataFrame:
-    """``docs`` with the row of the smallest id of each class, all columns as they were."""
-    found = near_duplicates(docs, id_col=id_col, jaccard=jaccard, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(settle(keep), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = 0.8, words: int = 5, radius: int = 11, radius2: int = 26, full: int | None = None, **blocks) -> DataFrame:
+    """``docs`` with one row of each class, all columns as they were.
+
+    The row with the smallest id stays, a null id only where no row has one; of rows that
+    share it, the one whose text has the least SHA-256; of rows that repeat both id and text
+    one. Rows with the same id but texts that aren't alike are of different classes, and
+    each class keeps a row. Columns may have any names; an empty table stays empty.
+    """
+    rows, classes = _classes(docs, words, radius, radius2, id_col, text_col, full, jaccard, blocks, True)
+    keep = settle(classes.select("first").distinct().select("first.doc_id", "first.sha"))
+    name, sha = unused(docs, "_kept"), unused(docs, "_sha")
+    named = docs.withColumn(sha, F.unhex(F.sha2(text_or_empty(text_col), 256)))
+    keep = keep.select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k"))
+    out = named.join(keep, (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    repeats = settle(rows.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "sha"))
+    if not repeats.isEmpty():
+        repeats = repeats.select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k"))
+        match = (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name))
+        out = out.join(repeats, match, "left_anti").unionByName(out.join(repeats, match, "left_semi").dropDuplicates([id_col, sha]).select(*out.columns))
+    return out.select(*docs.columns)

@@ -32,3 +32,13 @@ def frame(spark, rows=None, extra=False):
     if extra:
         return spark.createDataFrame([(*r, 1, 2, "d", 3, 4, "b", 5) for r in rows], EXTRA)
     return spark.createDataFrame(rows, DOCS)
+
+
+#: Names that operators use, or once used, for columns of their own.
+CLASHING = ["_id", "_sha", "_sha_", "_row", "_ranges", "_kept", "_winner", "row", "rows", "parts", "doc", "sha", "copy", "shard", "slot", "place", "first", "words", "number", "fp", "fp2", "digest", "root", "class", "component_id", "p", "l", "r", "_n", "raw", "size", "start", "text_sha256", "_cell"]
+
+
+def clashing(spark, rows):
+    """Documents with all those columns beside their own, each with a value of its row."""
+    schema = DOCS + "".join(f", `{c}` long" for c in CLASHING)
+    return spark.createDataFrame([(*r, *[k * 1000 + i for k in range(len(CLASHING))]) for i, r in enumerate(rows)], schema)

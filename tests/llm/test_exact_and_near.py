@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.llm import exact_dedup, near_dedup, simhash
 from inkwell.llm.components import components
 
-from .cases import documents, frame, prose
+from .cases import clashing, documents, frame, prose
 
 
 def brute_exact(rows):
@@ -33,12 +33,16 @@ def test_exact_duplicates_match_brute_force(spark, heavy, extra):
     assert Counter(r.text_sha256 for r in out if r.kept) == Counter(dict.fromkeys(by_sha, 1))
 
 
-def test_exact_drop_keeps_one_row_and_all_columns(spark):
-    docs = frame(spark, extra=True)
-    kept = exact_dedup.drop_exact_duplicates(docs)
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_exact_drop_keeps_one_row_and_all_columns(spark, heavy):
+    rows = documents() + [(1000 + i, "a hot text", "en", "a", 10) for i in range(40)] + [(1039, "a hot text", "fr", "a", 10)] * 60
+    docs = clashing(spark, rows)
+    kept = exact_dedup.drop_exact_duplicates(docs, heavy=heavy)
     assert kept.columns == docs.columns
-    texts = [r.text or "" for r in kept.collect()]
-    assert sorted(texts) == sorted({r[1] or "" for r in documents()})
+    kept, all_rows = kept.collect(), set(docs.collect())
+    assert sorted(r.text or "" for r in kept) == sorted({r[1] or "" for r in rows}) and set(kept) <= all_rows
+    want = brute_exact(rows)
+    assert all(r.doc_id == want[r.text or ""][0] for r in kept)
 
 
 def test_exact_empty_table(spark):
@@ -141,6 +145,19 @@ def test_thresholds_add_up_and_cost_least():
     assert sorted(b for g in groups for b in g) == list(range(64))
 
 
+def test_near_drop_keeps_rows_not_ids(spark):
+    rng = random.Random(31)
+    a, b, c = (" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(200)) for _ in range(3))
+    near_b = b.replace(" ", "  ", 1) + " more"
+    rows = [(1, a, "en", "a", 1), (0, b, "en", "a", 1), (1, near_b, "en", "a", 1), (1, a, "fr", "a", 1), (None, c, "en", "a", 1), (None, c + " more", "en", "a", 1), (7, c + " end", "en", "a", 1), (None, None, None, None, None), (None, "", None, None, None)]
+    docs = clashing(spark, rows)
+    out = near_dedup.drop_near_duplicates(docs)
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("0", b), ("7", c + " end"), ("None", "")])
+    assert set(kept) <= set(docs.collect())
+
+
 def test_near_drop_finds_copies_and_keeps_the_rest(spark):
     rng = random.Random(9)
     rows, near = [], set()
