@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle, small_batches, text_or_empty, text_slices
+from .common import heavy_count, join_counted, mix64, settle, small_batches, text_or_empty, text_slices
+from .components import components
 from .simhash import bit_votes, pack_bits
 
 WORDS = 5
@@ -120,23 +121,109 @@ def block_tables(radius: int, expected: int, bits: int = 128) -> list[list[tuple
     return [list(chosen) for chosen in itertools.combinations(spans, kept)]
 
 
-def within_radius(prints: DataFrame, radius: int = 3, fp_col: str = "fingerprint") -> DataFrame:
-    """(a, b, distance), a < b: all pairs of distinct fingerprints that differ in ``radius`` bits or fewer.
+def _mask(spans: list[tuple[int, int]]) -> tuple[int, int]:
+    """The bits of some blocks in the high and the low half, as signed 64-bit numbers."""
+    bits = sum(1 << (127 - b) for at, width in spans for b in range(at, at + width))
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (bits >> 64, bits & (2**64 - 1)))
+
+
+def connect(hi: np.ndarray, lo: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of indices, one less than rows of a component, that connect what is within the radius."""
+    left, out = np.arange(len(hi)), []
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        frontier = [first]
+        while frontier and len(left):
+            at = frontier.pop()
+            near = np.bitwise_count(hi[left] ^ hi[at]).astype(np.int32) + np.bitwise_count(lo[left] ^ lo[at]) <= radius
+            hit, left = left[near], left[~near]
+            frontier += hit.tolist()
+            out += [(int(x), int(first)) for x in hit]
+    return out
+
+
+def _bucket_links(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b) links of nodes; the rows (t, k1, k2, node, hi, lo) of a key lie in one partition."""
+    keys = ["t", "k1", "k2"]
 
-    Permuted block tables: each table keys every fingerprint by some of its blocks, and
-    the fingerprints of a key are compared. Rows with equal fingerprints, however many,
-    count as one; null fingerprints have no partners. None is lost.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(columns: list[np.ndarray]):
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)) + 1
+            cuts = np.concatenate([[0], changes, [len(columns[0])]])
+            node, hi, lo = columns[3], columns[4].view(np.uint64), columns[5].view(np.uint64)
+            found = []
+            for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
+                s = slice(cuts[k], cuts[k + 1])
+                found += [(node[s][i], node[s][j]) for i, j in connect(hi[s], lo[s], radius)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        held = None
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            columns = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            other = np.flatnonzero(np.any([c != c[-1] for c in columns[:3]], axis=0))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield from links([c[:last] for c in columns])
+            held = [c[last:] for c in columns]
+        if held is not None and len(held[0]):
+            yield from links(held)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+
+
+def within_radius(points: DataFrame, radius: int, full: int = 20_000) -> DataFrame:
+    """(a, b): links that connect all ``points`` (node, hi, lo; distinct) within ``radius`` bits.
+
+    Permuted block tables: each table keys every fingerprint by some of its blocks, and the
+    fingerprints of a key are compared. A dense group gives links in proportion to its
+    members, not to its pairs. A key with over ``full`` fingerprints is split by the bits
+    that its blocks leave: of ``radius`` + 1 blocks of these, two fingerprints within the
+    radius agree on one at least. None is lost.
     """
-    points = settle(prints.where(F.col(fp_col).isNotNull()).select(F.col(fp_col).alias("fp")).distinct())
     tables = block_tables(radius, points.count())
-    # A block is cut out of the bit string; 4 bits stand in each hex digit.
-    bits = F.concat(*[F.lpad(F.conv(F.substring("fp", 1 + 8 * k, 8), 16, 2), 32, "0") for k in range(4)])
-    keys = F.array(*[F.concat_ws("|", F.lit(str(t)), *[F.substring("bits", 1 + at, width) for at, width in spans]) for t, spans in enumerate(tables)])
-    rows = points.withColumn("bits", bits).select("fp", F.posexplode(keys).alias("t", "key")).select("fp", F.xxhash64("t", "key").alias("key"))
-    words = lambda c: [F.conv(F.substring(c, 1 + 8 * k, 8), 16, 10).cast("long") for k in range(4)]
-    distance = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words(F.col("x.fp")), words(F.col("y.fp")), strict=True)), F.lit(0))
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (distance <= radius))
-    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), distance.alias("distance")).distinct()
+    entries, finer = [], []
+    for t, spans in enumerate(tables):
+        hi, lo = _mask(spans)
+        entries.append(F.struct(F.lit(t).alias("t"), F.col("hi").bitwiseAND(F.lit(hi)).alias("k1"), F.col("lo").bitwiseAND(F.lit(lo)).alias("k2")))
+        rest = [b for b in range(128) if not any(at <= b < at + width for at, width in spans)]
+        masks = [_mask([(b, 1) for b in rest[k * len(rest) // (radius + 1) : (k + 1) * len(rest) // (radius + 1)]]) for k in range(radius + 1)]
+        finer.append(F.array(*[F.struct(F.lit(len(tables) + t * (radius + 1) + k).alias("t"), F.lit(m[0]).cast("long").alias("m1"), F.lit(m[1]).cast("long").alias("m2")) for k, m in enumerate(masks)]))
+    rows = points.select("node", "hi", "lo", F.explode(F.array(*entries)).alias("e")).select("e.t", "e.k1", "e.k2", "node", "hi", "lo")
+    crowded = settle(rows.groupBy("t", "k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > full).select("t", "k1", "k2"))
+    if crowded.isEmpty():
+        return _bucket_links(rows, radius)
+    # Keys with over ``full`` of the points are few, at most one in ``full`` for each table.
+    usual = rows.join(F.broadcast(crowded), ["t", "k1", "k2"], "left_anti")
+    split = rows.join(F.broadcast(crowded), ["t", "k1", "k2"], "left_semi").withColumn("f", F.explode(F.element_at(F.array(*finer), F.col("t") + 1)))
+    split = split.select(F.col("f.t").alias("t"), F.col("k1").bitwiseOR(F.col("hi").bitwiseAND(F.col("f.m1"))).alias("k1"), F.col("k2").bitwiseOR(F.col("lo").bitwiseAND(F.col("f.m2"))).alias("k2"), "node", "hi", "lo")
+    return _bucket_links(usual, radius).unionByName(_bucket_links(split, radius))
+
+
+def near_classes(prints: DataFrame, radius: int = 3, fp_col: str = "fingerprint", full: int = 20_000) -> DataFrame:
+    """One row per distinct fingerprint: fingerprint, near_class, rows (that have it).
+
+    ``near_class`` is the least fingerprint that it reaches by steps of ``radius`` differing
+    bits or fewer, itself included. Null fingerprints have no row.
+    """
+    half = lambda at: F.shiftleft(F.conv(F.substring("fingerprint", at, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring("fingerprint", at + 8, 8), 16, 10).cast("long"))
+    points = prints.where(F.col(fp_col).isNotNull()).groupBy(F.col(fp_col).alias("fingerprint")).agg(F.count("*").alias("rows"))
+    points = settle(points.withColumns({"hi": half(1), "lo": half(17), "node": F.monotonically_increasing_id()}))
+    roots = settle(components(settle(within_radius(points.select("node", "hi", "lo"), radius, full))))
+    named = settle(points.join(roots.hint("merge"), "node").select("fingerprint", "rows", "root"))
+    least = settle(named.groupBy("root").agg(F.min("fingerprint").alias("near_class"), F.count("*").alias("_n")))
+    several = join_counted(named, least, ["root"], heavy_count(named.count())).select("fingerprint", "near_class", "rows")
+    alone = points.join(roots.select("node").hint("merge"), "node", "left_anti").select("fingerprint", F.col("fingerprint").alias("near_class"), "rows")
+    return several.unionByName(alone)
+
+
+def with_near_class(rows: DataFrame, radius: int = 3) -> DataFrame:
+    """Settled ``rows`` with ``near_class`` of their ``fingerprint``."""
+    classes = settle(near_classes(rows, radius).withColumnRenamed("rows", "_n"))
+    return join_counted(rows, classes, ["fingerprint"], heavy_count(rows.count()))
 
 
 # Each document beside the next one ----------------------------------------------

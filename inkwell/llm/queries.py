@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fingerprints, language_id, mixing, near_dedup, quality, sharding, token_output, toxicity
-from .common import checkpoint_dir
+from .common import checkpoint_dir, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,10 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard files are written below the checkpoint folder; the rows are read back from them."""
-    sequences = token_output.training_sequences(table(spark, sf_dir, "documents"))
-    return token_output.through_shards(sequences, f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}")
+    """The shard files are written below the checkpoint folder; the rows are read from them."""
+    folder = f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}"
+    token_output.write_shards(table(spark, sf_dir, "documents"), folder, fixed=True)
+    return token_output.read_shards(spark, folder)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_likeness(table(spark, sf_dir, "documents"))
+    """Also ``near_class``: the least fingerprint that one reaches by steps of three bits or fewer."""
+    rows = settle(fingerprints.edit_likeness(table(spark, sf_dir, "documents")))
+    found = fingerprints.with_near_class(rows, radius=3)
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_class")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,17 +66,15 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``taken`` of rows that repeat both id and text is their mean, rounded down."""
+    """What the mixture takes of every row; repeated rows are mixed each by itself."""
     rows, picks = mixing.mix(table(spark, sf_dir, "documents"))
-    taken = picks.groupBy("row").agg(F.sum("words").alias("words"))
-    copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
-    each = copies.join(taken, "row").select("row", F.floor(F.col("words") / F.col("copies")).alias("taken"))
-    return rows.join(each, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = picks.groupBy("row").agg(F.sum("words").alias("taken"))
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.encode_with_digests(table(spark, sf_dir, "documents"), ranks, pattern)
+    return bpe.encode_with_digests(table(spark, sf_dir, "documents"), ranks, pattern, fixed=True)
 
 
 def op10_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,26 @@
 
 Groups are the rows of equal key. Groups of at least one ``grain``-th of a shard are
 items of their own, of which there are at most shards x grain; the smaller ones are
-dealt by a hash into as many parcels, each again an item. So the driver packs a number
-of items that depends on the parameters, never on the table. Items are packed largest
+dealt by a hash into as many parcels, each again an item. Items are packed largest
 first, each into the bin with the least room that still holds it, found in a balanced
 tree of the bins' remaining room.
+
+A given number of shards is packed on the driver, whose items that number bounds. Shards of
+a given capacity grow with the table: beyond ``REGION`` of them, groups are dealt by a hash
+into regions of about that many, each packed in a task of its own, at the cost of one
+shard in each region that isn't full.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import heavy_count, join_counted, settle, text_or_empty
+
+#: Shards of a region, where the capacity is given.
+REGION = 64
 
 
 class RoomTree:
@@ -156,13 +164,13 @@ def pack_into(sizes: list[int], bins: int) -> list[int]:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, grain: int = 256, cell_rows: int = 2_000) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, grain: int = 256, cell_rows: int = 2_000, region: int = REGION) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot.
 
     Give either ``shards`` (their sizes come out near equal, but for a group over the mean
     of what is left, which has a shard to itself) or ``capacity`` in bytes
-    (the fewest shards that best fit finds; a group over it gets its own). Size is the
-    UTF-8 bytes of the text plus ``overhead``; a null text counts as empty. Rows of equal
+    (the fewest shards that best fit finds, in each ``region`` of them; a group over it gets
+    its own). Size is the UTF-8 bytes of the text plus ``overhead``; a null text counts as empty. Rows of equal
     text stay together. Slots run from 0 without gaps in each shard, in an order that
     depends on the rows alone. An empty table gives an empty result; a null id is kept.
     """
@@ -179,24 +187,52 @@ def assign_shards(docs: DataFrame, shards: int | None = None, capacity: int | No
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bins = shards or max(1, -(-total // capacity))
-    parcels = bins * grain
-    least = max(1, total // parcels)
+    regions = 1 if shards else -(-bins // region)
+    parcels = min(bins, region) * grain if regions > 1 else bins * grain
+    least = max(1, total // (regions * parcels))
     groups = settle(rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
-    parcel = F.pmod(F.xxhash64("group"), F.lit(parcels))
-    big = groups.where(F.col("bytes") >= least).select("group", "bytes", "n").collect()
-    small = groups.where(F.col("bytes") < least).groupBy(parcel.alias("parcel")).agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect()
-    items = sorted([(r.bytes, r.n, -1, bytes(r.group)) for r in big] + [(r.bytes, r.n, r.parcel, None) for r in small], key=lambda x: (-x[0], x[2], x[3] or b""))
-    sizes = [x[0] for x in items]
-    where = pack_into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-
+    near = F.pmod(F.xxhash64("group", F.lit(7)), F.lit(regions)).cast("int")
+    parcel = F.pmod(F.xxhash64("group"), F.lit(parcels)).cast("int")
+    big = groups.where(F.col("bytes") >= least).select(near.alias("region"), F.lit(-1).alias("parcel"), "group", "bytes", "n")
+    small = groups.where(F.col("bytes") < least).groupBy(near.alias("region"), parcel.alias("parcel")).agg(F.lit(None).cast("binary").alias("group"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    items = big.unionByName(small.select("region", "parcel", "group", "bytes", "n"))
+
+    def packed(found: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(range(len(found)), key=lambda i: (-found["bytes"].iat[i], found["parcel"].iat[i], bytes(found["group"].iat[i] or b"")))
+        found = found.iloc[order].reset_index(drop=True)
+        sizes = [int(x) for x in found["bytes"]]
+        where = pack_into(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
+        return found.assign(item=range(len(found)), shard=where, cells=[-(-int(n) // cell_rows) for n in found["n"]])
+
+    schema = "region int, parcel int, group binary, bytes long, n long, item int, shard int, cells long"
     spark = docs.sparkSession
-    table = [(x[3], x[2], i, s, -(-x[1] // cell_rows)) for i, (x, s) in enumerate(zip(items, where, strict=True))]
-    named = spark.createDataFrame(table, "group binary, parcel long, item int, shard int, cells long")
-    # Both tables have at most bins x grain rows, which the parameters fix.
-    large = F.broadcast(named.where("parcel < 0").select("group", F.struct("item", "shard", "cells").alias("a")))
-    other = F.broadcast(named.where("parcel >= 0").select("parcel", F.struct("item", "shard", "cells").alias("b")))
-    placed = rows.join(large, "group", "left").withColumn("parcel", F.when(F.col("a").isNull(), parcel)).join(other, "parcel", "left")
-    placed = placed.withColumn("p", F.coalesce("a", "b")).select("doc_id", "size", "text_crc32", "group", "p.item", "p.shard", "p.cells")
+    place = F.struct("item", "shard", "cells").alias("p")
+    rows = rows.withColumns({"region": near, "parcel": parcel})
+    if regions == 1:
+        table = packed(items.toPandas())
+        named = spark.createDataFrame(table.astype(object).where(table.notna(), None).values.tolist(), schema)
+        # At most 2 x bins x grain rows, which the parameters fix.
+        large = F.broadcast(named.where("parcel < 0").select("group", place))
+        other = F.broadcast(named.where("parcel >= 0").select("parcel", F.col("item").alias("i"), F.col("shard").alias("s"), F.col("cells").alias("c")))
+        both = rows.join(large, "group", "left").join(other, "parcel", "left")
+        placed = both.withColumn("p", F.coalesce("p", F.struct(F.col("i").alias("item"), F.col("s").alias("shard"), F.col("c").alias("cells"))))
+    else:
+        named = settle(items.groupBy("region").applyInPandas(packed, schema))
+        # One row for each region: before it stand the shards of the earlier ones.
+        counts = named.groupBy("region").agg((F.max("shard") + 1).alias("n")).orderBy("region").collect()
+        first, upto = [], 0
+        for r in counts:
+            first.append((r["region"], upto))
+            upto += r["n"]
+        named = settle(named.join(F.broadcast(spark.createDataFrame(first, "region int, first int")), "region").withColumn("shard", F.col("shard") + F.col("first")))
+        heavy = heavy_count(rows.count())
+        large = settle(named.where("parcel < 0").select("group", place, F.col("n").alias("_n")))
+        hot = F.broadcast(large.where(F.col("_n") > heavy).select("group"))
+        alone = rows.join(hot, "group", "left_anti").join(large.where(F.col("_n") <= heavy).select("group").hint("merge"), "group", "left_anti")
+        parcels_of = settle(named.where("parcel >= 0").select("region", "parcel", place, F.col("n").alias("_n")))
+        known = join_counted(rows, large, ["group"], heavy)
+        placed = known.select(*rows.columns, "p").unionByName(join_counted(alone, parcels_of, ["region", "parcel"], heavy).select(*rows.columns, "p"))
+    placed = placed.select("doc_id", "size", "text_crc32", "group", "p.item", "p.shard", "p.cells")
     celled = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "group"), "cells"))
     heads = celled.groupBy("shard", "item", "cell").agg(F.count("*").alias("n"))
     along = Window.partitionBy("shard").orderBy("item", "cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from inkwell.llm import fingerprints, mixing, sharding
 
-from .cases import documents, frame, prose
+from .cases import clashing, documents, frame, prose
 
 
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 1000)), max_size=60), st.integers(0, 35))
@@ -87,14 +88,21 @@ def test_shards_beside_a_hot_group_are_even(spark):
     assert sorted(size) == list(range(8)) and max(rest) < 1.05 * min(rest)
 
 
-def test_shards_of_a_capacity(spark):
-    rows = [(i, "x" * (50 + i), None, "a", 1) for i in range(100)]
-    out = sharding.assign_shards(frame(spark, rows), capacity=1000).collect()
-    size = Counter()
+@pytest.mark.parametrize("region", [64, 5])
+def test_shards_of_a_capacity(spark, region):
+    rows = [(i, "x" * (50 + i), None, "a", 1) for i in range(200)] + [(i, "one text", None, "a", 1) for i in range(5)] + [(900, "y" * 1500, None, "a", 1)]
+    out = sharding.assign_shards(frame(spark, rows), capacity=1000, region=region).collect()
+    size, slots, where = Counter(), defaultdict(list), defaultdict(set)
     for r in out:
         size[r.shard] += r.size
-    assert max(size.values()) <= 1000 and len(size) <= -(-sum(size.values()) // 1000) + 2
+        slots[r.shard].append(r.slot)
+        where[r.text_crc32].add(r.shard)
+    assert len(out) == len(rows) and sorted(size) == list(range(len(size)))
+    assert sorted(size.values())[-2] <= 1000 < max(size.values()) == 1516
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in where.values())
+    assert len(size) <= -(-sum(size.values()) // 1000) * (1.1 if region == 64 else 1.4) + 1
     assert sharding.assign_shards(frame(spark, []), shards=3).count() == 0
+    assert sharding.assign_shards(frame(spark, []), capacity=3).count() == 0
 
 
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
@@ -146,18 +154,58 @@ def test_mixture_meets_the_targets(spark, extra):
     assert sum(t for _, t, _ in set(source.values())) == pytest.approx(1.5 * sum(size.values()))
     places = [(p.shard, p.slot) for p in picks]
     assert max(Counter(s for s, _ in set(places)).values()) <= 100
+    assert len(places) == len(set((p.shard, p.slot, p.place) for p in picks))
     other = mixing.mix(frame(spark, rows[::-1]).repartition(5), shard_slots=100)[1].collect()
-    assert sorted(map(tuple, other)) == sorted(map(tuple, picks))
+    plain = lambda ps: sorted((p.shard, p.slot, p.place, p.doc_id, p.first, p.words) for p in ps)
+    assert plain(other) == plain(picks)
 
 
 def test_mixture_texts_are_parts_of_documents(spark):
-    rows = mixture_rows()[:50]
-    out = mixing.mixed_documents(frame(spark, rows)).collect()
-    text = {r[0]: r[1] for r in rows}
-    assert all(r.text in text[r.doc_id] and r.n_chars == len(r.text) for r in out)
-    total = sum(len(t.split()) for t in text.values())
-    assert sum(len(r.text.split()) for r in out) == pytest.approx(1.5 * total, rel=0.02)
+    rows = mixture_rows()
+    rows += [rows[9][:2] + ("fr",) + rows[9][3:], (None, rows[4][1], "en", "a", 1), (None, rows[4][1], "en", "a", 1), (4, rows[7][1], "en", "a", 1)]
+    docs = clashing(spark, rows)
+    out = mixing.mixed_documents(docs, shard_slots=100, places=True)
+    assert out.columns == [*docs.columns, "shard_", "slot_", "place_"]
+    out = out.collect()
+    of_row = {r["_id"]: r for r in docs.collect()}  # numbered by row
+    taken = Counter()
+    for r in out:
+        own = of_row[r["_id"]]
+        assert all(own[c] == r[c] for c in docs.columns if c not in ("text", "n_chars"))
+        assert r.text in own.text and r.n_chars == len(r.text)
+        taken[r["_id"]] += len(r.text.split())
+    # No row is taken more than twice, repeated ones included, and a source's words meet its target.
+    words = {i: len((r.text or "").split()) for i, r in of_row.items()}
+    assert all(n <= 2 * words[i] for i, n in taken.items())
+    found, picks = (df.collect() for df in mixing.mix(docs, shard_slots=100))
+    by_source = Counter()
+    for i, n in taken.items():
+        by_source[of_row[i].source] += n
+    for name, target in {(r.source, r.target) for r in found}:
+        assert by_source[name] == pytest.approx(target, rel=0.02, abs=2)
+    # Every slot of every shard holds the same documents' words as the picks say, in order.
+    want, got = defaultdict(list), defaultdict(list)
+    for p in sorted(picks, key=lambda p: p.place):
+        want[p.shard, p.slot].append((p.place, p.doc_id, p.words))
+    for r in sorted(out, key=lambda r: r["place_"]):
+        got[r["shard_"], r["slot_"]].append((r["place_"], r.doc_id, len(r.text.split())))
+    assert got == want
     assert mixing.mixed_documents(frame(spark, [])).count() == 0
+    assert mixing.mixed_documents(frame(spark, [(1, " ", None, "a", 0), (2, None, None, None, None)])).count() == 0
+
+
+def test_mixed_rows_stand_in_the_order_of_shards(spark):
+    docs = frame(spark, mixture_rows())
+    out = mixing.mixed_documents(docs, shard_slots=20, places=True)
+    parts = out.rdd.glom().map(lambda rows: [(r.shard, r.slot, r.place) for r in rows]).collect()
+    assert len(parts) > 3 and [x for p in parts for x in p] == sorted(x for p in parts for x in p)
+    assert mixing.mixed_documents(docs, shard_slots=20).columns == docs.columns
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(frame(spark, [(i, "a b", None, f"s{i}", 1) for i in range(4)]))
 
 
 def test_likeness_follows_the_texts(spark):
@@ -195,19 +243,54 @@ def test_fingerprints_of_long_texts_do_not_depend_on_slices(monkeypatch):
     assert (fingerprints.weighted_fingerprints([texts[5]]) == whole[5]).all()
 
 
+@pytest.mark.parametrize("full", [20_000, 3])
 @pytest.mark.parametrize("radius", [0, 1, 3, 6])
-def test_block_tables_find_all_pairs(spark, radius):
+def test_near_classes_match_brute_force(spark, radius, full):
     rng = random.Random(10)
     values = set()
     for _ in range(60):
         base = rng.getrandbits(128)
         for _ in range(4):
             values.add(base ^ sum(1 << b for b in rng.sample(range(128), rng.randrange(0, 5))))
-    hexes = [f"{v:032x}" for v in values]
-    rows = spark.createDataFrame([(h,) for h in hexes + hexes[:5]] + [(None,)], "fingerprint string")
-    got = {(r.a, r.b, r.distance) for r in fingerprints.within_radius(rows, radius).collect()}
-    want = {(min(a, b), max(a, b), d) for a in hexes for b in hexes if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
-    assert got == want
+    hot = rng.getrandbits(128)
+    values |= {hot ^ (1 << b) for b in range(40)}
+    hexes = sorted(f"{v:032x}" for v in values)
+    rows = spark.createDataFrame([(h,) for h in hexes + hexes[:5] + hexes[:5]] + [(None,)], "fingerprint string")
+    want, todo = {}, set(hexes)
+    for h in hexes:
+        if h in todo:
+            edge = group = {h}
+            while edge:
+                todo -= edge
+                edge = {x for x in todo if any((int(x, 16) ^ int(y, 16)).bit_count() <= radius for y in edge)}
+                group = group | edge
+            want |= dict.fromkeys(group, h)
+    got = {r.fingerprint: (r.near_class, r.rows) for r in fingerprints.near_classes(rows, radius, full=full).collect()}
+    assert got == {h: (c, 3 if h in hexes[:5] else 1) for h, c in want.items()}
+    assert fingerprints.near_classes(rows.where("false"), radius).count() == 0
+
+
+def reference_print(text):
+    """The 128 votes of a text's runs of five words, one term and one bit at a time."""
+    distinct = Counter(fingerprints.term_hashes(text).tolist())
+    out = 0
+    for half in (0, 1):
+        for bit in range(64):
+            vote = 0.0
+            for h, n in distinct.items():
+                h = h if not half else int(fingerprints.mix64(np.array([h], np.uint64) ^ fingerprints._SECOND)[0])
+                vote += (1 + math.log(n)) * (1 if h >> bit & 1 else -1)
+            out |= (vote > 1e-9) << (64 * (1 - half) + bit)
+    return f"{out:032x}"
+
+
+def test_fingerprints_match_a_plain_vote():
+    rng = random.Random(21)
+    texts = [prose(rng, n) for n in (0, 1, 5, 6, 30, 80)] + ["a b c d e " * 9, "Ä ß\tx y\x0bz w " * 3]
+    assert fingerprints.hex_digits(fingerprints.weighted_fingerprints(texts)) == [reference_print(t) for t in texts]
+    # Terms are the runs themselves: a word more, a changed word or other white space.
+    terms = lambda t: fingerprints.term_hashes(t).tolist()
+    assert terms("a b c d e") == terms(" A\tb c\nd  e ") != terms("a b c d f") and len(terms("a b c d e f")) == 2
 
 
 def test_fingerprints_frame(spark):
