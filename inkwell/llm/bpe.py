@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import small_batches, text_slices
+from .common import fixed_rows, small_batches, text_slices
 
 #: Bytes of text in a block of documents; bounds a worker's memory.
 BLOCK_BYTES = 4_500_000
@@ -104,21 +104,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str):
             yield key.digest(), part.column(0), found, list(distinct)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, finish: Callable[[pa.Table], pa.Table] | None = None, schema: str = "n_tokens long, ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, finish: Callable[[pa.Table], pa.Table] | None = None, schema: str = "n_tokens long, ids array<int>", fixed: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (array of int).
 
     Every text is encoded whole, without special tokens, as the tiktoken library does
     with the same ranks and pattern; a null text counts as empty and has no ids. Repeated
     rows are encoded like any others; an empty table gives no rows; other columns are not
-    read. ``docs`` is scanned twice and must give the same rows in the same order both
-    times, as a table or a checkpoint does. ``finish`` may turn each block's rows into
-    others, with the columns of ``schema`` after doc_id, in the worker that has them.
+    read. ``docs`` is scanned twice, so ids and texts are first written to the checkpoint
+    folder, unless ``fixed`` says that it is a table whose files don't change. ``finish``
+    may turn each block's rows into others, with the columns of ``schema`` after doc_id, in
+    the worker that has them.
     """
     spark = docs.sparkSession
     small_batches(spark)
     buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(id_col, text_col)
+    source = fixed_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), fixed)
 
     def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
@@ -165,7 +166,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         for head, which, ids in zip(table["head"].to_pylist(), table["which"].to_pylist(), table["ids"].to_pylist(), strict=True):
             (heads if head else parts).append((which, ids))
         if not heads:
-            raise RuntimeError("the input gave other rows when it was scanned again; write or checkpoint it first")
+            raise RuntimeError("the input gave other rows when it was scanned again; leave ``fixed`` off")
         counts, id_column, n = _unpack(heads[0][0], spread)
         n_words = int(np.frombuffer(n, "<u4")[0])
         words: list = [None] * n_words
@@ -173,7 +174,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for i, x in zip(np.frombuffer(spread.decompress(which), "<u4").tolist(), _unpack(ids, spread), strict=True):
                 words[i] = x
         if any(w is None for w in words):
-            raise RuntimeError("the input gave other rows when it was scanned again; write or checkpoint it first")
+            raise RuntimeError("the input gave other rows when it was scanned again; leave ``fixed`` off")
         planes = np.frombuffer(spread.decompress(heads[0][1]), np.uint8).reshape(4, -1)
         flat = np.ascontiguousarray(planes.T).view("<u4").ravel().tolist()
         counts = np.frombuffer(counts, "<u4").astype(np.int64)
