@@ -193,7 +193,8 @@ def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "w"])
 
     cap = 2 * per_language * windows * len(counts)
-    return sorted((r[0], bytes(r[1])) for r in picked.mapInArrow(cut, "lang string, w binary").limit(cap).collect())
+    found = picked.mapInArrow(cut, "lang string, w binary").orderBy(F.xxhash64("w"), "w", "lang").limit(cap)
+    return sorted((r[0], bytes(r[1])) for r in found.collect())
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, windows: int = 10, steps: int = 64, hidden: int = 8, epochs: int = 6) -> LanguageModel:
@@ -217,7 +218,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """One row per row of ``docs``: doc_id, lang_pred, score.
 
     Whole texts are read. A null text, one without a letter, or a model that has learned
-    nothing gives ``und`` with score 0. Only the text is used.
+    nothing gives ``und`` with score 0. Only the text is used; repeated rows are labelled
+    like any others, an empty table gives no rows, other columns may have any names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, small_batches, text_slices
@@ -59,17 +59,29 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    """Shared weights and ordered thresholds of grades 0..len(thresholds)."""
+    """Shared weights, ordered thresholds, and the grades that they part, one more of them."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    grades: list[int]
 
     def tails(self, x: np.ndarray) -> np.ndarray:
-        """(n, grades - 1): the probability of a grade over k, for k = 0, 1, ..."""
+        """(n, grades - 1): the probability of a grade over the first, the second, ..."""
         return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds[None], -30, 30)))
 
+    def expected(self, tails: np.ndarray) -> np.ndarray:
+        """Expected grade; 0 where no grade is known."""
+        return np.full(len(tails), float(self.grades[0] if self.grades else 0)) + tails @ np.diff(self.grades)[: tails.shape[1]]
 
-def fit(x: np.ndarray, grades: np.ndarray, levels: int, steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> OrdinalModel:
+    def at_least(self, tails: np.ndarray, least: int) -> np.ndarray:
+        """Probability of a grade of at least ``least``; 1 where no grade is known."""
+        under = sum(g < least for g in self.grades)
+        if under and under == len(self.grades):
+            return np.zeros(len(tails))
+        return tails[:, under - 1] if under else np.ones(len(tails))
+
+
+def fit(x: np.ndarray, grades: np.ndarray, levels: int, values: list[int] | None = None, steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> OrdinalModel:
     """Maximum likelihood by Adam; thresholds stay ordered as sums of positive steps."""
     n, width = x.shape
     share = np.array([(grades > k).mean() for k in range(levels - 1)]).clip(0.01, 0.99)
@@ -99,37 +111,47 @@ def fit(x: np.ndarray, grades: np.ndarray, levels: int, steps: int = 300, rate:
             mean[k] = 0.9 * mean[k] + 0.1 * g[k]
             square[k] = 0.99 * square[k] + 0.01 * g[k] ** 2
             p[k] = p[k] - rate * mean[k] / (1 - 0.9**t) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-8)
-    return OrdinalModel(p["w"].astype(np.float32), thresholds())
+    return OrdinalModel(p["w"].astype(np.float32), thresholds(), list(values or range(levels)))
+
+
+#: Grades that a rating may have at most; more of them aren't ratings.
+MOST_GRADES = 100
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality", rows_per_grade: int = 1500, longest: int = 50_000) -> OrdinalModel:
     """Fit on the rated rows with the smallest hashes of their ids: at most
-    ``rows_per_grade`` of each grade 0, 1, ..., none over ``longest`` bytes. Ratings are
-    whole numbers from 0; a document with several has the lowest; null ratings don't
-    count. With fewer than two grades every text gets a tail probability near its share.
+    ``rows_per_grade`` of each grade, none over ``longest`` bytes.
+
+    Ratings are whole numbers, also below 0; the model's levels are the distinct ones in
+    order, at most ``MOST_GRADES``, else it is an error. A document with several ratings
+    has the lowest; null ratings don't count. Where one grade alone is known, every text
+    has it; where none is, every text's tail probability is 1, so that none is rejected.
     """
-    known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(grade_col).cast("int").alias("_y"))
-    levels = (known.agg(F.max("_y")).first()[0] or 0) + 1
+    known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(grade_col).cast("long").alias("_y"))
+    values = sorted(r[0] for r in known.select("_y").distinct().limit(MOST_GRADES + 1).collect())
+    if len(values) > MOST_GRADES:
+        raise ValueError(f"over {MOST_GRADES} distinct grades in {grade_col}")
+    levels = len(values)
     draw = F.xxhash64("_id")
-    picked = None
-    for grade in range(levels):
-        part = known.where(F.col("_y") == grade).orderBy(draw).limit(rows_per_grade)
-        picked = part if picked is None else picked.unionByName(part)
+    # Spark cuts each partition to the first rows of every grade before the shuffle.
+    first = Window.partitionBy("_y").orderBy(draw, "_id")
+    picked = known.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rows_per_grade).drop("_k")
     # At most rows_per_grade ids of each grade.
     joined = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
-    rows = joined.where(F.octet_length("_t") <= longest).select(draw.alias("h"), "_t", "_y").limit(2 * levels * rows_per_grade).collect()
+    rows = joined.where(F.octet_length("_t") <= longest).select(draw.alias("h"), F.xxhash64("_t").alias("h2"), "_t", "_y").orderBy("h", "h2").limit(2 * max(levels, 1) * rows_per_grade).collect()
     rows.sort(key=lambda r: (r["h"], r["_t"]))
-    grades = np.array([r["_y"] for r in rows], int)
+    grades = np.searchsorted(np.array(values, np.int64), np.array([r["_y"] for r in rows], np.int64))
     if len(set(grades.tolist())) < 2:
-        return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.full(max(levels - 1, 1), -5.0 if levels > 1 else 5.0))
-    return fit(np.stack([features(r["_t"]) for r in rows]), grades, levels)
+        return OrdinalModel(np.zeros(DIMENSIONS, np.float32), np.zeros(0), values[-1:] if not len(grades) else [values[grades[0]]])
+    return fit(np.stack([features(r["_t"]) for r in rows]), grades, levels, values)
 
 
 def grade(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, expected_grade, tail_probability, selected.
 
     ``tail_probability`` is that of a grade of at least ``least``; a row is selected
-    unless it is under ``keep``. Whole texts are read; a null text counts as empty.
+    unless it is under ``keep``. Whole texts are read; a null text counts as empty. Repeated
+    rows are graded like any others, an empty table gives no rows, other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
@@ -138,21 +160,21 @@ def grade(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: float = 0.
         for batch in (part for whole in batches for part in text_slices(whole)):
             texts = batch.column(1).to_pylist()
             tails = np.concatenate([model.tails(np.stack([features(t) for t in texts[i : i + 256]])) for i in range(0, len(texts), 256)]) if texts else np.zeros((0, len(model.thresholds)))
-            tail = tails[:, least - 1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= keep)], names=["doc_id", "expected_grade", "tail_probability", "selected"])
+            tail = model.at_least(tails, least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.expected(tails)), pa.array(tail), pa.array(tail >= keep)], names=["doc_id", "expected_grade", "tail_probability", "selected"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, selected boolean")
 
 
 def keep_selected(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``grade`` selects, all columns as they were."""
+    """The rows of ``docs`` that ``grade`` selects, repeated ones too, all columns as they were."""
     kinds = docs.schema
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in text_slices(whole, whole.schema.get_field_index(text_col))):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            ok = [model.tails(features(t)[None])[0, least - 1] >= keep for t in texts]
+            ok = [model.at_least(model.tails(features(t)[None]), least)[0] >= keep for t in texts]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(run, kinds)

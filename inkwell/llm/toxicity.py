@@ -1,23 +1,23 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on what sets toxic text apart, another on ordinary
-text. Short overlapping windows of a document are compressed with each; where the toxic
-dictionary gives the shorter result, the window shares passages with toxic text. The
-largest differences of a document's windows become a probability by a logistic
-calibration on rows that the dictionaries weren't trained on, with the decision
-threshold at the best F1 there.
-
-Three choices make lengths of such short windows comparable. The dictionaries are used
-as raw content of equal length. A fixed primer that both hold opens each window, so that
-the frame of a compressed block is paid for in any case and each further match shows.
-And the toxic dictionary is trained on the words that are much more frequent in toxic
-rows, as the rest of a toxic document is ordinary text.
+One zstandard dictionary is trained on toxic text, another on ordinary text. Short
+overlapping windows of a document are compressed with each; where the toxic dictionary
+gives the shorter result, the window shares passages with toxic text. The largest
+differences of a document's windows become a probability by a logistic calibration on
+rows that the dictionaries weren't trained on, with the decision threshold at the best F1
+there.
+
+Most of a toxic document is ordinary text, which both dictionaries would learn alike. So
+toxic rows are first parsed against the ordinary ones: a run of byte strings that ordinary
+rows hardly ever have, but several toxic rows share, is a passage, and the toxic dictionary
+is trained on passages. The dictionaries are used as raw content of equal length, and a
+fixed primer that both hold opens each window, so that the frame of a compressed block is
+paid for in any case and each further match shows.
 """
 
 from __future__ import annotations
 
 import random
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,22 +31,64 @@ from .common import small_batches, text_slices
 
 PRIMER = bytes(range(1, 25))
 TOP = 4
+#: Bytes of a string by which texts are compared, and of a dictionary at most.
+SPAN, SIZE = 6, 1500
 
 
-def windows_of(text: str | None, width: int = 24, step: int = 16) -> list[bytes]:
+def windows_of(text: str | bytes | None, width: int = 24, step: int = 16) -> list[bytes]:
     """Windows that cover the whole lower-cased text; an empty text has none."""
-    raw = (text or "").lower().encode("utf-8", "surrogatepass")
+    raw = text if isinstance(text, bytes) else (text or "").lower().encode("utf-8", "surrogatepass")
     return [raw[i : i + width] for i in range(0, max(len(raw) - width + step, 1), step)] if raw else []
 
 
-def _words(text: str) -> list[bytes]:
-    return [b" " + w + b" " for w in text.lower().encode("utf-8", "surrogatepass").split()]
+def _spans(raw: bytes) -> np.ndarray:
+    """Every string of ``SPAN`` bytes as a number, one for each place."""
+    data = np.frombuffer(raw, np.uint8)
+    n = max(len(data) - SPAN + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(SPAN):
+        out |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+class _Rows:
+    """How many of some texts have each string of ``SPAN`` bytes."""
+
+    def __init__(self, texts: list[bytes]):
+        self.size = len(texts)
+        self.names, self.counts = np.unique(np.concatenate([np.unique(_spans(t)) for t in texts]), return_counts=True)
+
+    def of(self, spans: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(spans), np.int64)
+        at = np.minimum(np.searchsorted(self.names, spans), len(self.names) - 1)
+        return np.where(self.names[at] == spans, self.counts[at], 0)
+
+
+def passages(texts: list[bytes], toxic: _Rows, ordinary: _Rows, share: float, times: float = 20.0, run: int = 3) -> list[bytes]:
+    """The parts of toxic ``texts`` that ordinary text can't explain.
+
+    A string counts if at least ``share`` of the toxic rows (three at least) have it and
+    its rate there is over ``times`` the ordinary one; ``run`` such strings in a row are a
+    passage, of any length.
+    """
+    least, scale = max(3.0, share * toxic.size), times * toxic.size / max(ordinary.size, 1)
+    out = []
+    for raw in texts:
+        spans = _spans(raw)
+        shared = toxic.of(spans)
+        new = shared >= least
+        some = np.flatnonzero(new)
+        new[some] = shared[some] > scale * (ordinary.of(spans[some]) + 0.5)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], new.astype(np.int8), [0]])))
+        out += [raw[a : b + SPAN - 1] for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= run]
+    return out
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """A dictionary trained by zstandard; the samples themselves where they are too few."""
     try:
-        return zstandard.train_dictionary(size, samples, k=48, d=6, level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=48, d=SPAN, level=3).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -117,7 +159,7 @@ def _best_cut(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((logit[order][best] + after) / 2), float(f1[best])
 
 
-def train(rows: list[tuple[str, int]], size: int = 4096, seed: int = 3) -> ToxicityModel:
+def train(rows: list[tuple[str, int]], size: int = SIZE, seed: int = 3) -> ToxicityModel:
     """A model of (text, label) rows; two thirds train dictionaries, the rest calibrates."""
     rows = [(t or "", int(y)) for t, y in rows]
     fit = [r for i, r in enumerate(rows) if i % 3]
@@ -125,24 +167,21 @@ def train(rows: list[tuple[str, int]], size: int = 4096, seed: int = 3) -> Toxic
     if not any(y for _, y in fit) or all(y for _, y in fit) or not any(y for _, y in check):
         rate = float(np.mean([y for _, y in rows])) if rows else 0.0
         return ToxicityModel(b"", b"", np.array([np.log((rate + 1e-3) / (1 - rate + 1e-3)), 0, 0, 0]), np.log(0.7 / 0.3))
-    in_toxic, in_ordinary, n = Counter(), Counter(), [0, 0]
-    for text, y in fit:
-        (in_toxic if y else in_ordinary).update(set(_words(text)))
-        n[y] += 1
+    bad, good = ([(t.lower().encode("utf-8", "surrogatepass")) for t, label in fit if label == y] for y in (1, 0))
     rng = random.Random(seed)
-    plain = [w for text, y in fit if not y for w in rng.choices(_words(text) or [b" "], k=200)]
+    plain = [w for t in good for w in rng.choices(windows_of(t) or [b" "], k=20)]
     rng.shuffle(plain)
+    whole = _dictionary(plain, 4 * size)
+    toxic_rows, ordinary_rows = _Rows(bad), _Rows(good)
     labels = np.array([y for _, y in check], float)
     best = None
-    for least in (0.01, 0.02, 0.04):
-        marked = {w for w, c in in_toxic.items() if c >= max(3, least * n[1]) and c / n[1] > 20 * in_ordinary[w] / n[0]}
-        samples = [w for text, y in fit if y for w in _words(text) if w in marked]
+    for share in (0.005, 0.015, 0.04):
+        samples = passages(bad, toxic_rows, ordinary_rows, share)
         if len(samples) < 8:
             continue
         rng.shuffle(samples)
         toxic = _dictionary(samples, size)
-        ordinary = _dictionary(plain[:100_000], size)[: len(toxic)]
-        model = ToxicityModel(toxic, ordinary, np.zeros(4), 0.0)
+        model = ToxicityModel(toxic, whole[-len(toxic) :], np.zeros(4), 0.0)
         x = model.features([t for t, _ in check])
         model.weights = _logistic(x, labels)
         model.cut, f1 = _best_cut(x @ model.weights, labels)
@@ -151,7 +190,7 @@ def train(rows: list[tuple[str, int]], size: int = 4096, seed: int = 3) -> Toxic
     return best[1] if best else train([(t, 0) for t, _ in rows])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 2000, ordinary_rows: int = 4000, longest: int = 50_000) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = 1500, ordinary_rows: int = 3000, longest: int = 30_000) -> ToxicityModel:
     """Train on the labelled rows with the smallest hashes of their ids, at most
     ``toxic_rows`` and ``ordinary_rows``, none over ``longest`` bytes; a document with
     several labels has the largest."""
@@ -160,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where("_y = 1").orderBy(draw).limit(toxic_rows).unionByName(known.where("_y = 0").orderBy(draw).limit(ordinary_rows))
     # At most toxic_rows + ordinary_rows ids.
     joined = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
-    rows = joined.where(F.octet_length("_t") <= longest).select(F.xxhash64("_id").alias("h"), "_t", "_y").limit(2 * (toxic_rows + ordinary_rows)).collect()
+    rows = joined.where(F.octet_length("_t") <= longest).select(F.xxhash64("_id").alias("h"), F.xxhash64("_t").alias("h2"), "_t", "_y").orderBy("h", "h2").limit(toxic_rows + ordinary_rows).collect()
     return train([(r["_t"], r["_y"]) for r in sorted(rows, key=lambda r: (r["h"], r["_t"]))])
 
 
@@ -168,7 +207,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """One row per row of ``docs``: doc_id, score, predicted (1 if score >= 0.7).
 
     Whole texts are scored, in windows; a null or empty text scores as one without a
-    toxic window. Only the text is used. Labels only from one class give a constant score.
+    toxic window. Only the text is used; repeated rows score like any others, an empty table
+    gives no rows, other columns may have any names. Labels only from one class give a
+    constant score.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     small_batches(docs.sparkSession)
