@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from inkwell.llm.common import checkpoint_dir
+from inkwell.llm.common import checkpoint_dir, remove_folder
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +27,20 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five words, similarity about 0.8) the smallest id stays."""
+    """Of each class of near duplicates (five words, similarity 0.8) the smallest id stays."""
     return near_dedup.drop_near_duplicates(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources mixed to their weights, a row for each part of a document in a slot."""
+    """The sources mixed to their weights, a row for each part of a document in a slot, in
+    the order of shards and slots."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row of the mixture, and the digest of what they decode to."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.encode_with_digests(docs, ranks, pattern, keep_ids=True)
+    return bpe.encode_with_digests(docs, ranks, pattern, keep_ids=True, fixed=True)
 
 
 STAGES = [
@@ -56,10 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written below the checkpoint folder and read again."""
+    """All stages over documents; each is written below the checkpoint folder and read again,
+    and removed when the next one is written."""
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return docs
