@@ -1,8 +1,10 @@
 """Ink metrics over pixel rows.
 
 A glyph is a set of rows (row, col) of one key. Distances are computed on one row per
-pair that holds both pixel arrays, by higher-order functions in the JVM: a glyph has at
-most 128 x 128 pixels, so a row is bounded, and one shuffle by the key is all there is.
+pair that holds both pixel arrays: a glyph has at most 128 x 128 pixels, so a row is
+bounded, and one shuffle by the key is all there is. Kernels get pixels as flat numbers,
+row x 128 + col, in Arrow batches. Nearest pixels come from pairwise differences of small
+glyphs, and from a distance map of larger ones, made once for each template of a batch.
 """
 
 from __future__ import annotations
@@ -30,10 +32,71 @@ def pairs(student: DataFrame, template: DataFrame) -> DataFrame:
     return joined.withColumn("p", F.coalesce("p", empty))
 
 
+def codes(pixels: Column | str) -> Column:
+    """Pixels within the canvas as flat numbers."""
+    c = F.col(pixels) if isinstance(pixels, str) else pixels
+    inside = F.filter(c, lambda x: x["row"].between(0, K.CANVAS - 1) & x["col"].between(0, K.CANVAS - 1))
+    return F.transform(inside, lambda x: x["row"] * K.CANVAS + x["col"])
+
+
+def decoded(flat: Column) -> Column:
+    """Flat numbers as pixels."""
+    return F.transform(flat, lambda x: F.struct(F.floor(x / K.CANVAS).cast("int").alias("row"), (x % K.CANVAS).cast("int").alias("col")))
+
+
+def _points(flat) -> np.ndarray:
+    flat = np.asarray(flat if flat is not None else [], np.int64)
+    return np.stack([flat // K.CANVAS, flat % K.CANVAS], axis=1)
+
+
+def distance_map(mask: np.ndarray) -> np.ndarray:
+    """Exact squared distance of every cell to the nearest set one; -1 if none is set.
+
+    Distances along each row first, then the least over all columns.
+    """
+    if not mask.any():
+        return np.full(mask.shape, -1, np.int64)
+    h, w = mask.shape
+    at = np.arange(w)
+    far = 4 * (h + w)
+    left = np.maximum.accumulate(np.where(mask, at, -far), axis=1)
+    right = np.minimum.accumulate(np.where(mask, at, far)[:, ::-1], axis=1)[:, ::-1]
+    across = np.minimum(at - left, right - at).astype(np.int64) ** 2
+    down = (np.arange(h)[:, None] - np.arange(h)[None]) ** 2
+    return np.min(down[:, :, None] + across[None], axis=1)
+
+
+#: Pairs of pixels up to which nearest ones are found pair by pair.
+PAIRWISE = 1 << 16
+
+
+class _Nearest:
+    """Squared distances to the nearest pixel of glyphs, whose maps are kept for a batch."""
+
+    def __init__(self):
+        self.maps: dict[bytes, np.ndarray] = {}
+
+    def __call__(self, a, b) -> np.ndarray:
+        x, y = _points(a), _points(b)
+        if len(x) * len(y) <= PAIRWISE:
+            return ((x[:, None] - y[None]) ** 2).sum(axis=2).min(axis=1) if len(y) else np.full(len(x), -1)
+        key = np.asarray(b, np.int64).tobytes()
+        if key not in self.maps:
+            self.maps[key] = distance_map(grid(b))
+        return self.maps[key][x[:, 0], x[:, 1]]
+
+
 def squared_distances(a: Column | str, b: Column | str) -> Column:
-    """For each pixel of ``a`` the squared distance to the nearest of ``b``; null if b is empty."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.transform(a, lambda x: F.array_min(F.transform(b, lambda y: (x["row"] - y["row"]) * (x["row"] - y["row"]) + (x["col"] - y["col"]) * (x["col"] - y["col"]))))
+    """For each pixel of ``a`` on the canvas the squared distance to the nearest of ``b``;
+    null if b is empty."""
+
+    @F.pandas_udf("array<int>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        nearest = _Nearest()
+        out = [nearest(i, j) for i, j in zip(x, y, strict=True)]
+        return pd.Series([d.tolist() if len(d) == 0 or d[0] >= 0 else [None] * len(d) for d in out], dtype=object)
+
+    return run(codes(a), codes(b))
 
 
 def _sum(values: Column) -> Column:
@@ -50,18 +113,36 @@ def levels(df: DataFrame, tolerance: dict[str, float] | None = None) -> DataFram
     return df.withColumn("_l", F.explode(entries)).select(*df.columns, "_l.level", "_l.tol")
 
 
-def covered(a: Column, p: Column, tol: Column) -> Column:
-    """Pixels of ``p`` that an ellipse of radius max(1, int(tol)) around a pixel of ``a`` hits."""
-    radius = F.greatest(F.lit(1), tol.cast("int"))
+def covered(a: Column | str, p: Column | str, tol: Column) -> Column:
+    """How many pixels of ``p`` an ellipse of radius max(1, int(tol)) around one of ``a`` hits."""
 
-    def half_width(dr: Column) -> Column:
-        return F.rint(radius * F.sqrt((radius * radius - dr * dr) / (radius * radius).cast("double")))
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for i, j, tolerance in zip(x, y, t, strict=True):
+            radius = max(1, int(tolerance))
+            u, v = _points(i), _points(j)
+            if len(u) * len(v) <= PAIRWISE:
+                dr, dc = (np.abs(v[:, None, k] - u[None, :, k]) for k in (0, 1))
+                half = np.rint(radius * np.sqrt((radius * radius - np.minimum(dr, radius) ** 2) / float(radius * radius)))
+                out.append(int(((dr <= radius) & (dc <= half)).any(axis=1).sum()))
+            else:
+                out.append(int(_widened(grid(i), radius)[v[:, 0], v[:, 1]].sum()))
+        return pd.Series(out)
 
-    def hit(x: Column, y: Column) -> Column:
-        dr = F.abs(x["row"] - y["row"])
-        return (dr <= radius) & (F.abs(x["col"] - y["col"]) <= half_width(F.least(dr, radius)))
+    return run(codes(a), codes(p), tol)
 
-    return F.filter(p, lambda y: F.exists(a, lambda x: hit(x, y)))
+
+def _widened(mask: np.ndarray, radius: int) -> np.ndarray:
+    """The mask with an ellipse of the radius around every set cell."""
+    h, w = mask.shape
+    wide = np.pad(mask, radius)
+    out = np.zeros_like(mask)
+    half = K.ellipse_half_widths(radius)
+    for dr in range(-radius, radius + 1):
+        for dc in range(-half[abs(dr)], half[abs(dr)] + 1):
+            out |= wide[radius + dr : radius + dr + h, radius + dc : radius + dc + w]
+    return out
 
 
 def fidelity(glyphs: DataFrame, tolerance: dict[str, float] | None = None) -> DataFrame:
@@ -72,7 +153,7 @@ def fidelity(glyphs: DataFrame, tolerance: dict[str, float] | None = None) -> Da
     rows = levels(glyphs.withColumn("d2", squared_distances("a", "p")), tolerance)
     usable = (F.size("a") > 0) & (F.size("p") > 0)
     error = F.when(usable, _mean(F.transform("d2", lambda d: F.greatest(F.lit(0.0), F.sqrt(d.cast("double")) - F.col("tol")))))
-    share = F.when(usable, F.size(covered(F.col("a"), F.col("p"), F.col("tol"))) / F.size("p"))
+    share = F.when(usable, covered("a", "p", F.col("tol")) / F.size("p"))
     out = rows.withColumn("mean_error", error).withColumn("coverage", F.coalesce(share, F.lit(0.0)))
     out = out.withColumn("precision", F.when(usable, F.greatest(F.lit(0.0), 100.0 * (1.0 - F.col("mean_error") / K.MAX_MEAN_ERROR))).otherwise(0.0))
     return out.withColumn("fidelity", K.WEIGHT_PRECISION * F.col("precision") + K.WEIGHT_COVERAGE * F.col("coverage") * 100.0).drop("d2")
@@ -153,21 +234,19 @@ def smoothness(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return agg.withColumn("smoothness", F.when(F.col("area") < 4, 0.0).when(F.col("perimeter") == 0, 1.0).otherwise(value))
 
 
+def second_moments(n, sx, sy, sxx, syy, sxy):
+    """Central second moments (mu20, mu02, mu11) of sums, given as columns or numbers."""
+    return sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
+
+
 def deskew_angle(pixels: DataFrame, keys: list[str], most: float = 30.0) -> DataFrame:
     """Deskew angle in degrees from second central moments, and whether it is applied."""
-    agg = pixels.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.sum("col").cast("double").alias("sx"),
-        F.sum("row").cast("double").alias("sy"),
-        F.sum(F.col("col") * F.col("col")).cast("double").alias("sxx"),
-        F.sum(F.col("row") * F.col("row")).cast("double").alias("syy"),
-        F.sum(F.col("col") * F.col("row")).cast("double").alias("sxy"),
-    )
-    n = F.col("n")
-    mu20, mu02 = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    mu11 = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    x, y = F.col("col"), F.col("row")
+    sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    agg = pixels.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(v).cast("double").alias(k) for k, v in sums.items()])
+    mu20, mu02, mu11 = second_moments(F.col("n"), *[F.col(k) for k in sums])
     angle = F.degrees(0.5 * F.atan2(2 * mu11, mu20 - mu02))
-    out = agg.withColumn("raw", F.when((n < 10) | (F.abs(mu20 - mu02) < 1e-5), 0.0).otherwise(angle))
+    out = agg.withColumn("raw", F.when((F.col("n") < 10) | (F.abs(mu20 - mu02) < 1e-5), 0.0).otherwise(angle))
     return out.withColumn("angle", F.when(F.abs("raw") > most, 0.0).otherwise(F.col("raw"))).select(*keys, "n", "raw", "angle")
 
 
@@ -192,11 +271,16 @@ def align(student: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def grid(pixels) -> np.ndarray:
+    """The canvas of pixels given as flat numbers, or as rows and columns."""
     out = np.zeros((K.CANVAS, K.CANVAS), bool)
-    if len(pixels):
+    if pixels is None or not len(pixels):
+        return out
+    if isinstance(pixels[0], dict):
         at = np.array([(p["row"], p["col"]) for p in pixels])
         at = at[((at >= 0) & (at < K.CANVAS)).all(axis=1)]
         out[at[:, 0], at[:, 1]] = True
+    else:
+        out.ravel()[np.asarray(pixels, np.int64)] = True
     return out
 
 
@@ -313,9 +397,9 @@ def thin(mask: np.ndarray) -> np.ndarray:
 def _kernel(function, kind: str):
     @F.pandas_udf(kind)
     def run(pixels: pd.Series) -> pd.Series:
-        return pd.Series([function(grid(p if p is not None else [])) for p in pixels])
+        return pd.Series([function(grid(p)) for p in pixels])
 
-    return run
+    return lambda pixels: run(codes(pixels))
 
 
 def components_column(pixels: str = "a") -> Column:
@@ -333,11 +417,11 @@ def thickness_column(pixels: str = "a") -> Column:
 
 
 def thinned_column(pixels: str = "a") -> Column:
-    return _kernel(lambda m: [{"row": int(r), "col": int(c)} for r, c in np.argwhere(thin(m))], "array<struct<row:int,col:int>>")(pixels)
+    return decoded(_kernel(lambda m: np.flatnonzero(thin(m)).tolist(), "array<int>")(pixels))
 
 
 def pruned_column(pixels: str = "a", rounds: int = 5) -> Column:
-    return _kernel(lambda m: [{"row": int(r), "col": int(c)} for r, c in np.argwhere(prune_spurs(m, rounds))], "array<struct<row:int,col:int>>")(pixels)
+    return decoded(_kernel(lambda m: np.flatnonzero(prune_spurs(m, rounds)).tolist(), "array<int>")(pixels))
 
 
 def ssim_column(a: str = "a", p: str = "p") -> Column:
@@ -345,7 +429,7 @@ def ssim_column(a: str = "a", p: str = "p") -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([structural_similarity(grid(i), grid(j)) for i, j in zip(x, y, strict=True)])
 
-    return run(a, p)
+    return run(codes(a), codes(p))
 
 
 def dilate(pixels: DataFrame, keys: list[str], level: str) -> DataFrame:
@@ -360,16 +444,13 @@ def dilate(pixels: DataFrame, keys: list[str], level: str) -> DataFrame:
 def largest_fragments(pixels: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
     """Pixels of the components with at least ``share`` of the largest one's pixels."""
 
-    @F.pandas_udf("array<struct<row:int,col:int>>")
-    def keep(col: pd.Series) -> pd.Series:
-        out = []
-        for p in col:
-            parts = _search(grid(p), [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-            least = share * max(map(len, parts), default=0)
-            out.append([{"row": r, "col": c} for part in parts if len(part) >= least for r, c in part])
-        return pd.Series(out)
+    def kept(mask: np.ndarray) -> list[int]:
+        parts = _search(mask, [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        least = share * max(map(len, parts), default=0)
+        return [r * K.CANVAS + c for part in parts if len(part) >= least for r, c in part]
 
-    return gather(pixels, keys, "a").select(*keys, F.explode(keep("a")).alias("q")).select(*keys, "q.row", "q.col")
+    found = gather(pixels, keys, "a").select(*keys, F.explode(decoded(_kernel(kept, "array<int>")("a"))).alias("q"))
+    return found.select(*keys, "q.row", "q.col")
 
 
 def first_glyph_pairs(glyphs: DataFrame, page: Column, order: Column) -> DataFrame:

@@ -2,10 +2,87 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from . import ink, sequence
+
+
+RAW = "same_loops boolean, ssim double, disparity double, hausdorff double, trajectory double, cosine double"
+
+
+def centred(mask: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """The mask moved so that the centroids meet; shifts under one pixel aren't applied, and
+    what leaves the canvas is dropped."""
+    a, p = np.argwhere(mask), np.argwhere(on)
+    if not len(a) or not len(p):
+        return mask
+    shift = p.mean(axis=0) - a.mean(axis=0)
+    if np.sqrt((shift**2).sum()) < 1.0:
+        return mask
+    a = a + np.floor(shift + 0.5).astype(int)
+    a = a[((a >= 0) & (a < mask.shape)).all(axis=1)]
+    out = np.zeros_like(mask)
+    out[a[:, 0], a[:, 1]] = True
+    return out
+
+
+def glyph_metrics(student: Column | str, skeleton: Column | str) -> Column:
+    """What the score needs of a student's ink beside the template's skeleton, unrounded.
+
+    The ink is thinned first. Similarity, Procrustes and Hausdorff are of the thinned ink
+    moved onto the template's centroid; loops, trajectory and cosine of it where it lies.
+    ``cosine`` is null where no run has a direction; Hausdorff and trajectory of an empty
+    glyph, and the disparity of one under three pixels, are undefined (999).
+    """
+
+    @F.pandas_udf(RAW)
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        nearest, known, rows, left, right = ink._Nearest(), {}, [], [], []
+        for a, p in zip(x, y, strict=True):
+            key = np.asarray(p if p is not None else [], np.int64).tobytes()
+            if key not in known:
+                mask = ink.grid(p)
+                known[key] = mask, ink.loops(mask), sequence.by_angle(np.argwhere(mask))
+            template, loops, curve = known[key]
+            thin = ink.thin(ink.grid(a))
+            moved = centred(thin, template)
+            there, back = np.flatnonzero(moved), np.flatnonzero(template)
+            far = float(np.sqrt(max(nearest(there, back).max(), nearest(back, there).max()))) if len(there) and len(back) else K.UNDEFINED
+            path = sequence.by_angle(np.argwhere(thin))
+            rows.append((ink.loops(thin) == loops, ink.structural_similarity(moved, template), sequence.disparity(curve, sequence.by_angle(np.argwhere(moved))), far, sequence.mean_cosine(path, curve)))
+            left.append(sequence.evenly(curve))
+            right.append(sequence.evenly(path))
+            if len(nearest.maps) > 64:
+                nearest.maps.clear()
+        names = ["same_loops", "ssim", "disparity", "hausdorff", "cosine"]
+        out = pd.DataFrame(rows, columns=names)
+        out["trajectory"] = sequence.banded_dtw_many(left, right)
+        out["cosine"] = out["cosine"].astype("float64")
+        return out[[part.split()[0] for part in RAW.split(", ")]]
+
+    return run(ink.codes(student), ink.codes(skeleton))
+
+
+def scored(glyphs: DataFrame, level: str = "intermedio") -> DataFrame:
+    """g, t, level, the eight components and score_final of (g, t, a, p): a student's ink and
+    its template's skeleton. Each figure is rounded where a user sees it: precision and
+    distances to two places, coverage to four, then components and score to two."""
+    near = ink.fidelity(glyphs, {level: K.TOLERANCE[level]})
+    r = F.bround
+    precision, coverage = r("precision", 2), r("coverage", 4)
+    fidelity = r(K.WEIGHT_PRECISION * precision + K.WEIGHT_COVERAGE * coverage * 100.0, 2)
+    rows = near.select("g", "t", "level", fidelity.alias("fidelity"), coverage.alias("coverage"), glyph_metrics("a", "p").alias("m"))
+    ssim = r((F.coalesce("m.ssim", F.lit(0.0)) + 1) / 2 * 100, 2)
+    procrustes = r(F.greatest(F.lit(0.0), 100.0 - 50.0 * F.col("m.disparity")), 2)
+    cosine = r(F.coalesce((F.col("m.cosine") + 1) / 2 * 100, F.lit(50.0)), 2)
+    parts = component_scores(F.col("fidelity"), F.col("coverage"), F.col("m.same_loops"), ssim, procrustes, r("m.hausdorff", 2), r("m.trajectory", 2), cosine)
+    rows = rows.select("g", "t", "level", *[v.alias(k) for k, v in parts.items()])
+    final = r(final_score({k: F.col(k) for k in parts}), 2).alias("score_final")
+    return rows.select("g", "t", "level", *[r(k, 2).alias(k) for k in parts], final)
 
 
 def clamp(x: Column) -> Column:

@@ -97,6 +97,63 @@ def segment_cosine(glyphs: DataFrame, student: DataFrame, template: DataFrame) -
     return glyphs.join(agg, "g", "left").select("g", F.coalesce("mean", F.lit(0.0)).alias("mean_cosine"), F.coalesce((F.col("mean") + 1) / 2 * 100, F.lit(50.0)).alias("score"))
 
 
+# The same of one glyph at a time, for kernels that have its pixels at hand -----------
+
+
+def by_angle(points: np.ndarray) -> np.ndarray:
+    """Points in the order of ``angular_order``."""
+    if not len(points):
+        return points
+    turned = len(points) * points - points.sum(axis=0)
+    return points[np.lexsort((points[:, 1], points[:, 0], np.arctan2(turned[:, 0].astype(float), turned[:, 1].astype(float))))]
+
+
+def evenly(ordered: np.ndarray, most: int = K.TRAJECTORY_POINTS) -> np.ndarray:
+    n = len(ordered)
+    return ordered if n <= most else ordered[np.arange(most) * (n - 1) // (most - 1)]
+
+
+def along_curve(ordered: np.ndarray, n: int = K.PROCRUSTES_POINTS) -> np.ndarray:
+    """``n`` points of the closed curve; none where it has no length."""
+    here, there = ordered.astype(float), np.roll(ordered, -1, axis=0).astype(float)
+    step = np.sqrt(((there - here) ** 2).sum(axis=1))
+    upto = np.cumsum(step)
+    if not len(upto) or upto[-1] <= 0:
+        return np.zeros((0, 2))
+    want = np.arange(n) * (upto[-1] * (n - 1) / n / n)
+    at = np.minimum(np.searchsorted(upto, want, side="right"), len(upto) - 1)
+    share = ((want - (upto[at] - step[at])) / (step[at] + 1e-9))[:, None]
+    return (1 - share) * here[at] + share * there[at]
+
+
+def disparity(a: np.ndarray, b: np.ndarray) -> float:
+    """Procrustes disparity of two ordered glyphs; undefined under three points."""
+    if min(len(a), len(b)) < 3:
+        return K.UNDEFINED
+    x, y = (z - z.mean(axis=0) if len(z) else z for z in (along_curve(a), along_curve(b)))
+    size = (x * x).sum() * (y * y).sum() if len(x) and len(y) else 0.0
+    if size <= 0:
+        return K.UNDEFINED
+    m = x.T @ y
+    return float(1.0 - ((m * m).sum() + 2 * abs(m[0, 0] * m[1, 1] - m[0, 1] * m[1, 0])) / size)
+
+
+def directions(ordered: np.ndarray, segments: int = K.SEGMENTS) -> np.ndarray:
+    """Unit vectors of the equal runs that have a direction."""
+    size = max(1, len(ordered) // segments)
+    runs = [ordered[at : at + size] for at in range(0, min(len(ordered), size * segments), size)]
+    ends = np.array([run[-1] - run[0] for run in runs], float).reshape(-1, 2)
+    norm = np.sqrt((ends**2).sum(axis=1))
+    return ends[norm > 1e-9] / norm[norm > 1e-9, None]
+
+
+def mean_cosine(a: np.ndarray, b: np.ndarray) -> float | None:
+    """Mean cosine of paired runs of two ordered glyphs, None where there are none."""
+    x, y = directions(a), directions(b)
+    k = min(len(x), len(y))
+    return float(np.clip((x[:k] * y[:k]).sum(axis=1), -1, 1).mean()) if k else None
+
+
 def banded_dtw(p: np.ndarray, a: np.ndarray, band_ratio: float = K.BAND_RATIO) -> float:
     """Sakoe-Chiba banded DTW over the longer length; 999 if either is empty or no path ends."""
     return float(banded_dtw_batch(np.asarray(p, float)[None], np.asarray(a, float)[None], band_ratio)[0])
@@ -124,6 +181,19 @@ def banded_dtw_batch(p: np.ndarray, a: np.ndarray, band_ratio: float = K.BAND_RA
     return np.where(end >= inf, K.UNDEFINED, end / max(n, m))
 
 
+def banded_dtw_many(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Banded DTW of each pair; pairs of the same lengths are computed together."""
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (u, v) in enumerate(zip(left, right, strict=True)):
+        shapes.setdefault((len(u), len(v)), []).append(i)
+    out = np.empty(len(left))
+    for rows in shapes.values():
+        for at in range(0, len(rows), 1024):
+            part = rows[at : at + 1024]
+            out[part] = banded_dtw_batch(np.stack([left[i] for i in part]).astype(float), np.stack([right[i] for i in part]).astype(float))
+    return out
+
+
 def trajectory_column(p: Column, a: Column) -> Column:
     """Banded DTW of two arrays of points already ordered, in Arrow batches; pairs of the
     same lengths are computed together."""
@@ -132,15 +202,7 @@ def trajectory_column(p: Column, a: Column) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         points = lambda s: np.array([(q["row"], q["col"]) for q in s], float).reshape(-1, 2) if s is not None else np.zeros((0, 2))
         left, right = [points(s) for s in x], [points(s) for s in y]
-        shapes: dict[tuple[int, int], list[int]] = {}
-        for i, (u, v) in enumerate(zip(left, right, strict=True)):
-            shapes.setdefault((len(u), len(v)), []).append(i)
-        out = np.empty(len(left))
-        for rows in shapes.values():
-            for at in range(0, len(rows), 1024):
-                part = rows[at : at + 1024]
-                out[part] = banded_dtw_batch(np.stack([left[i] for i in part]), np.stack([right[i] for i in part]))
-        return pd.Series(out)
+        return pd.Series(banded_dtw_many(left, right))
 
     return run(p, a)
 

@@ -267,28 +267,15 @@ def seq_mean_min_dist(spark, sf_dir):
 # Scores --------------------------------------------------------------------------
 
 
-def scored(spark, sf_dir, level: str = "intermedio") -> DataFrame:
-    """All eight components and the final score of each student glyph."""
-    pairs = glyphs(spark, sf_dir)
-    f = ink.fidelity(pairs, {level: K.TOLERANCE[level]}).select("g", "fidelity", "coverage", "a", "p", "t")
-    f = f.withColumn("ssim", (ink.ssim_column("a", "p") + 1) / 2 * 100).withColumn("same", ink.loops_column("a") == ink.loops_column("p"))
-    h = ink.hausdorff(pairs).select("g", "hausdorff")
-    rest = _procrustes(spark, sf_dir).select("g", F.col("score").alias("procrustes")).join(_trajectory(spark, sf_dir), "g").join(_cosines(spark, sf_dir).select("g", F.col("score").alias("cosine")), "g")
-    rows = f.drop("a", "p").join(h, "g").join(rest, "g")
-    parts = score.component_scores(*[F.col(c) for c in ("fidelity", "coverage", "same", "ssim", "procrustes", "hausdorff", "trajectory", "cosine")])
-    rows = rows.select("g", "t", F.lit(level).alias("level"), *[v.alias(k) for k, v in parts.items()])
-    return rows.withColumn("score_final", score.final_score({k: F.col(k) for k in parts}))
-
-
 @catalogue.add()
 def score_final(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return s.select("g", "t", "level", *[F.round(c, 4).alias(c) for c in [*K.WEIGHTS, "score_final"]])
+    """All eight components and the final score of each student glyph."""
+    return score.scored(glyphs(spark, sf_dir))
 
 
 @catalogue.add()
 def score_feedback(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = score.scored(glyphs(spark, sf_dir))
     text = score.feedback(F.col("score_final"), F.col("dt_coverage"), F.col("dt_precision"), F.col("topology"), F.col("hausdorff"))
     return s.select("g", text.alias("feedback"))
 

@@ -221,3 +221,71 @@ def test_page_average_ignores_zeros(spark):
     rows = spark.createDataFrame([(1, 0.0), (1, 80.0), (1, 60.0), (2, 0.0)], "page int, s double")
     out = {r.page: r for r in score.page_average(rows, "page", "s").collect()}
     assert (out[1].avg_score, out[1].n_evaluated) == (70, 2) and out[2].avg_score == 0
+
+
+@given(st.sets(st.tuples(st.integers(0, 127), st.integers(0, 127)), max_size=30))
+@settings(max_examples=20, deadline=None)
+def test_distance_map_is_exact(points):
+    mask = np.zeros((128, 128), bool)
+    for r, c in points:
+        mask[r, c] = True
+    got = ink.distance_map(mask)
+    for r, c in ((0, 0), (64, 13), (127, 127), *list(points)[:3]):
+        assert got[r, c] == min(((r - a) ** 2 + (c - b) ** 2 for a, b in points), default=-1)
+
+
+def test_large_and_small_glyphs_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    some = [[(int(r), int(c)) for r, c in np.unique(rng.integers(0, 128, (n, 2)), axis=0)] for n in (1, 40, 300)]
+    df = glyphs(spark, *[(a, p) for a in some for p in some])
+    run = lambda: [tuple(r) for r in ink.fidelity(df).select("g", "level", "mean_error", "coverage").orderBy("g", "level").collect()]
+    plain = run()
+    x, y = np.array(some[2]), np.array(some[1])
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2).min(1))
+    assert [r[2] for r in plain if r[:2] == (7, "intermedio")][0] == pytest.approx(np.maximum(0, d - 5).mean())
+    flat = lambda s: [r * 128 + c for r, c in s]
+    for a in some:
+        for p in some:
+            small = ink._Nearest()(flat(a), flat(p))
+            monkeypatch.setattr(ink, "PAIRWISE", 0)
+            assert (ink._Nearest()(flat(a), flat(p)) == small).all()
+            monkeypatch.undo()
+    for radius in (1, 3, 5, 8):
+        wide = ink._widened(ink.grid(flat(some[1])), radius)
+        half = K.ellipse_half_widths(radius)
+        want = {(r, c) for r in range(128) for c in range(128) if any(abs(r - a) <= radius and abs(c - b) <= half[min(abs(r - a), radius)] for a, b in some[1])}
+        assert set(map(tuple, np.argwhere(wide).tolist())) == want
+
+
+def test_score_parts_match_the_sequence_operators(spark):
+    """The kernel's sequences beside those that Spark computes on the thinned, moved ink."""
+    rng = np.random.default_rng(8)
+    inks = [[(40 + int(r), 40 + int(c)) for r, c in np.unique(rng.integers(0, 30, (n, 2)), axis=0)] for n in (60, 200, 25)]
+    student = pixels(spark, *inks)
+    template = spark.createDataFrame([(t, r, c) for t in range(3) for r, c in CURVE], "t int, row int, col int")
+    pairs = ink.pairs(student, template)
+    got = {r.g: r for r in pairs.select("g", score.glyph_metrics("a", "p").alias("m")).select("g", "m.*").collect()}
+    thin = pairs.select("g", "t", F.explode(ink.thinned_column("a")).alias("q")).select("g", "t", "q.row", "q.col")
+    moved = ink.align(thin, template)
+    order = lambda df, keys: sequence.angular_order(df, keys)
+    far = {r.g: r for r in ink.hausdorff(ink.pairs(moved, template)).collect()}
+    procrustes = {r.g: r for r in sequence.procrustes(sequence.resample(order(moved, ["g", "t"]), ["g", "t"]), sequence.resample(order(template, ["t"]), ["t"]), ["g"], ["t"]).collect()}
+    a, p = order(thin, ["g", "t"]), order(template, ["t"])
+    cosine = {r.g: r for r in sequence.segment_cosine(a.select("g").distinct(), sequence.segment_vectors(a, ["g", "t"]), sequence.segment_vectors(p, ["t"])).collect()}
+    paths = sequence.as_array(sequence.subsample(a, ["g", "t"]), ["g", "t"], "sa").join(sequence.as_array(sequence.subsample(p, ["t"]), ["t"], "sp"), "t")
+    path = {r.g: r.d for r in paths.select("g", sequence.trajectory_column(F.col("sp"), F.col("sa")).alias("d")).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for g, r in got.items():
+        assert r.hausdorff == pytest.approx(far[g].hausdorff) and r.disparity == pytest.approx(procrustes[g].disparity)
+        assert r.cosine == pytest.approx(cosine[g].mean_cosine) and r.trajectory == pytest.approx(path[g])
+        mask = ink.thin(ink.grid([x * 128 + y for x, y in inks[g]]))
+        on = ink.grid([x * 128 + y for x, y in CURVE])
+        assert r.same_loops == (ink.loops(mask) == ink.loops(on)) and r.ssim == pytest.approx(ink.structural_similarity(score.centred(mask, on), on))
+
+
+def test_score_of_like_and_empty_glyphs(spark):
+    ring = RING
+    rows = {r.g: r for r in score.scored(glyphs(spark, (ring, ring), ([], ring), (ring, []))).collect()}
+    assert rows[0].score_final == 100.0 and {rows[0][k] for k in K.WEIGHTS} == {100.0}
+    for g in (1, 2):
+        assert (rows[g].dt_precision, rows[g].dt_coverage, rows[g].hausdorff, rows[g].trajectory, rows[g].procrustes, rows[g].cosine) == (0, 0, 0, 0, 0, 50)

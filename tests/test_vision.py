@@ -73,10 +73,10 @@ def test_geometry():
     assert (R.letterbox(np.zeros((10, 20), np.uint8), 40)[10:30] == 0).all()
     t = R.prepare(letter())
     assert t.shape == (1, 3, 128, 128) and abs(int(R.denormalize(t)[64, 5, 0]) - 240) <= 1
-    mask, info = R.crop_and_center(letter() < 100)
+    mask, info = R.on_canvas(letter() < 100)
     y, x = np.nonzero(mask)
     assert (info["w_obj"], info["h_obj"]) == (50, 60) and y.max() - y.min() + 1 <= 98 and abs(x.mean() - 63.5) < 4
-    assert R.crop_and_center(np.zeros((5, 5), bool))[1]["scale_factor"] == 0
+    assert R.on_canvas(np.zeros((5, 5), bool))[1]["scale_factor"] == 0
     assert (R.rotate(letter(), 0) == letter()).all()
     assert R.hull_area(np.array([(0, 0), (0, 4), (4, 0), (4, 4), (2, 2)])) == 16
 
@@ -98,14 +98,14 @@ def test_masks():
     noisy = mask.copy()
     noisy[3, 3] = noisy[90, 90] = True
     assert (R.remove_specks(noisy) == mask).all()
-    assert R.mask_valid(mask) and not R.mask_garbage(mask)
+    assert R.mask_usable(mask) and not R.mask_garbage(mask)
     assert R.mask_garbage(np.zeros((50, 50), bool)) and R.mask_garbage(np.ones((50, 50), bool))
     dots = np.zeros((100, 100), bool)
     dots[::5, ::5] = True
     assert R.mask_garbage(dots)
     grid = mask.copy()
     grid[90] = True
-    assert not R.remove_grid_lines(grid)[90].any()
+    assert not R.without_ruling(grid)[90].any()
     assert (R.erode(R.dilate(mask, R.ellipse(3)), R.ellipse(3)) >= mask).all()
 
 
@@ -134,6 +134,38 @@ def test_columns_survive_bad_pictures(spark):
         assert out[i].c is None and out[i].m is None and out[i].q.contrast is None and out[i].n.valid is None
 
 
+def test_a_picture_that_fails_is_null(spark):
+    def fails(img):
+        raise ValueError("unfit")
+
+    df = spark.createDataFrame([(1, bytearray(png.encode_png(letter())))], "id int, content binary")
+    row = df.select(R.image_column(fails, "int").alias("a"), R.struct_column(fails, "x int, y int").alias("b")).first()
+    assert row.a is None and row.b.x is None and row.b.y is None
+
+
+def test_ruling_and_tilt():
+    mask = np.zeros((160, 160), bool)
+    mask[40, 10:150] = mask[60:70, 20:39] = True
+    out = R.without_ruling(mask)
+    assert not out[40].any() and (out[60:70] == mask[60:70]).all()
+    runs = R._runs(mask)
+    assert (runs[40, 10:150] == 140).all() and (runs[65, 20:39] == 19).all() and runs.sum() == 140 * 140 + 10 * 19 * 19
+    y, x = np.mgrid[0:160, 0:160]
+    bar = (abs((y - 80) - np.tan(np.radians(12)) * (x - 80)) < 4) & (abs(x - 80) < 60)
+    assert R.tilt(bar) == pytest.approx(12, abs=0.5) and abs(R.tilt(R.upright(bar)[0])) < 1.5
+    assert R.tilt(np.eye(160, dtype=bool)) == 0.0 and R.tilt(np.zeros((9, 9), bool)) == 0.0
+
+
+def test_mask_faults_are_named():
+    dots = np.zeros((100, 100), bool)
+    dots[::5, ::5] = True
+    assert R.mask_faults(dots) == {"scattered"} and R.mask_faults(np.ones((9, 9), bool)) == {"flooded"}
+    assert R.mask_faults(np.zeros((9, 9), bool)) == {"empty"} == R.mask_faults(None)
+    speck = np.zeros((100, 100), bool)
+    speck[3, 3] = True
+    assert R.mask_faults(speck) == {"faint"}
+
+
 def test_words_are_read_and_corrected(spark):
     def char(word, pos, *top):
         return (1, 0, word, pos, list(top))
