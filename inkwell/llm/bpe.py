@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import fixed_rows, small_batches, text_slices
+from .common import fixed_rows, give_back, lean, small_batches, text_slices
 
 #: Bytes of text in a block of documents; bounds a worker's memory.
 BLOCK_BYTES = 4_500_000
 #: Encoded pre-tokens that a worker keeps at most; older ones are encoded again if needed.
-KEEP = 1_000_000
+KEEP = 400_000
 
 
 class Vocabulary:
@@ -187,12 +187,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         owner = pa.ipc.open_stream(id_column).read_all().column(0).combine_chunks()
         out = pa.table({"doc_id": owner, "n_tokens": pa.array(lengths), "ids": lists})
         out = finish(out) if finish else out
+        del raw, words, flat
+        give_back()
         # A block that occurs again, with the same rows, has a head of its own each time.
         return pa.concat_tables([out] * len(heads))
 
-    asked = source.mapInArrow(requests, "bucket long, block binary, which binary, words binary").repartition("bucket")
-    answers = asked.mapInArrow(answer, "block binary, which binary, ids binary").withColumn("head", F.lit(False))
-    placed = source.mapInArrow(sequences, "block binary, which binary, ids binary").withColumn("head", F.lit(True))
+    asked = source.mapInArrow(lean(requests), "bucket long, block binary, which binary, words binary").repartition("bucket")
+    answers = asked.mapInArrow(lean(answer), "block binary, which binary, ids binary").withColumn("head", F.lit(False))
+    placed = source.mapInArrow(lean(sequences), "block binary, which binary, ids binary").withColumn("head", F.lit(True))
     return answers.unionByName(placed).groupBy("block").applyInArrow(assemble, f"doc_id {kind}, {schema}")
 
 

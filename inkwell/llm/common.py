@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_LIBC = ctypes.CDLL(None)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -101,6 +103,23 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20) ->
         at = end
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a task, and keep what it used."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """A function over batches that gives memory back when it has ended."""
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, elementwise on uint64."""
     x = x.astype(np.uint64)
@@ -212,6 +231,6 @@ def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], heavy: int)
     return rows.join(known, keys).unionByName(cool)
 
 
-def heavy_count(total: int, least: int = 10_000) -> int:
+def heavy_count(total: int, least: int = 1_000) -> int:
     """Rows over which a key of ``total`` rows is heavy, so that at most 1,000 keys are."""
     return max(least, -(-total // 1_000))

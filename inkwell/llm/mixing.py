@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD, Feistel, running_start, settle, small_batches, text_or_empty, text_slices, unused
+from .common import WORD, Feistel, lean, running_start, settle, small_batches, text_or_empty, text_slices, unused
 
 
 def capped_shares(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
@@ -218,7 +218,7 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most
             yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(list(x), pa.int64()) for x in numbers]], names=[*columns, *extra])
 
     schema = StructType([*docs.schema.fields, *[StructField(c, LongType()) for c in extra]])
-    found = joined.select(*[F.col("doc").getField(c).alias(c) for c in columns], F.col("parts").alias(unused(docs, "parts"))).mapInArrow(cut, schema)
+    found = joined.select(*[F.col("doc").getField(c).alias(c) for c in columns], F.col("parts").alias(unused(docs, "parts"))).mapInArrow(lean(cut), schema)
     parts_of = F.floor(F.col(extra[0]) / SHARDS_TOGETHER).cast("int")
     found = found.repartitionById(max(1, -(-shards // SHARDS_TOGETHER)), parts_of).sortWithinPartitions(*extra)
     return found if places else found.select(*columns)

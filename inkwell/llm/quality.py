@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, text_slices
+from .common import lean, mix64, small_batches, text_slices
 
 DIMENSIONS = 4096
 #: The last dimensions are kept for word relations and shapes.
@@ -128,14 +128,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     has it; where none is, every text's tail probability is 1, so that none is rejected.
     """
     known = labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(grade_col).cast("long").alias("_y"))
-    values = sorted(r[0] for r in known.select("_y").distinct().limit(MOST_GRADES + 1).collect())
+    counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).limit(MOST_GRADES + 1).collect()}
+    values = sorted(counts)
     if len(values) > MOST_GRADES:
         raise ValueError(f"over {MOST_GRADES} distinct grades in {grade_col}")
     levels = len(values)
-    draw = F.xxhash64("_id")
-    # Spark cuts each partition to the first rows of every grade before the shuffle.
+    draw = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
+    # A hash thins each grade to little more than is wanted before any of it is sorted.
+    shares = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 1.5 * rows_per_grade / n))]) if counts else None
+    thinned = known.where(draw < F.element_at(shares, F.col("_y")) * float(1 << 31)) if counts else known
     first = Window.partitionBy("_y").orderBy(draw, "_id")
-    picked = known.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rows_per_grade).drop("_k")
+    picked = thinned.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= rows_per_grade).drop("_k")
     # At most rows_per_grade ids of each grade.
     joined = docs.select(F.col(id_col), F.col(text_col).alias("_t")).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
     rows = joined.where(F.octet_length("_t") <= longest).select(draw.alias("h"), F.xxhash64("_t").alias("h2"), "_t", "_y").orderBy("h", "h2").limit(2 * max(levels, 1) * rows_per_grade).collect()
@@ -177,4 +180,4 @@ def keep_selected(docs: DataFrame, model: OrdinalModel, least: int = 1, keep: fl
             ok = [model.at_least(model.tails(features(t)[None]), least)[0] >= keep for t in texts]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(lean(run), kinds)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import settle, text_slices
+from .common import lean, settle, text_slices
 from .simhash import shingle_hashes
 
 #: Sets of a group, of which the centre is chosen.
@@ -41,7 +41,7 @@ def set_rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
             sets = [np.unique(shingle_hashes(text, words)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(digest_of, sets)), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "digest binary, shingles binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), "digest binary, shingles binary")
 
 
 def _alike(shared: np.ndarray, union: np.ndarray, least: float) -> np.ndarray:
@@ -113,7 +113,7 @@ def _connected(rows: DataFrame, least: float) -> DataFrame:
             yield from links(held)
 
     placed = rows.select(*keys, "node", "near", "shingles").repartition(*keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(lean(run), "a long, b long")
 
 
 @F.pandas_udf(DoubleType())
