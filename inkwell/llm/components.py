@@ -92,11 +92,16 @@ def components(edges: DataFrame) -> DataFrame:
     oriented = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = settle(oriented)
     tally = _tally(now)
+    done = False
     if tally[0] and dict(now.dtypes)["u"] in ("int", "bigint"):
         # Rounds move each link again and again; a group of copies has many more than it needs.
-        now = settle(_forest(now.coalesce(tally[0] // ROWS_PER_PART + 1)).distinct())
+        parts = tally[0] // ROWS_PER_PART + 1
+        now = _forest(now.coalesce(parts))
+        # One part has seen all links, so its stars are the components.
+        done = parts == 1
+        now = settle(now if done else now.distinct())
         tally = _tally(now)
-    while tally[0]:
+    while tally[0] and not done:
         # A round has at most as many rows as the one before, so a few go to few files.
         after_round = _small_star(_large_star(now, tally[0]).where("u <> v").distinct(), tally[0]).distinct()
         now = settle(after_round.coalesce(tally[0] // ROWS_PER_PART + 1))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_count, join_counted, settle, small_batches, text_or_empty, text_slices, unused
+from .common import heavy_count, join_counted, lean, settle, small_batches, text_or_empty, text_slices, unused
 from .components import components
 from .shingle_sets import digest_of, set_links, set_rows
 from .simhash import bit_votes, majority_fingerprints, pack_bits, shingle_hashes
@@ -66,7 +66,7 @@ def fingerprint_rows(docs: DataFrame, words: int, second: bool, id_col: str = "d
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, fp long, fp2 long" + ", digest binary" * sets + ", sha binary" * sha
     extra = [F.unhex(F.sha2(text_or_empty(text_col), 256)).alias("sha")] if sha else []
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra).mapInArrow(lean(run), schema)
 
 
 def _second_fingerprints(texts: list, words: int) -> np.ndarray:
@@ -161,10 +161,12 @@ def plan(points: DataFrame, radius: int, part_counts: tuple[int, ...]) -> list[t
     differ = 2 * p * (1 - p)
     options = {m: correlated_partitions(total, both, m) for m in part_counts}
     keys = [(m, i, bits) for m, groups in options.items() for i, bits in enumerate(groups)]
-    exact = {}
-    for m, i, bits in keys:
-        sizes = points.groupBy(_key(bits, F.col("fp")).alias("key")).count()
-        exact[m, i] = sizes.agg(F.coalesce(F.sum(F.col("count").cast("double") * (F.col("count") - 1) / 2), F.lit(0.0))).first()[0]
+    # All partitions' keys are counted in one pass.
+    tagged = F.array(*[F.struct(F.lit(j).alias("j"), _key(bits, F.col("fp")).alias("key")) for j, (_, _, bits) in enumerate(keys)])
+    sizes = points.select(F.explode(tagged).alias("k")).groupBy("k.j", "k.key").count()
+    pairs = F.col("count").cast("double") * (F.col("count") - 1) / 2
+    counted = {r["j"]: r["n"] for r in sizes.groupBy("j").agg(F.sum(pairs).alias("n")).collect()}
+    exact = {(m, i): counted.get(j, 0.0) for j, (m, i, _) in enumerate(keys)}
     choices = []
     for m, groups in options.items():
         costs = []
@@ -297,7 +299,7 @@ def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int, by: s
             yield from settle_rows(held[0].reset_index(drop=True))
 
     placed = probes.repartition(*keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(lean(run), "a long, b long")
 
 
 def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int, by: str, full: int) -> DataFrame:
@@ -430,11 +432,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     each class keeps a row. Columns may have any names; an empty table stays empty.
     """
     rows, classes = _classes(docs, words, radius, radius2, id_col, text_col, full, jaccard, blocks, True)
-    keep = settle(classes.select("first").distinct().select("first.doc_id", "first.sha"))
-    name, sha = unused(docs, "_kept"), unused(docs, "_sha")
+    # The rows that go are fewer than those that stay, and few enough in many tables for
+    # Spark to broadcast them after its own check of their size.
+    found = join_counted(rows.select("doc_id", "sha", *_keys(jaccard)), classes, _keys(jaccard), heavy_count(rows.count()))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    name, sha = unused(docs, "_gone"), unused(docs, "_sha")
+    gone = settle(found.where(~stays).select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k")).distinct())
     named = docs.withColumn(sha, F.unhex(F.sha2(text_or_empty(text_col), 256)))
-    keep = keep.select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k"))
-    out = named.join(keep, (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    out = named.join(gone, (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
     repeats = settle(rows.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "sha"))
     if not repeats.isEmpty():
         repeats = repeats.select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k"))
