@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,23 +106,39 @@ def quota(counts: DataFrame, stroke: Column, enough: int = 100, none: int = 300,
     return counts.withColumn("make", F.when(stroke, F.greatest(F.lit(strokes) - n, F.lit(0))).when(n == 0, F.lit(none)).when(n < enough, F.lit(enough) - n).otherwise(0))
 
 
-def weighted_sample(df: DataFrame, weight: str, draws: int, seed: int = 42, cells: int = 64) -> DataFrame:
+#: Rows of a cell of the weighted draw, and cells at most, whose sums go to the driver.
+CELL_ROWS, MOST_CELLS = 1_000, 1 << 17
+
+
+def weighted_sample(df: DataFrame, weight: str, draws: int, seed: int = 42, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``draws`` rows with replacement in proportion to ``weight``, numbered by ``draw``.
 
-    Cumulative weights are summed within hash cells and then over the cells; each draw is
-    a point of [0, total) and is joined to its cell, then to the row whose range holds it.
+    Weights are summed within hash cells of about ``cell_rows`` rows, then over the cells. A
+    draw is a point of [0, total) by a hash of its number, so the same on any cluster; it is
+    joined to its cell, found by bisection, and to the row whose range holds it. Null and
+    negative weights count as 0; without any weight there are no draws.
     """
     spark = df.sparkSession
-    rows = df.withColumn("_cell", F.pmod(F.xxhash64(*df.columns), F.lit(cells)))
-    within = Window.partitionBy("_cell").orderBy(*df.columns).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_to", F.sum(weight).over(within)).withColumn("_from", F.col("_to") - F.col(weight))
-    sums = rows.groupBy("_cell").agg(F.sum(weight).alias("_s")).orderBy("_cell").collect()
-    edges, total = [], 0.0
-    for r in sums:
-        edges.append((r["_cell"], total, total + r["_s"]))
-        total += r["_s"]
-    ranges = F.broadcast(spark.createDataFrame(edges or [(0, 0.0, 0.0)], "_c long, _lo double, _hi double"))
-    points = spark.range(draws).select(F.col("id").alias("draw"), (F.rand(seed) * total).alias("_x"))
-    placed = points.join(ranges, (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).withColumn("_y", F.col("_x") - F.col("_lo"))
-    hit = placed.join(rows, (F.col("_c") == F.col("_cell")) & (F.col("_y") >= F.col("_from")) & (F.col("_y") < F.col("_to")))
-    return hit.select("draw", *df.columns)
+    columns = df.columns
+    cells = min(max(1, df.count() // cell_rows), MOST_CELLS)
+    own = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    rows = df.withColumn("_w", own).where("_w > 0").withColumn("_cell", F.pmod(F.xxhash64(*columns), F.lit(cells)).cast("int"))
+    within = Window.partitionBy("_cell").orderBy(*columns).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_to", F.sum("_w").over(within)).withColumn("_from", F.lag("_to", 1, 0.0).over(Window.partitionBy("_cell").orderBy(*columns)))
+    # A cell's sum is its last row's edge, to the last bit, so no point falls between two rows.
+    sums = rows.groupBy("_cell").agg(F.max("_to").alias("_s")).orderBy("_cell").collect()
+    if not sums:
+        return df.limit(0).select(F.lit(0).cast("long").alias("draw"), *columns)
+    edges = np.cumsum([0.0] + [r["_s"] for r in sums])
+    names, widths = np.array([r["_cell"] for r in sums]), np.array([r["_s"] for r in sums])
+
+    @F.pandas_udf("cell int, y double")
+    def place(x: pd.Series) -> pd.DataFrame:
+        point = x.to_numpy() * edges[-1]
+        at = np.clip(np.searchsorted(edges, point, side="right") - 1, 0, len(names) - 1)
+        return pd.DataFrame({"cell": names[at].astype("int32"), "y": np.minimum(point - edges[at], np.nextafter(widths[at], 0))})
+
+    unit = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) / float(1 << 53)
+    points = spark.range(draws).select(F.col("id").alias("draw"), place(unit).alias("_p")).select("draw", "_p.cell", "_p.y")
+    hit = points.join(rows, (F.col("cell") == F.col("_cell")) & (F.col("y") >= F.col("_from")) & (F.col("y") < F.col("_to")))
+    return hit.select("draw", *columns)

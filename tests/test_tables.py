@@ -141,6 +141,18 @@ def test_weights(spark):
     assert [r.weight for r in one.collect()] == pytest.approx([1, 1])
 
 
+def test_weighted_sample_of_odd_weights(spark):
+    rows = [(i, w) for i, w in enumerate([None, 0.0, -1.0, 0.1, 0.2, 1e-9, 3.7] + [0.3] * 60)]
+    df = spark.createDataFrame(rows, "id long, w double")
+    for size in (1, 7, 1000):
+        out = D.weighted_sample(df, "w", 3000, cell_rows=size).collect()
+        assert sorted(r.draw for r in out) == list(range(3000)) and {r.id for r in out} & {0, 1, 2} == set()
+        assert sum(r.id == 6 for r in out) / 3000 == pytest.approx(3.7 / 22, abs=0.02)
+    again = D.weighted_sample(df.repartition(3), "w", 3000, cell_rows=1000).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, out))
+    assert D.weighted_sample(df.where("id < 3"), "w", 10).count() == 0
+
+
 def test_weighted_sample_follows_the_weights(spark):
     df = spark.createDataFrame([(i, float(1 + 9 * (i % 2))) for i in range(50)], "id long, w double")
     out = D.weighted_sample(df, "w", 5000)
