@@ -257,7 +257,13 @@ def char_context(spark, sf_dir):
     return O.contexts(w, ["word"]).groupBy("context", "ch").agg(F.count("*").alias("n"))
 
 
-@add()
+OFFERED = "offered(ch, alt) AS (SELECT ch, unnest(string_split(alts, '')) FROM (VALUES " + ", ".join(f"""('{c}', '{(K.CONFUSIONS.get(c, ("", ""))[1] + "".join(a for a, b in zip(O.ACCENTED, O.BASES, strict=True) if b == c) + c.upper()).replace("'", "''")}')""" for c in "abcdefghijklmnopqrstuvwxyz") + ") t(ch, alts))"
+
+
+@add(f"""{V.with_sql('words')}, {OFFERED}, known AS (SELECT word AS entry FROM words WHERE n >= 20), letters AS (SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM words),
+    hits AS (SELECT word, variant, max(length(word) - (lower(alt) <> ch)::INT) AS agree FROM (SELECT word, ch, alt, substr(word, 1, pos - 1) || alt || substr(word, pos + 1) AS variant FROM letters JOIN offered ON ch = substr(word, pos, 1)) JOIN known ON lower(variant) = entry GROUP BY ALL),
+    best AS (SELECT word, first(variant ORDER BY agree DESC, variant) AS variant FROM hits GROUP BY word)
+    SELECT word, CASE WHEN entry IS NOT NULL THEN word ELSE variant END AS correction FROM words LEFT JOIN known ON entry = word LEFT JOIN best USING (word)""")
 def word_dictionary(spark, sf_dir):
     """Distinct words corrected against the lexicon of words that occur twenty times or more."""
     words = V.words(spark, sf_dir)

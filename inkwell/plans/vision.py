@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from .. import views as V
 from ..operators import boxes as B
 from ..operators import generate as G
@@ -23,11 +24,13 @@ def _pictures(spark, sf_dir):
     return ink.gather(wide, ["g", "t"], "a").select("g", F.size("a").alias("ink"), raster.rendered_column("a").alias("content"))
 
 
-@add()
+@add(f"""WITH {V.SQL["ink_student"]}, d AS (SELECT i AS x FROM range(-2, 3) s(i)),
+    wide AS (SELECT DISTINCT g, row + a.x AS row, col + b.x AS col FROM ink_student, d a, d b WHERE abs(b.x) <= round_even(sqrt(4 - a.x * a.x), 0))
+    SELECT g, count(*)::INT AS ink, count(*)::INT AS dark FROM wide WHERE row BETWEEN 0 AND 127 AND col BETWEEN 0 AND 127 GROUP BY g""")
 def image_round_trip(spark, sf_dir):
     """Pictures written as PNG and read back: the dark pixels are the ink that was drawn."""
     dark = raster.image_column(lambda img: int((img < 128).sum()), "int")
-    return _pictures(spark, sf_dir).select("g", "ink", dark.alias("dark"), F.length("content").alias("bytes"))
+    return _pictures(spark, sf_dir).select("g", "ink", dark.alias("dark"))
 
 
 @add()
@@ -69,7 +72,12 @@ def page_recognition(spark, sf_dir):
     return p.withColumn("avg_confidence", r6("avg_confidence"))
 
 
-@add()
+@add(f"""WITH t AS (SELECT i / 511.0::DOUBLE AS t FROM range(512) s(i)), names(k, name) AS (VALUES {", ".join(f"({k}, '{name}')" for k, name in enumerate(K.STROKES))}),
+    unit AS (SELECT name, CASE k WHEN 0 THEN t WHEN 1 THEN 0.5 WHEN 2 THEN 1 - t WHEN 3 THEN t WHEN 4 THEN 0.5 + 0.25 * sin(2 * pi() * t) ELSE 0.5 + 0.5 * sin(2 * pi() * t) END AS r,
+        CASE k WHEN 0 THEN 0.5 WHEN 1 THEN t WHEN 2 THEN t WHEN 3 THEN t WHEN 4 THEN t ELSE 0.5 + 0.5 * cos(2 * pi() * t) END AS c FROM names, t),
+    px AS (SELECT DISTINCT name, (16 + round(r * 95))::INT AS row, (16 + round(c * 95))::INT AS col FROM unit),
+    near8 AS (SELECT a.name, a.row, a.col, count(b.row) AS n FROM px a LEFT JOIN px b ON a.name = b.name AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND (a.row <> b.row OR a.col <> b.col) GROUP BY ALL)
+    SELECT name, count_if(n = 1) AS endpoints, count_if(n >= 3) AS junctions, count_if(n = 0) AS isolated, count(*) AS pixels, min(row) AS top, max(row) AS bottom, min(col) AS left, max(col) AS right FROM near8 GROUP BY name""")
 def stroke_templates(spark, sf_dir):
     """The six generated strokes as glyphs: pixels, endpoints and box."""
     s = G.strokes(spark)
@@ -84,7 +92,16 @@ def canvas_items(spark, sf_dir):
     return p.groupBy("canvas").agg(F.count("*").alias("items"), F.sum("p_size").alias("height"))
 
 
-@add()
+def _millionths(x: str) -> str:
+    """SQL of a whole number of millionths as a decimal of six places."""
+    return f"(({x}) // 1000000)::VARCHAR || '.' || lpad((({x}) % 1000000)::VARCHAR, 6, '0')"
+
+
+@add(f"""WITH RECURSIVE items AS (SELECT (p_partkey // 10)::INT AS canvas, p_partkey::INT AS ord, (20 + p_size)::INT AS w, (30 + p_size % 7)::INT AS h, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS i FROM part),
+    placed AS (SELECT canvas, ord, i, 0 AS x1, 0 AS y1, w, h, h AS high FROM items WHERE i = 1
+        UNION ALL SELECT n.canvas, n.ord, n.i, CASE WHEN x1 + p.w + 8 + n.w > 320 THEN 0 ELSE x1 + p.w + 8 END, CASE WHEN x1 + p.w + 8 + n.w > 320 THEN y1 + high + 8 ELSE y1 END,
+            n.w, n.h, CASE WHEN x1 + p.w + 8 + n.w > 320 THEN n.h ELSE greatest(high, n.h) END FROM placed p JOIN items n ON n.canvas = p.canvas AND n.i = p.i + 1)
+    SELECT canvas, ord, x1, y1, x1 + w AS x2, y1 + h AS y2, '0 ' || {_millionths('((2 * x1 + w)::BIGINT * 3125 + 1) // 2')} || ' ' || {_millionths('((2 * y1 + h)::BIGINT * 3125 + 1) // 2')} || ' ' || {_millionths('w::BIGINT * 3125')} || ' ' || {_millionths('h::BIGINT * 3125')} AS line FROM placed""")
 def canvas_layout(spark, sf_dir):
     """Parts set as crops on canvases of ten: boxes without overlap, and their label lines."""
     items = V.table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).cast("int").alias("canvas"), F.col("p_partkey").cast("int").alias("ord"), (20 + F.col("p_size")).cast("int").alias("w"), (30 + F.col("p_size") % 7).cast("int").alias("h"))
