@@ -79,10 +79,13 @@ def ink_endpoints_junctions(spark, sf_dir):
     return ink.endpoints_junctions(V.ink_student(spark, sf_dir), ["g"])
 
 
-@catalogue.add(f"""WITH RECURSIVE {V.SQL["ink_template"]}, {V.SQL["ink_student"]}, steps(dr, dc) AS (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)),
+PARTS = f"""WITH RECURSIVE {V.SQL["ink_template"]}, {V.SQL["ink_student"]}, steps(dr, dc) AS (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)),
     links AS (SELECT a.g, a.row * 128 + a.col AS x, b.row * 128 + b.col AS y FROM ink_student a CROSS JOIN steps JOIN ink_student b ON b.g = a.g AND b.row = a.row + dr AND b.col = a.col + dc),
     walk AS (SELECT g, row * 128 + col AS x, row * 128 + col AS root FROM ink_student UNION SELECT l.g, l.y, w.root FROM walk w JOIN links l ON l.g = w.g AND l.x = w.x WHERE w.root < l.y),
-    roots AS (SELECT g, x, min(root) AS root FROM walk GROUP BY g, x), parts AS (SELECT g, root, count(*) AS n FROM roots GROUP BY g, root)
+    roots AS (SELECT g, x, min(root) AS root FROM walk GROUP BY g, x), parts AS (SELECT g, root, count(*) AS n FROM roots GROUP BY g, root)"""
+
+
+@catalogue.add(f"""{PARTS}
     SELECT g, count(*)::INT AS components, max(n)::INT AS largest, round(1.0::DOUBLE / count(*), 6) AS continuity FROM parts GROUP BY g""")
 def ink_components(spark, sf_dir):
     sizes = glyphs(spark, sf_dir).select("g", ink.components_column("a").alias("s"))
@@ -158,7 +161,8 @@ def ink_lanes(spark, sf_dir):
     return out
 
 
-@catalogue.add()
+@catalogue.add(f"""{PARTS}, largest AS (SELECT g, max(n) AS most FROM parts GROUP BY g)
+    SELECT g, sum(n)::BIGINT AS pixels FROM parts JOIN largest USING (g) WHERE n >= 0.3::DOUBLE * most GROUP BY g""")
 def ink_fragments(spark, sf_dir):
     """Pixels left after fragments under 30 % of the largest are removed."""
     kept = ink.largest_fragments(V.ink_student(spark, sf_dir), ["g"])

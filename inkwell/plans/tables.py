@@ -133,7 +133,15 @@ def reading_order_anchor(spark, sf_dir):
     return B.lines_by_anchor(V.boxes(spark, sf_dir)).select("page_id", "box_id", "line", "ord")
 
 
-@add()
+@add(f"""{RECURSIVE}, sorted AS (SELECT page_id, box_id, (y1 + y2)::BIGINT AS y, x1 + x2 AS x, row_number() OVER (PARTITION BY page_id ORDER BY y1 + y2, box_id) AS k FROM boxes),
+    tol AS (SELECT page_id, 2 * greatest(8.0, 0.35::DOUBLE * quantile_cont(y2 - y1, 0.5)) AS tol FROM boxes GROUP BY page_id),
+    fold AS (SELECT page_id, k, box_id, y, x, [{{'total': y, 'n': 1::BIGINT}}] AS lines, 1::BIGINT AS found FROM sorted WHERE k = 1
+        UNION ALL SELECT page_id, k, box_id, y, x, CASE WHEN hit > len(lines) THEN list_append(lines, {{'total': y, 'n': 1::BIGINT}}) ELSE list_transform(lines, lambda l, i: CASE WHEN i = hit THEN {{'total': l.total + y, 'n': l.n + 1}} ELSE l END) END, hit
+        FROM (SELECT s.*, f.lines, coalesce(nullif(list_position(list_transform(f.lines, lambda l: abs(s.y - l.total / l.n) <= tol), true), 0), len(f.lines) + 1)::BIGINT AS hit
+            FROM fold f JOIN sorted s ON s.page_id = f.page_id AND s.k = f.k + 1 JOIN tol ON tol.page_id = s.page_id)),
+    centres AS (SELECT *, avg(y) OVER (PARTITION BY page_id, found) AS centre FROM fold),
+    ranked AS (SELECT *, dense_rank() OVER (PARTITION BY page_id ORDER BY centre, found) - 1 AS line FROM centres)
+    SELECT page_id, box_id, line::INT AS line, (row_number() OVER (PARTITION BY page_id ORDER BY line, x, box_id) - 1)::INT AS ord FROM ranked""")
 def reading_order_firstfit(spark, sf_dir):
     return B.lines_first_fit(V.boxes(spark, sf_dir)).select("page_id", "box_id", "line", "ord")
 
