@@ -66,6 +66,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle_few(df: DataFrame, rows: int, per_file: int = 20_000) -> DataFrame:
+    """``settle`` for a table of at most about ``rows`` narrow rows, in a file for each ``per_file``.
+
+    Each file and each task that reads it takes a block of disk or several, whatever it
+    holds; a few rows in as many files as there are shuffle partitions add up.
+    """
+    return settle(df.coalesce(rows // per_file + 1))
+
+
 def fixed_rows(df: DataFrame, fixed: bool) -> DataFrame:
     """``df`` as rows that come in the same order and partitions whenever they are read.
 

@@ -16,6 +16,22 @@ from .common import heavy_count, settle
 ROWS_PER_PART = 200_000
 
 
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the numbers under ``n`` that connect what (a, b) do: from each to its least one."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(n))
+    return moved, label[moved]
+
+
 def _forest(links: DataFrame) -> DataFrame:
     """Of each part's links only what connects the same nodes: from each to its least one."""
 
@@ -33,19 +49,8 @@ def _forest(links: DataFrame) -> DataFrame:
     def reduced(held: list) -> pa.RecordBatch:
         pairs = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in held], axis=1)
         names, at = np.unique(pairs, return_inverse=True)
-        a, b = at.reshape(pairs.shape)
-        label = np.arange(len(names))
-        while True:
-            new = label.copy()
-            least = np.minimum(label[a], label[b])
-            for end in (a, b, label[a], label[b]):
-                np.minimum.at(new, end, least)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], names=["u", "v"])
+        moved, label = spanning(len(names), *at.reshape(pairs.shape))
+        return pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label])], names=["u", "v"])
 
     return links.mapInArrow(run, links.schema)
 

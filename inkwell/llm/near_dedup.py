@@ -11,7 +11,8 @@ all bits; what remains are links, and components of links are the classes.
 
 A bucket's links are reduced to a spanning set where they are found, so a large group
 of near copies gives rows in proportion to its members, not to its pairs. Buckets over
-``full`` members go another, exact way: see ``_full_buckets``.
+``full`` members go another, exact way: see ``_full_buckets``. At a radius over 2 the
+probes are too many to travel one by one: see ``probe_cells``.
 
 A fingerprint only estimates likeness. Where a Jaccard similarity is asked for, the classes
 above are no more than groups of candidates, and links are the pairs in them whose shingle
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_count, join_counted, lean, settle, small_batches, text_or_empty, text_slices, unused
+from .common import heavy_count, join_counted, lean, settle, settle_few, small_batches, text_or_empty, text_slices, unused
 from .components import components
+from .probe_cells import PACKED, Part, crowded_rows, pack, verify
 from .shingle_sets import digest_of, set_links, set_rows
 from .simhash import bit_votes, majority_fingerprints, pack_bits, shingle_hashes
 
@@ -149,9 +151,12 @@ def allocate(costs: list[dict[int, float]], units: int) -> list[int]:
     return best[units][1]
 
 
-def plan(points: DataFrame, radius: int, part_counts: tuple[int, ...]) -> list[tuple[list[int], int]]:
+def plan(points: DataFrame, radius: int, part_counts: tuple[int, ...], full: int | None = None) -> tuple[list[tuple[list[int], int]], list[list[int]], np.ndarray, int]:
     """[(bits, threshold)] of the cheapest of the given numbers of partitions.
 
+    Then, if ``full`` is given, each one's keys with more fingerprints than that (and than a
+    thousandth of all, so that they are a thousand at most), the bits' odds and the count.
+
     The pairs that agree on a partition are counted over all points; those that differ
     there by up to t bits are estimated from the odds that a pair differs in each bit.
     A probe is weighed as eight comparisons.
@@ -159,14 +164,17 @@ def plan(points: DataFrame, radius: int, part_counts: tuple[int, ...]) -> list[t
     total, both = _bit_statistics(points)
     p = np.diag(both) / max(total, 1)
     differ = 2 * p * (1 - p)
-    options = {m: correlated_partitions(total, both, m) for m in part_counts}
+    options = {m: correlated_partitions(total, both, m) for m in part_counts if sum(min(radius, 2) + 1 for _ in range(m)) >= radius + 1}
     keys = [(m, i, bits) for m, groups in options.items() for i, bits in enumerate(groups)]
     # All partitions' keys are counted in one pass.
     tagged = F.array(*[F.struct(F.lit(j).alias("j"), _key(bits, F.col("fp")).alias("key")) for j, (_, _, bits) in enumerate(keys)])
     sizes = points.select(F.explode(tagged).alias("k")).groupBy("k.j", "k.key").count()
     pairs = F.col("count").cast("double") * (F.col("count") - 1) / 2
-    counted = {r["j"]: r["n"] for r in sizes.groupBy("j").agg(F.sum(pairs).alias("n")).collect()}
-    exact = {(m, i): counted.get(j, 0.0) for j, (m, i, _) in enumerate(keys)}
+    most = F.lit(None) if full is None else F.lit(heavy_count(total, full))
+    many = F.collect_list(F.when(F.col("count") > most, F.col("key"))).alias("many")
+    counted = {r["j"]: r for r in sizes.groupBy("j").agg(F.sum(pairs).alias("n"), many).collect()}
+    exact = {(m, i): counted[j]["n"] if j in counted else 0.0 for j, (m, i, _) in enumerate(keys)}
+    crowded = {(m, i): counted[j]["many"] if j in counted else [] for j, (m, i, _) in enumerate(keys)}
     choices = []
     for m, groups in options.items():
         costs = []
@@ -181,7 +189,8 @@ def plan(points: DataFrame, radius: int, part_counts: tuple[int, ...]) -> list[t
             chosen = allocate(costs, radius + 1)
             choices.append((sum(c[t] for c, t in zip(costs, chosen, strict=True)), m, chosen))
     _, m, chosen = min(choices)
-    return [(bits, t) for bits, t in zip(options[m], chosen, strict=True) if t >= 0]
+    used = [(i, bits, t) for i, (bits, t) in enumerate(zip(options[m], chosen, strict=True)) if t >= 0]
+    return [(bits, t) for _, bits, t in used], [crowded[m, i] for i, _, _ in used], p, total
 
 
 # Probing and verifying ----------------------------------------------------------
@@ -206,9 +215,10 @@ def _probes(points: DataFrame, scheme: list[tuple[list[int], int]], by: str) ->
     return points.select("fp", "fp2", F.explode(F.concat(*entries)).alias("p")).select("p.part", "p.key", "p.own", "fp", "fp2")
 
 
-def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2: int, by: str) -> list[tuple[np.ndarray, np.ndarray]]:
+def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2: int, by: str, once: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links between index rows and all rows of one bucket, as few as keep it connected: from
-    each row of a component to its least fingerprint, which other buckets name too."""
+    each row of a component to its least fingerprint, which other buckets name too. With
+    ``once`` a neighbour's probe has come to this bucket only, else to both of a pair."""
     first, other = (fp, fp2) if by == "fp" else (fp2, fp)
 
     def linked(a, b):
@@ -223,7 +233,7 @@ def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2
     if len(index) * len(fp) <= 1 << 20:
         # A pair is found from both sides, in the bucket of either; the one of the smaller
         # fingerprint counts, so a neighbour's probe need only be compared if it is larger.
-        a, b = np.nonzero(linked(index, everyone) & (own[None] | (fp[None] > fp[index][:, None])))
+        a, b = np.nonzero(linked(index, everyone) & (once | own[None] | (fp[None] > fp[index][:, None])))
         a, keep = index[a], index[a] != b
         if not keep.any():
             return out
@@ -264,7 +274,7 @@ def _star(fp: np.ndarray, fp2: np.ndarray, own: np.ndarray, radius: int, radius2
     return out
 
 
-def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int, by: str) -> DataFrame:
+def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int, by: str, once: bool = False) -> DataFrame:
     """(a, b) links of all buckets; a bucket's rows lie in one partition, side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +288,7 @@ def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int, by: s
             found = []
             for at, n in zip(first[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
                 s = slice(at, at + n)
-                found += _star(fp[s], fp2[s], own[s], radius, radius2, by)
+                found += _star(fp[s], fp2[s], own[s], radius, radius2, by, once)
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -302,7 +312,7 @@ def _verify(probes: DataFrame, keys: list[str], radius: int, radius2: int, by: s
     return placed.mapInArrow(lean(run), "a long, b long")
 
 
-def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int, by: str, full: int) -> DataFrame:
+def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int, by: str, full: int, once: bool = False) -> DataFrame:
     """Links of buckets with over ``full`` rows, none lost.
 
     For radius 2 without a second check: two fingerprints differ by two bits at most if
@@ -320,7 +330,7 @@ def _full_buckets(rows: DataFrame, sizes: DataFrame, radius: int, radius2: int,
     cut = rows.join(sizes, ["part", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp", "fp2"), "blocks"))
     spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select("part", "key", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "own", "fp", "fp2")
-    return _verify(spread, ["part", "key", "b1", "b2"], radius, radius2, by)
+    return _verify(spread, ["part", "key", "b1", "b2"], radius, radius2, by, once)
 
 
 def links(points: DataFrame, radius: int, radius2: int = -1, part_counts: tuple[int, ...] | None = None, full: int | None = None) -> DataFrame:
@@ -332,12 +342,14 @@ def links(points: DataFrame, radius: int, radius2: int = -1, part_counts: tuple[
     part_counts = part_counts or tuple(m for m in (2, 3, 4, 6, 8) if m <= radius + 2)
     # Neighbours' probes make up most of a bucket at larger radii, and cost less than its own.
     full = full or (4096 if radius <= 2 else 32_768)
+    if radius > 2:
+        return _links_by_cells(points, radius, radius2, part_counts, full)
     found = [_links_by(points, by, radius, radius2, part_counts, full) for by in (("fp",) if radius2 < 0 else ("fp", "fp2"))]
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
 def _links_by(points: DataFrame, by: str, radius: int, radius2: int, part_counts: tuple[int, ...], full: int) -> DataFrame:
-    scheme = plan(points.select(F.col(by).alias("fp")), radius, part_counts)
+    scheme, *_ = plan(points.select(F.col(by).alias("fp")), radius, part_counts)
     probes = _probes(points, scheme, by)
     sizes = settle(probes.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > full))
     if sizes.isEmpty():
@@ -347,6 +359,23 @@ def _links_by(points: DataFrame, by: str, radius: int, radius2: int, part_counts
     return _verify(usual, ["part", "key"], radius, radius2, by).unionByName(_full_buckets(crowded, sizes, radius, radius2, by, full))
 
 
+def _links_by_cells(points: DataFrame, radius: int, radius2: int, part_counts: tuple[int, ...], full: int) -> DataFrame:
+    """As ``_links_by`` over both fingerprints, by probes packed to cells; keys with over an
+    eighth of ``full`` fingerprints of their own are cut into blocks of pairs."""
+    columns = ("fp",) if radius2 < 0 else ("fp", "fp2")
+    parts = []
+    for k, by in enumerate(columns):
+        scheme, crowded, odds, total = plan(points.select(F.col(by).alias("fp")), radius, part_counts, full // 8)
+        parts += [Part(bits, t, k, odds, total, keys) for (bits, t), keys in zip(scheme, crowded, strict=True)]
+    found = verify(pack(points, parts), parts, radius, radius2)
+    for k, by in enumerate(columns):
+        if any(len(part.crowded) for part in parts if part.by == k):
+            rows = crowded_rows(points, parts, k)
+            sizes = settle(rows.groupBy("part", "key").agg(F.count("*").alias("n")))
+            found = found.unionByName(_full_buckets(rows, sizes, radius, radius2, by, full, True))
+    return found
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 11, radius2: int = 26, id_col: str = "doc_id", text_col: str = "text", full: int | None = None, jaccard: float | None = None, **blocks) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (the smallest id of its class).
 
@@ -380,23 +409,29 @@ def _classes(docs: DataFrame, words: int, radius: int, radius2: int, id_col: str
     rows = settle(fingerprint_rows(docs, words, radius2 >= 0, id_col, text_col, sets=jaccard is not None, sha=sha))
     # A known id comes before a null one, ties go by the text's digest.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *["sha"] * sha)).alias("first")
-    points = settle(rows.groupBy(*dict.fromkeys(["fp", "fp2", *keys])).agg(first, F.count("*").alias("_n")))
-    prints = points.select("fp", "fp2") if jaccard is None else settle(points.select("fp", "fp2").distinct())
-    roots = settle(components(settle(links(prints, radius, radius2, full=full))))
+    points = rows.groupBy(*dict.fromkeys(["fp", "fp2", *keys])).agg(first, F.count("*").alias("_n"))
+    if jaccard is None:
+        points = settle(points)
+        prints = points.select("fp", "fp2")
+    else:
+        points = settle_few(points, rows.count())
+        prints = settle_few(points.select("fp", "fp2").distinct(), points.count(), PACKED)
     total = points.count()
+    keep = settle if jaccard is None else lambda df: settle_few(df, total)
+    roots = keep(components(settle(links(prints, radius, radius2, full=full))))
     table = points.groupBy("fp").agg(F.count("*").alias("_n")).join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    table = settle(table.withColumn("root", F.coalesce("root", "fp")))
+    table = keep(table.withColumn("root", F.coalesce("root", "fp")))
     named = join_counted(points.withColumnRenamed("_n", "_k"), table, ["fp"], heavy_count(total)).withColumnRenamed("_k", "_n")
     if jaccard is None:
-        return rows, settle(_with_first(settle(named), "root", total).select(*keys, "first", "_n"))
-    members = settle(named.groupBy("root", "digest").agg(F.min("first").alias("first"), F.sum("_n").alias("_n")))
+        return rows, settle(_with_first(settle(named), "root", total, settle).select(*keys, "first", "_n"))
+    members = keep(named.groupBy("root", "digest").agg(F.min("first").alias("first"), F.sum("_n").alias("_n")))
     return rows, _verified(docs, members, total, words, id_col, text_col, jaccard, blocks)
 
 
-def _with_first(members: DataFrame, by: str, total: int) -> DataFrame:
-    """Settled ``members`` with ``first`` as the least of all rows with the same ``by``."""
+def _with_first(members: DataFrame, by: str, total: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Settled ``members`` with ``first`` as the least of all rows with the same ``by``; ``keep`` settles."""
     least = members.groupBy(by).agg(F.min("first").alias("first"), F.count("*").alias("_m"))
-    least = settle(least).select(by, "first", F.col("_m").alias("_n"))
+    least = keep(least).select(by, "first", F.col("_m").alias("_n"))
     counts = members.drop("first").withColumnRenamed("_n", "_k")
     return join_counted(counts, least, [by], heavy_count(total)).withColumnRenamed("_k", "_n")
 
@@ -404,23 +439,24 @@ def _with_first(members: DataFrame, by: str, total: int) -> DataFrame:
 def _verified(docs: DataFrame, members: DataFrame, total: int, words: int, id_col: str, text_col: str, jaccard: float, blocks: dict) -> DataFrame:
     """Classes of the candidates' components, ``members``, by the likeness of their sets."""
     several = members.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1")
-    asked = settle(join_counted(members.select("root", "digest", "first"), settle(several), ["root"], heavy_count(total)))
+    keep = lambda df: settle_few(df, total)
+    asked = keep(join_counted(members.select("root", "digest", "first"), keep(several), ["root"], heavy_count(total)))
 
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     wanted = asked.select(F.col("first.doc_id").alias("_id")).distinct()
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     sets = set_rows(texts, words, "doc_id", "text").groupBy("digest").agg(F.first("shingles").alias("shingles"))
     sets = settle(sets.withColumn("node", F.monotonically_increasing_id()))
-    groups = settle(asked.join(sets.select("digest", "node").hint("merge"), "digest").select("root", "node"))
-    found = settle(components(settle(set_links(groups, sets.select("node", "shingles"), jaccard, **blocks))))
+    groups = keep(asked.join(sets.select("digest", "node").hint("merge"), "digest").select("root", "node"))
+    found = keep(components(settle(set_links(groups, sets.select("node", "shingles"), jaccard, **blocks))))
 
     # A set that no other is like is a class of its own. Words that repeat count for the
     # fingerprint and not for the set, so a set may be a member of several components.
     firsts = members.groupBy("digest").agg(F.min("first").alias("first"), F.sum("_n").alias("_n"))
     linked = sets.select("digest", "node").join(found.hint("merge"), "node").select("digest", "root")
     classes = firsts.join(linked.hint("merge"), "digest", "left").withColumn("class", F.coalesce(F.col("root").cast("string"), F.hex("digest")))
-    classes = settle(classes.select("digest", "class", "first", "_n"))
-    return settle(_with_first(classes, "class", total).select("digest", "first", "_n"))
+    classes = keep(classes.select("digest", "class", "first", "_n"))
+    return keep(_with_first(classes, "class", total, keep).select("digest", "first", "_n"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", jaccard: float | None = 0.8, words: int = 5, radius: int = 11, radius2: int = 26, full: int | None = None, **blocks) -> DataFrame:
@@ -434,13 +470,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows, classes = _classes(docs, words, radius, radius2, id_col, text_col, full, jaccard, blocks, True)
     # The rows that go are fewer than those that stay, and few enough in many tables for
     # Spark to broadcast them after its own check of their size.
-    found = join_counted(rows.select("doc_id", "sha", *_keys(jaccard)), classes, _keys(jaccard), heavy_count(rows.count()))
+    total = rows.count()
+    found = join_counted(rows.select("doc_id", "sha", *_keys(jaccard)), classes, _keys(jaccard), heavy_count(total))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
     name, sha = unused(docs, "_gone"), unused(docs, "_sha")
-    gone = settle(found.where(~stays).select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k")).distinct())
+    gone = settle_few(found.where(~stays).select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k")).distinct(), total)
     named = docs.withColumn(sha, F.unhex(F.sha2(text_or_empty(text_col), 256)))
     out = named.join(gone, (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
-    repeats = settle(rows.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "sha"))
+    repeats = settle_few(rows.groupBy("doc_id", "sha").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "sha"), total)
     if not repeats.isEmpty():
         repeats = repeats.select(F.col("doc_id").alias(name), F.col("sha").alias(sha + "k"))
         match = (F.col(sha) == F.col(sha + "k")) & F.col(id_col).eqNullSafe(F.col(name))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import lean, settle, text_slices
+from .common import lean, settle, settle_few, text_slices
 from .simhash import shingle_hashes
 
 #: Sets of a group, of which the centre is chosen.
@@ -153,13 +153,14 @@ def set_links(groups: DataFrame, sets: DataFrame, least: float, block_rows: int
     ``groups`` has (root, node), ``sets`` has (node, shingles), both settled.
     """
     rows = groups.join(sets.hint("merge"), "node")
-    sizes = settle(rows.groupBy("root").agg(_blocks(block_rows, block_bytes).alias("blocks")))
+    total = groups.count()
+    sizes = settle_few(rows.groupBy("root").agg(_blocks(block_rows, block_bytes).alias("blocks")), total)
     one = lambda name: F.lit(0).cast("long").alias(name)
     usual = groups.join(sizes.where("blocks = 1"), "root").join(sets.hint("merge"), "node")
-    out = _connected(usual.select("root", one("b1"), one("b2"), "node", F.lit(False).alias("near"), "shingles"), least)
+    usual = usual.select("root", one("b1"), one("b2"), "node", F.lit(False).alias("near"), "shingles")
     wide = sizes.where("blocks > 1")
     if wide.isEmpty():
-        return out
+        return _connected(usual, least)
 
     many = groups.join(wide, "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     heads = many.groupBy("root", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HEADS)).alias("salt")).agg(F.min("node").alias("node"))
@@ -167,11 +168,14 @@ def set_links(groups: DataFrame, sets: DataFrame, least: float, block_rows: int
     centres = settle(centres.join(sets.hint("merge"), "node").select("root", F.col("node").alias("centre"), F.col("shingles").alias("middle")))
     spread = centres.join(wide, "root").withColumn("block", _upto("blocks")).drop("blocks")
     many = many.join(sets.hint("merge"), "node").join(spread.hint("merge"), ["root", "block"])
-    many = settle(many.select("root", "node", "shingles", "block", "blocks", "centre", _jaccard("shingles", "middle").alias("j")))
+    many = many.select("root", "node", "shingles", "block", "blocks", "centre", _jaccard("shingles", "middle").alias("j"))
+    # Files of about 4 MB, as the number of rows says little of sets.
+    mean = sets.agg(F.avg(F.octet_length("shingles"))).first()[0] or 0
+    many = settle_few(many, total, max(1, min(20_000, int((4 << 20) / (mean + 1)))))
     near, far = many.where(F.col("j") + 1e-9 >= least), many.where(F.col("j") + 1e-9 < least)
-    out = out.unionByName(near.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    out = near.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
-    left = settle(far.groupBy("root").agg(_blocks(block_rows, block_bytes).alias("others")))
+    left = settle_few(far.groupBy("root").agg(_blocks(block_rows, block_bytes).alias("others")), total)
     far = far.join(left, "root").withColumn("other", F.pmod(F.xxhash64("node", F.lit(2)), "others"))
     # Over twice the allowed distance from the centre, none of what the centre is like is in reach.
     reach = far.where(F.col("j") + 1e-9 >= 2 * least - 1)
@@ -179,4 +183,6 @@ def set_links(groups: DataFrame, sets: DataFrame, least: float, block_rows: int
     across = across.unionByName(reach.select("root", _upto("blocks").alias("b1"), F.col("other").alias("b2"), "node", F.lit(False).alias("near"), "shingles"))
     among = far.select("root", "other", _upto("others").alias("with"), "node", "shingles")
     among = among.select("root", F.least("other", "with").alias("b1"), F.greatest("other", "with").alias("b2"), "node", F.lit(False).alias("near"), "shingles")
-    return out.unionByName(_connected(across, least)).unionByName(_connected(among, least))
+    # The usual groups have other roots, and a negative number tells the blocks across from those among.
+    across = across.withColumn("b1", -1 - F.col("b1"))
+    return out.unionByName(_connected(usual.unionByName(across).unionByName(among), least))

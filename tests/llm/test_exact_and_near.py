@@ -1,3 +1,4 @@
+import pathlib
 import random
 from collections import Counter, defaultdict
 from hashlib import sha256
@@ -138,6 +139,55 @@ def test_both_fingerprints_count(spark, full):
     assert sorted(((r.doc_id, r.component_id) for r in out), key=str) == want
 
 
+def shuffle_files(spark):
+    """Bytes of each shuffle file that there is."""
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    return {str(f): f.stat().st_size for folder in folders for f in pathlib.Path(folder).rglob("shuffle_*")}
+
+
+@pytest.mark.parametrize("full", [None, 64])
+def test_probes_of_many_keys_take_little_disk(spark, full):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(0, 1 << 63, (3000, 2), dtype=np.uint64) << np.uint64(1)
+    # Some that share most bits, so that their keys are crowded, and some near others.
+    fps[:300, 0] = fps[0, 0] & ~np.uint64((1 << 30) - 1) | (fps[:300, 0] >> np.uint64(34))
+    for i in range(2000, 2400):
+        for k in range(2):
+            fps[i, k] = fps[i - 1000, k]
+            for b in rng.choice(64, int(rng.integers(0, 18)), replace=False).tolist():
+                fps[i, k] ^= np.uint64(1 << b)
+    assert len(np.unique(fps[:, 0])) > 2950
+    points = spark.createDataFrame([tuple(map(near_dedup._signed, map(int, r))) for r in np.unique(fps, axis=0)], "fp long, fp2 long").localCheckpoint()
+    before = shuffle_files(spark)
+    # Four partitions, each probed within two bits, are what the plan takes from about 1 GB on.
+    found = near_dedup.links(points, 11, 26, part_counts=(4,), **({"full": full} if full else {})).collect()
+    new = sum(size for f, size in shuffle_files(spark).items() if f not in before)
+    assert full or new < 3000 * len(fps)
+    d1, d2 = (np.bitwise_count(x[:, None] ^ x[None]).astype(int) for x in fps.T)
+    a, b = np.nonzero(((d1 <= 11) | (d2 <= 11)) & (d1 + d2 <= 26) & (d1 > 0))
+    want = spark.createDataFrame([(near_dedup._signed(int(fps[i, 0])), near_dedup._signed(int(fps[j, 0]))) for i, j in zip(a, b, strict=True) if i < j], "a long, b long")
+    roots = lambda df: sorted(map(tuple, components(df).collect()))
+    assert len(found) > 100 and roots(spark.createDataFrame(found, "a long, b long")) == roots(want)
+
+
+def test_small_tables_take_few_files(spark):
+    rng = random.Random(41)
+    rows = [(i, " ".join(f"w{rng.randrange(4000)}" for _ in range(60)), "en", "a", 1) for i in range(30)]
+    rows += [(100 + i, rows[i][1] + " more", "en", "a", 1) for i in range(10)]
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = frame(spark, rows).repartition(1).localCheckpoint()
+        before = shuffle_files(spark)
+        assert {r.doc_id for r in near_dedup.drop_near_duplicates(docs).collect()} == set(range(30))
+        assert len(shuffle_files(spark).keys() - before.keys()) < 500
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_thresholds_add_up_and_cost_least():
     costs = [{-1: 0, 0: 5, 1: 50}, {-1: 0, 0: 1, 1: 3}, {-1: 0, 0: 9, 1: 90}]
     assert near_dedup.allocate(costs, 3) == [0, 1, -1]
