@@ -2,19 +2,22 @@
 
 A glyph is a set of rows (row, col) of one key. Distances are computed on one row per
 pair that holds both pixel arrays: a glyph has at most 128 x 128 pixels, so a row is
-bounded, and one shuffle by the key is all there is. Kernels get pixels as flat numbers,
-row x 128 + col, in Arrow batches. Nearest pixels come from pairwise differences of small
-glyphs, and from a distance map of larger ones, made once for each template of a batch.
+bounded, and one shuffle by the key is all there is. Kernels work on whole Arrow batches
+(``batch``). Nearest pixels come from pairwise differences of small glyphs, and from a
+distance map of larger ones.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from . import batch
 
 
 def gather(pixels: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -27,8 +30,13 @@ def pairs(student: DataFrame, template: DataFrame) -> DataFrame:
 
     Templates have one row each; they are a fixed alphabet, so Spark may broadcast them.
     """
+    return pairs_of(gather(student, ["g", "t"], "a"), template)
+
+
+def pairs_of(glyphs: DataFrame, template: DataFrame) -> DataFrame:
+    """``pairs`` of student glyphs that are gathered already."""
     empty = F.array().cast("array<struct<row:int,col:int>>")
-    joined = gather(student, ["g", "t"], "a").join(gather(template, ["t"], "p"), "t", "left")
+    joined = glyphs.join(gather(template, ["t"], "p"), "t", "left")
     return joined.withColumn("p", F.coalesce("p", empty))
 
 
@@ -86,51 +94,38 @@ class _Nearest:
         return self.maps[key][x[:, 0], x[:, 1]]
 
 
-def squared_distances(a: Column | str, b: Column | str) -> Column:
-    """For each pixel of ``a`` on the canvas the squared distance to the nearest of ``b``;
-    null if b is empty."""
-
-    @F.pandas_udf("array<int>")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        nearest = _Nearest()
-        out = [nearest(i, j) for i, j in zip(x, y, strict=True)]
-        return pd.Series([d.tolist() if len(d) == 0 or d[0] >= 0 else [None] * len(d) for d in out], dtype=object)
-
-    return run(codes(a), codes(b))
-
+def distances_column(a: Column | str, b: Column | str) -> Column:
+    """``there``: for each pixel of ``a`` on the canvas the squared distance to the nearest of
+    ``b``; null if b is empty."""
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    @F.arrow_udf("array<int>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        p = batch.points(x)
+        d2, _ = batch.nearest(p, batch.points(y))
+        return batch.lists(pa.array(d2, pa.int32(), mask=d2 < 0), p.sizes, pa.int32())
 
+    return run(a, b)
 
-def _mean(values: Column) -> Column:
-    return _sum(values) / F.size(values)
 
+def errors_column(a: Column | str, p: Column | str, tolerance: dict[str, float]) -> Column:
+    """For each tolerance the mean of what pixels of ``a`` lie further than it from ``p``, null
+    if a has none on the canvas, and how many pixels of ``p`` an ellipse of radius
+    max(1, int(tolerance)) around one of ``a`` hits."""
+    values = [float(v) for v in tolerance.values()]
 
-def levels(df: DataFrame, tolerance: dict[str, float] | None = None) -> DataFrame:
-    """Every row once for each level, with ``level`` and ``tol``."""
-    entries = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(v)).alias("tol")) for k, v in (tolerance or K.TOLERANCE).items()])
-    return df.withColumn("_l", F.explode(entries)).select(*df.columns, "_l.level", "_l.tol")
-
-
-def covered(a: Column | str, p: Column | str, tol: Column) -> Column:
-    """How many pixels of ``p`` an ellipse of radius max(1, int(tol)) around one of ``a`` hits."""
-
-    @F.pandas_udf("int")
-    def run(x: pd.Series, y: pd.Series, t: pd.Series) -> pd.Series:
-        out = []
-        for i, j, tolerance in zip(x, y, t, strict=True):
-            radius = max(1, int(tolerance))
-            u, v = _points(i), _points(j)
-            if len(u) * len(v) <= PAIRWISE:
-                dr, dc = (np.abs(v[:, None, k] - u[None, :, k]) for k in (0, 1))
-                half = np.rint(radius * np.sqrt((radius * radius - np.minimum(dr, radius) ** 2) / float(radius * radius)))
-                out.append(int(((dr <= radius) & (dc <= half)).any(axis=1).sum()))
-            else:
-                out.append(int(_widened(grid(i), radius)[v[:, 0], v[:, 1]].sum()))
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<error:double,hits:int>>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        u, v = batch.points(x), batch.points(y)
+        d2, _ = batch.nearest(u, v)
+        d = np.sqrt(np.maximum(d2, 0).astype(float))
+        total = np.stack([u.sums(np.maximum(0.0, d - t)) for t in values], axis=1)
+        empty = np.repeat(u.sizes == 0, len(values))
+        mean = (total / np.maximum(u.sizes, 1)[:, None]).ravel()
+        hits = batch.covered(u, v, [max(1, int(t)) for t in values]).T.ravel()
+        rows = pa.StructArray.from_arrays([pa.array(mean, pa.float64(), mask=empty), pa.array(hits, pa.int32())], ["error", "hits"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(mean) + 1, len(values)), pa.int32()), rows)
 
-    return run(codes(a), codes(p), tol)
+    return run(a, p)
 
 
 def _widened(mask: np.ndarray, radius: int) -> np.ndarray:
@@ -150,41 +145,62 @@ def fidelity(glyphs: DataFrame, tolerance: dict[str, float] | None = None) -> Da
 
     An empty student glyph, or one without a template, scores 0 throughout.
     """
-    rows = levels(glyphs.withColumn("d2", squared_distances("a", "p")), tolerance)
+    tolerance = tolerance or K.TOLERANCE
+    entries = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(v)).alias("tol")) for k, v in tolerance.items()])
+    rows = glyphs.withColumn("_l", F.explode(F.arrays_zip(entries.alias("l"), errors_column("a", "p", tolerance).alias("e"))))
     usable = (F.size("a") > 0) & (F.size("p") > 0)
-    error = F.when(usable, _mean(F.transform("d2", lambda d: F.greatest(F.lit(0.0), F.sqrt(d.cast("double")) - F.col("tol")))))
-    share = F.when(usable, covered("a", "p", F.col("tol")) / F.size("p"))
-    out = rows.withColumn("mean_error", error).withColumn("coverage", F.coalesce(share, F.lit(0.0)))
+    out = rows.select(*glyphs.columns, F.col("_l.l.level").alias("level"), F.col("_l.l.tol").alias("tol"), F.when(usable, F.col("_l.e.error")).alias("mean_error"), F.col("_l.e.hits").alias("_h"))
+    share = F.when(usable, F.col("_h") / F.size("p"))
+    out = out.withColumn("coverage", F.coalesce(share, F.lit(0.0))).drop("_h")
     out = out.withColumn("precision", F.when(usable, F.greatest(F.lit(0.0), 100.0 * (1.0 - F.col("mean_error") / K.MAX_MEAN_ERROR))).otherwise(0.0))
-    return out.withColumn("fidelity", K.WEIGHT_PRECISION * F.col("precision") + K.WEIGHT_COVERAGE * F.col("coverage") * 100.0).drop("d2")
+    return out.withColumn("fidelity", K.WEIGHT_PRECISION * F.col("precision") + K.WEIGHT_COVERAGE * F.col("coverage") * 100.0)
+
+
+def zones_column(a: Column | str, p: Column | str, tolerance: dict[str, float]) -> Column:
+    """For each tolerance the pixels of ``a`` within it, within twice it, and beyond."""
+    values = [float(v) for v in tolerance.values()]
+
+    @F.arrow_udf("array<struct<inside:int,warning:int,outside:int>>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        u = batch.points(x)
+        d2, _ = batch.nearest(u, batch.points(y))
+        counts = []
+        for t in values:
+            zones = (d2 >= 0) & (d2 <= t * t), (d2 > t * t) & (d2 <= 4 * t * t), d2 > 4 * t * t
+            counts.append([np.bincount(u.of[z], minlength=len(u)) for z in zones])
+        fields = [pa.array(np.stack([c[k] for c in counts], axis=1).ravel(), pa.int32()) for k in range(3)]
+        rows = pa.StructArray.from_arrays(fields, ["inside", "warning", "outside"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, len(values)), pa.int32()), rows)
+
+    return run(a, p)
 
 
 def heat_zones(glyphs: DataFrame) -> DataFrame:
     """Per glyph and level the student pixels within the tolerance, within twice it, beyond."""
-    rows = levels(glyphs.withColumn("d2", squared_distances("a", "p")))
-    count = lambda f: F.size(F.filter("d2", f))
-    tol2 = F.col("tol") * F.col("tol")
-    return rows.select(
-        "g",
-        "level",
-        count(lambda d: d <= tol2).alias("inside"),
-        count(lambda d: (d > tol2) & (d <= 4 * tol2)).alias("warning"),
-        count(lambda d: d > 4 * tol2).alias("outside"),
-    )
-
-
-def hausdorff(glyphs: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(k) for k in K.TOLERANCE])
+    rows = glyphs.select("g", F.explode(F.arrays_zip(names.alias("level"), zones_column("a", "p", K.TOLERANCE).alias("z"))).alias("l"))
+    return rows.select("g", "l.level", "l.z.*")
+
+
+def hausdorff(glyphs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Symmetric Hausdorff distance (999 if either glyph is empty), its score, the older
     prototype's score and the mean nearest distance."""
+
+    @F.arrow_udf("struct<far:int,mean:double>")
+    def run(a: pa.Array, p: pa.Array) -> pa.Array:
+        u, v = batch.points(a), batch.points(p)
+        there, back = batch.nearest(u, v, back=True)
+        far = np.maximum(batch.furthest(u, there), batch.furthest(v, back))
+        mean = u.sums(np.sqrt(np.maximum(there, 0).astype(float))) / np.maximum(u.sizes, 1)
+        none = (u.sizes == 0) | (v.sizes == 0)
+        return pa.StructArray.from_arrays([pa.array(far, pa.int32(), mask=far < 0), pa.array(mean, pa.float64(), mask=none)], ["far", "mean"])
+
     usable = (F.size("a") > 0) & (F.size("p") > 0)
-    there, back = squared_distances("a", "p"), squared_distances("p", "a")
-    rows = glyphs.withColumn("there", there).withColumn("back", back)
-    h = F.when(usable, F.sqrt(F.greatest(F.array_max("there"), F.array_max("back")).cast("double"))).otherwise(K.UNDEFINED)
-    rows = rows.withColumn("hausdorff", h)
+    rows = glyphs.withColumn("_d", run("a", "p"))
+    rows = rows.withColumn("hausdorff", F.when(usable, F.sqrt(F.col("_d.far").cast("double"))).otherwise(K.UNDEFINED))
     score = F.greatest(F.lit(0.0), 100.0 - K.HAUSDORFF_FACTOR * F.greatest(F.lit(0.0), F.col("hausdorff") - K.HAUSDORFF_TOLERANCE))
     old = F.greatest(F.lit(0.0), 100.0 - 1.5 * F.col("hausdorff"))
-    mean = F.when(usable, _mean(F.transform("there", lambda d: F.sqrt(d.cast("double")))))
-    return rows.select("g", "t", "hausdorff", score.alias("score"), old.alias("prototype_score"), mean.alias("mean_min_distance"))
+    return rows.select("g", "t", "hausdorff", score.alias("score"), old.alias("prototype_score"), F.when(usable, F.col("_d.mean")).alias("mean_min_distance"), *(keep or []))
 
 
 def overlay(glyphs: DataFrame) -> DataFrame:
@@ -194,59 +210,144 @@ def overlay(glyphs: DataFrame) -> DataFrame:
     return glyphs.select("g", "t", (F.size("p") - both).alias("only_p"), (F.size("a") - both).alias("only_a"), both.alias("both"), F.when(either > 0, both * 100.0 / either).otherwise(0.0).alias("iou"))
 
 
+def neighbours_column(pixels: Column | str = "a") -> Column:
+    """Number of 8-neighbours of each pixel of an array; a pixel without place has none."""
+
+    @F.arrow_udf("array<int>")
+    def run(a: pa.Array) -> pa.Array:
+        (row, col), known, sizes = batch.listed(a)
+        out = np.zeros(len(row), np.int32)
+        out[known] = batch.neighbours(batch.Points(row, col, sizes).where(known))
+        return batch.lists(out, sizes, pa.int32())
+
+    return run(pixels)
+
+
+def neighbours_of(glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Each pixel of gathered glyphs with its number of 8-neighbours."""
+    rows = glyphs.select(*keys, F.explode(F.arrays_zip(F.col("a").alias("q"), neighbours_column().alias("n"))).alias("z"))
+    return rows.select(*keys, "z.q.row", "z.q.col", F.col("z.n").alias("neighbours"))
+
+
 def neighbours(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Each pixel with its number of 8-neighbours, by an aggregate over shifted pixels.
+    """Each pixel with its number of 8-neighbours, counted where its glyph is gathered."""
+    return neighbours_of(gather(pixels, keys, "a"), keys)
 
-    Pixels are dealt by glyph first: the nine rows that each becomes, and the sums by
-    pixel and by glyph, then stay where they are.
-    """
-    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-    votes = pixels.select(*keys, "row", "col").repartition(*keys).select(*keys, "row", "col", F.explode(steps).alias("s"))
-    own = (F.col("s.dr") == 0) & (F.col("s.dc") == 0)
-    votes = votes.select(*keys, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), own.cast("int").alias("own"))
-    counted = votes.groupBy(*keys, "row", "col").agg(F.max("own").alias("own"), (F.count("*") - F.max("own")).cast("int").alias("neighbours"))
-    return counted.where("own = 1").drop("own")
+
+def _of_glyph(kinds: dict[str, str], function) -> Column:
+    """Struct of figures of each glyph of column a, from its pixels that have a place, and
+    their neighbour counts; a pixel without place counts, as one without neighbours."""
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+    @F.arrow_udf(", ".join(f"{k} {v}" for k, v in kinds.items()))
+    def run(a: pa.Array) -> pa.Array:
+        (row, col), known, sizes = batch.listed(a)
+        every = batch.Points(row, col, sizes)
+        values = function(every.where(known), sizes)
+        return pa.StructArray.from_arrays([pa.array(v, types[k]) for v, k in zip(values, kinds.values(), strict=True)], list(kinds))
+
+    return run("a")
+
+
+def endpoints_of(glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Per gathered glyph: endpoints (one neighbour), junctions (three or more), isolated pixels, size."""
+
+    def figures(p: batch.Points, sizes: np.ndarray):
+        n = batch.neighbours(p)
+        one, many, none = (np.bincount(p.of[f], minlength=len(p)) for f in (n == 1, n >= 3, n == 0))
+        return one, many, none + sizes - p.sizes, sizes
+
+    kinds = dict.fromkeys(("endpoints", "junctions", "isolated", "pixels"), "long")
+    return glyphs.select(*keys, _of_glyph(kinds, figures).alias("s")).select(*keys, "s.*")
 
 
 def endpoints_junctions(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Per glyph: endpoints (one neighbour), junctions (three or more), isolated pixels, size."""
-    n = neighbours(pixels, keys)
-    count = lambda c: F.count_if(c).alias
-    return n.groupBy(*keys).agg(count(F.col("neighbours") == 1)("endpoints"), count(F.col("neighbours") >= 3)("junctions"), count(F.col("neighbours") == 0)("isolated"), F.count("*").alias("pixels"))
+    return endpoints_of(gather(pixels, keys, "a"), keys)
+
+
+def _with_fill(box: DataFrame) -> DataFrame:
+    area = (F.col("bottom") - F.col("top") + 1) * (F.col("right") - F.col("left") + 1)
+    return box.withColumn("density", F.col("pixels") / float(K.CANVAS**2)).withColumn("fill", F.col("pixels") / area)
 
 
 def density_and_box(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Per glyph: stroke density of the canvas, bounding box and its fill."""
-    agg = pixels.groupBy(*keys).agg(F.count("*").alias("pixels"), F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"))
-    area = (F.col("bottom") - F.col("top") + 1) * (F.col("right") - F.col("left") + 1)
-    return agg.withColumn("density", F.col("pixels") / float(K.CANVAS**2)).withColumn("fill", F.col("pixels") / area)
+    return _with_fill(pixels.groupBy(*keys).agg(F.count("*").alias("pixels"), F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right")))
 
 
-def smoothness(pixels: DataFrame, keys: list[str]) -> DataFrame:
+def density_of(glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """``density_and_box`` of gathered glyphs."""
+
+    @F.arrow_udf("pixels long, top int, bottom int, left int, right int")
+    def run(a: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out = [pa.array(sizes, pa.int64())]
+        for values in a.flatten().flatten():
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            v = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+            p = batch.Points(v, v, sizes).where(known)
+            some = p.sizes > 0
+            for least in (np.minimum, np.maximum):
+                end = np.zeros(len(p), np.int64)
+                if some.any():
+                    end[some] = least.reduceat(p.row, p.starts[some])
+                out.append(pa.array(end, pa.int32(), mask=~some))
+        return pa.StructArray.from_arrays(out, ["pixels", "top", "bottom", "left", "right"])
+
+    return _with_fill(glyphs.select(*keys, run("a").alias("s")).select(*keys, "s.*"))
+
+
+def smoothness_of(glyphs: DataFrame, keys: list[str]) -> DataFrame:
     """4 pi area / perimeter squared, at most 1; 0 under four pixels, 1 without perimeter.
 
     The perimeter is the pixels that a 3x3 erosion takes; the canvas' edge takes none.
     """
-    n = neighbours(pixels, keys)
-    expected = (F.lit(3) - (F.col("row") == 0).cast("int") - (F.col("row") == K.CANVAS - 1).cast("int")) * (F.lit(3) - (F.col("col") == 0).cast("int") - (F.col("col") == K.CANVAS - 1).cast("int")) - 1
-    agg = n.groupBy(*keys).agg(F.count("*").alias("area"), F.count_if(F.col("neighbours") < expected).alias("perimeter"))
+
+    def figures(p: batch.Points, sizes: np.ndarray):
+        sides = [3 - (v == 0).astype(int) - (v == K.CANVAS - 1) for v in (p.row, p.col)]
+        outer = batch.neighbours(p) < sides[0] * sides[1] - 1
+        return sizes, np.bincount(p.of[outer], minlength=len(p)) + sizes - p.sizes
+
+    agg = glyphs.select(*keys, _of_glyph({"area": "long", "perimeter": "long"}, figures).alias("s")).select(*keys, "s.*")
     value = F.least(F.lit(1.0), 4.0 * F.pi() * F.col("area") / (F.col("perimeter") * F.col("perimeter")))
     return agg.withColumn("smoothness", F.when(F.col("area") < 4, 0.0).when(F.col("perimeter") == 0, 1.0).otherwise(value))
 
 
+def smoothness(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    return smoothness_of(gather(pixels, keys, "a"), keys)
+
+
 def second_moments(n, sx, sy, sxx, syy, sxy):
     """Central second moments (mu20, mu02, mu11) of sums, given as columns or numbers."""
     return sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
 
 
+MOMENTS = ("sx", "sy", "sxx", "syy", "sxy")
+
+
 def deskew_angle(pixels: DataFrame, keys: list[str], most: float = 30.0) -> DataFrame:
     """Deskew angle in degrees from second central moments, and whether it is applied."""
     x, y = F.col("col"), F.col("row")
-    sums = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
-    agg = pixels.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(v).cast("double").alias(k) for k, v in sums.items()])
-    mu20, mu02, mu11 = second_moments(F.col("n"), *[F.col(k) for k in sums])
+    return _angle(pixels.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(v).cast("double").alias(k) for k, v in zip(MOMENTS, (x, y, x * x, y * y, x * y), strict=True)]), keys, most)
+
+
+def deskew_of(glyphs: DataFrame, keys: list[str], most: float = 30.0) -> DataFrame:
+    """``deskew_angle`` of gathered glyphs."""
+
+    @F.arrow_udf(", ".join(f"{k} double" for k in MOMENTS))
+    def run(a: pa.Array) -> pa.Array:
+        p = batch.points(a, canvas=False)
+        x, y = p.col, p.row
+        return pa.StructArray.from_arrays([pa.array(p.sums(v), pa.float64(), mask=p.sizes == 0) for v in (x, y, x * x, y * y, x * y)], list(MOMENTS))
+
+    sums = glyphs.select(*keys, F.size("a").cast("long").alias("n"), run("a").alias("s"))
+    return _angle(sums.select(*keys, "n", "s.*"), keys, most)
+
+
+def _angle(sums: DataFrame, keys: list[str], most: float) -> DataFrame:
+    mu20, mu02, mu11 = second_moments(F.col("n"), *[F.col(k) for k in MOMENTS])
     angle = F.degrees(0.5 * F.atan2(2 * mu11, mu20 - mu02))
-    out = agg.withColumn("raw", F.when((F.col("n") < 10) | (F.abs(mu20 - mu02) < 1e-5), 0.0).otherwise(angle))
+    out = sums.withColumn("raw", F.when((F.col("n") < 10) | (F.abs(mu20 - mu02) < 1e-5), 0.0).otherwise(angle))
     return out.withColumn("angle", F.when(F.abs("raw") > most, 0.0).otherwise(F.col("raw"))).select(*keys, "n", "raw", "angle")
 
 
@@ -254,17 +355,35 @@ def align(student: DataFrame, template: DataFrame) -> DataFrame:
     """Student pixels moved so that the centroids meet; shifts under one pixel aren't applied.
 
     A pixel moves by the shift rounded to the nearest whole number (halves up) and is
-    dropped if it leaves the canvas.
+    dropped if it leaves the canvas. What is joined is a row for each template, so no pixels
+    are joined to pixels, whose size Spark underestimates.
     """
-    centre = student.groupBy("g", "t").agg(F.sum("row").alias("sr"), F.sum("col").alias("sc"), F.count("*").alias("n"))
-    target = template.groupBy("t").agg(F.sum("row").alias("tr"), F.sum("col").alias("tc"), F.count("*").alias("tn"))
-    shift = centre.join(target, "t")
-    shift = shift.withColumn("dr", F.col("tr") / F.col("tn") - F.col("sr") / F.col("n")).withColumn("dc", F.col("tc") / F.col("tn") - F.col("sc") / F.col("n"))
-    far = F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) >= 1.0
-    step = lambda c: F.when(far, F.floor(F.col(c) + 0.5)).otherwise(0).cast("int")
-    moved = student.join(shift.select("g", "t", step("dr").alias("dr"), step("dc").alias("dc")), ["g", "t"])
-    moved = moved.select("g", "t", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    return moved.where(F.col("row").between(0, K.CANVAS - 1) & F.col("col").between(0, K.CANVAS - 1))
+    moved = pairs(student, template).where(F.size("p") > 0)
+    return moved.select("g", "t", F.inline(aligned_column("a", "p")))
+
+
+def aligned_column(a: Column | str = "a", p: Column | str = "p") -> Column:
+    """``align`` of gathered glyphs."""
+
+    @F.arrow_udf("array<struct<row:int,col:int>>")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        every = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        moved = batch.centred(batch.points(x, canvas=False), batch.points(y, canvas=False), every)
+        rows = pa.StructArray.from_arrays([pa.array(v, pa.int32()) for v in (moved.row, moved.col)], ["row", "col"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, moved.ends), pa.int32()), rows)
+
+    return run(a, p)
+
+
+def totals_column(pixels: Column | str = "a") -> Column:
+    """Number of pixels and sums of their rows and columns."""
+
+    @F.arrow_udf("pixels long, row_sum long, col_sum long")
+    def run(a: pa.Array) -> pa.Array:
+        p = batch.points(a, canvas=False)
+        return pa.StructArray.from_arrays([pa.array(v, pa.int64()) for v in (p.sizes, *(p.sums(v).astype(np.int64) for v in (p.row, p.col)))], ["pixels", "row_sum", "col_sum"])
+
+    return run(pixels)
 
 
 # Grid kernels: sequential by nature, one glyph at a time in Arrow batches ---------
@@ -404,16 +523,38 @@ def _kernel(function, kind: str):
 
 def components_column(pixels: str = "a") -> Column:
     """Sizes of the 8-connected components, largest first."""
-    return _kernel(component_sizes, "array<int>")(pixels)
+
+    @F.arrow_udf("array<int>")
+    def run(a: pa.Array) -> pa.Array:
+        return batch.lists(*batch.component_sizes(batch.points(a)), pa.int32())
+
+    return run(pixels)
 
 
 def loops_column(pixels: str = "a") -> Column:
-    return _kernel(loops, "int")(pixels)
+    @F.arrow_udf("int")
+    def run(a: pa.Array) -> pa.Array:
+        found = [batch.loops(masks) for _, masks in batch.points(a).canvases()]
+        return pa.array(np.concatenate(found) if found else [], pa.int32())
+
+    return run(pixels)
 
 
 def thickness_column(pixels: str = "a") -> Column:
     """[mean, population deviation] of the ink's distance to the background; zeros if empty."""
-    return _kernel(lambda m: [float(d.mean()), float(d.std())] if len(d := background_distance(m)) else [0.0, 0.0], "array<double>")(pixels)
+
+    @F.arrow_udf("array<double>")
+    def run(a: pa.Array) -> pa.Array:
+        found = []
+        for _, masks in batch.points(a).canvases():
+            p, d = batch.background_distances(masks)
+            n = np.maximum(p.sizes, 1)
+            mean = p.sums(d) / n
+            found.append(np.stack([mean, np.sqrt(p.sums((d - mean[p.of]) ** 2) / n)], axis=1))
+        values = np.concatenate(found).ravel() if found else np.zeros(0)
+        return batch.lists(values, np.full(len(values) // 2, 2), pa.float64())
+
+    return run(pixels)
 
 
 def thinned_column(pixels: str = "a") -> Column:
@@ -425,11 +566,12 @@ def pruned_column(pixels: str = "a", rounds: int = 5) -> Column:
 
 
 def ssim_column(a: str = "a", p: str = "p") -> Column:
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([structural_similarity(grid(i), grid(j)) for i, j in zip(x, y, strict=True)])
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        found = [batch.structural_similarities(i, j) for (_, i), (_, j) in zip(batch.points(x).canvases(), batch.points(y).canvases(), strict=True)]
+        return pa.array(np.concatenate(found) if found else [], pa.float64())
 
-    return run(codes(a), codes(p))
+    return run(a, p)
 
 
 def dilate(pixels: DataFrame, keys: list[str], level: str) -> DataFrame:
@@ -441,7 +583,7 @@ def dilate(pixels: DataFrame, keys: list[str], level: str) -> DataFrame:
     return out.where(F.col("row").between(0, K.CANVAS - 1) & F.col("col").between(0, K.CANVAS - 1)).distinct()
 
 
-def largest_fragments(pixels: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
+def kept_column(pixels: str = "a", share: float = 0.3) -> Column:
     """Pixels of the components with at least ``share`` of the largest one's pixels."""
 
     def kept(mask: np.ndarray) -> list[int]:
@@ -449,8 +591,12 @@ def largest_fragments(pixels: DataFrame, keys: list[str], share: float = 0.3) ->
         least = share * max(map(len, parts), default=0)
         return [r * K.CANVAS + c for part in parts if len(part) >= least for r, c in part]
 
-    found = gather(pixels, keys, "a").select(*keys, F.explode(decoded(_kernel(kept, "array<int>")("a"))).alias("q"))
-    return found.select(*keys, "q.row", "q.col")
+    return decoded(_kernel(kept, "array<int>")(pixels))
+
+
+def largest_fragments(pixels: DataFrame, keys: list[str], share: float = 0.3) -> DataFrame:
+    """Pixels of the components with at least ``share`` of the largest one's pixels."""
+    return gather(pixels, keys, "a").select(*keys, F.inline(kept_column("a", share)))
 
 
 def first_glyph_pairs(glyphs: DataFrame, page: Column, order: Column) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from . import ink, sequence
+from . import batch, ink
 
 
 RAW = "same_loops boolean, ssim double, disparity double, hausdorff double, trajectory double, cosine double"
@@ -39,32 +39,38 @@ def glyph_metrics(student: Column | str, skeleton: Column | str) -> Column:
     glyph, and the disparity of one under three pixels, are undefined (999).
     """
 
-    @F.pandas_udf(RAW)
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        nearest, known, rows, left, right = ink._Nearest(), {}, [], [], []
-        for a, p in zip(x, y, strict=True):
-            key = np.asarray(p if p is not None else [], np.int64).tobytes()
-            if key not in known:
-                mask = ink.grid(p)
-                known[key] = mask, ink.loops(mask), sequence.by_angle(np.argwhere(mask))
-            template, loops, curve = known[key]
-            thin = ink.thin(ink.grid(a))
-            moved = centred(thin, template)
-            there, back = np.flatnonzero(moved), np.flatnonzero(template)
-            far = float(np.sqrt(max(nearest(there, back).max(), nearest(back, there).max()))) if len(there) and len(back) else K.UNDEFINED
-            path = sequence.by_angle(np.argwhere(thin))
-            rows.append((ink.loops(thin) == loops, ink.structural_similarity(moved, template), sequence.disparity(curve, sequence.by_angle(np.argwhere(moved))), far, sequence.mean_cosine(path, curve)))
-            left.append(sequence.evenly(curve))
-            right.append(sequence.evenly(path))
-            if len(nearest.maps) > 64:
-                nearest.maps.clear()
-        names = ["same_loops", "ssim", "disparity", "hausdorff", "cosine"]
-        out = pd.DataFrame(rows, columns=names)
-        out["trajectory"] = sequence.banded_dtw_many(left, right)
-        out["cosine"] = out["cosine"].astype("float64")
-        return out[[part.split()[0] for part in RAW.split(", ")]]
-
-    return run(ink.codes(student), ink.codes(skeleton))
+    names = [part.split()[0] for part in RAW.split(", ")]
+
+    @F.arrow_udf(RAW)
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        every, found = (batch.points(z) for z in (x, y)), []
+        for (_, masks), (_, templates) in zip(*(z.canvases(128) for z in every), strict=True):
+            found.append(_metrics(masks, templates))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * len(names)
+        kinds = [pa.bool_()] + [pa.float64()] * (len(names) - 1)
+        return pa.StructArray.from_arrays([pa.array(c, k, mask=np.isnan(c.astype(float))) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return run(student, skeleton)
+
+
+def _metrics(masks: np.ndarray, templates: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The fields of RAW for some glyphs' canvases; NaN stands for null."""
+    thin = batch.thin(masks)
+    first, which = batch.distinct(templates)
+    few = batch.of_masks(templates[first])
+    p, on = batch.of_masks(thin), few.take(which)
+    moved = batch.centred(p, on)
+    canvas = np.zeros_like(masks)
+    canvas[moved.of, moved.row, moved.col] = True
+    there, back = batch.nearest(moved, on, back=True)
+    far = np.maximum(batch.furthest(moved, there), batch.furthest(on, back))
+    far = np.where((moved.sizes > 0) & (on.sizes > 0), np.sqrt(np.maximum(far, 0).astype(float)), K.UNDEFINED)
+    curve, path, shifted = (batch.by_angle(z) for z in (few, p, moved))
+    disparity = batch.disparities(batch.along_curves(curve)[0][which], batch.along_curves(shifted)[0])
+    disparity = np.where(np.minimum(on.sizes, moved.sizes) < 3, K.UNDEFINED, disparity)
+    curve = curve.take(which)
+    trajectory = batch.banded_dtw(batch.evenly(curve), batch.evenly(path))
+    return batch.loops(thin) == batch.loops(templates[first])[which], batch.structural_similarities(canvas, templates), disparity, far, trajectory, batch.mean_cosines(path, curve)
 
 
 def scored(glyphs: DataFrame, level: str = "intermedio") -> DataFrame:

@@ -28,7 +28,7 @@ FIDELITY = f"""{LEVELS}, {NEAREST}, {COVERED},
 
 
 def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ink.pairs(V.ink_student(spark, sf_dir), V.ink_template(spark, sf_dir))
+    return ink.pairs_of(V.ink_glyphs(spark, sf_dir), V.ink_template(spark, sf_dir))
 
 
 @catalogue.add(f"{INK}, {FIDELITY} SELECT g, level, round(mean_error, 6) AS mean_error, round(precision, 6) AS precision, round(coverage, 6) AS coverage, round(0.65 * precision + 0.35 * coverage * 100.0, 6) AS fidelity FROM fidelity")
@@ -71,12 +71,12 @@ NEIGHBOURS = """steps(dr, dc) AS (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-
 
 @catalogue.add(f"{INK}, {NEIGHBOURS} SELECT g, row, col, neighbours FROM near8")
 def ink_neighbors(spark, sf_dir):
-    return ink.neighbours(V.ink_student(spark, sf_dir), ["g"])
+    return ink.neighbours_of(V.ink_glyphs(spark, sf_dir), ["g"])
 
 
 @catalogue.add(f"{INK}, {NEIGHBOURS} SELECT g, count_if(neighbours = 1) AS endpoints, count_if(neighbours >= 3) AS junctions, count_if(neighbours = 0) AS isolated, count(*) AS pixels FROM near8 GROUP BY g")
 def ink_endpoints_junctions(spark, sf_dir):
-    return ink.endpoints_junctions(V.ink_student(spark, sf_dir), ["g"])
+    return ink.endpoints_of(V.ink_glyphs(spark, sf_dir), ["g"])
 
 
 PARTS = f"""WITH RECURSIVE {V.SQL["ink_template"]}, {V.SQL["ink_student"]}, steps(dr, dc) AS (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)),
@@ -88,7 +88,7 @@ PARTS = f"""WITH RECURSIVE {V.SQL["ink_template"]}, {V.SQL["ink_student"]}, step
 @catalogue.add(f"""{PARTS}
     SELECT g, count(*)::INT AS components, max(n)::INT AS largest, round(1.0::DOUBLE / count(*), 6) AS continuity FROM parts GROUP BY g""")
 def ink_components(spark, sf_dir):
-    sizes = glyphs(spark, sf_dir).select("g", ink.components_column("a").alias("s"))
+    sizes = V.ink_glyphs(spark, sf_dir).select("g", ink.components_column("a").alias("s"))
     return sizes.select("g", F.size("s").alias("components"), F.array_max("s").alias("largest"), r6(1.0 / F.size("s")).alias("continuity"))
 
 
@@ -96,21 +96,21 @@ def ink_components(spark, sf_dir):
 def ink_loops(spark, sf_dir):
     """Loops of each student glyph and whether they match the template's."""
     template = ink.gather(V.ink_template(spark, sf_dir), ["t"], "p").select("t", ink.loops_column("p").alias("template_loops"))
-    student = ink.gather(V.ink_student(spark, sf_dir), ["g", "t"], "a").select("g", "t", ink.loops_column("a").alias("loops"))
+    student = V.ink_glyphs(spark, sf_dir).select("g", "t", ink.loops_column("a").alias("loops"))
     return student.join(template, "t").select("g", "t", "loops", "template_loops", (F.col("loops") == F.col("template_loops")).alias("same"))
 
 
 @catalogue.add(f"""{INK} SELECT g, count(*) AS pixels, min(row) AS top, max(row) AS bottom, min(col) AS left, max(col) AS right, round(count(*) / 16384.0::DOUBLE, 6) AS density,
     round(count(*)::DOUBLE / ((max(row) - min(row) + 1) * (max(col) - min(col) + 1)), 6) AS fill FROM ink_student GROUP BY g""")
 def ink_density_bbox(spark, sf_dir):
-    d = ink.density_and_box(V.ink_student(spark, sf_dir), ["g"])
+    d = ink.density_of(V.ink_glyphs(spark, sf_dir), ["g"])
     return d.withColumn("density", r6("density")).withColumn("fill", r6("fill"))
 
 
 @catalogue.add(f"""{INK}, {NEIGHBOURS}, s AS (SELECT g, count(*) AS area, count_if(neighbours < 8) AS perimeter FROM near8 GROUP BY g)
     SELECT g, area, perimeter, round(CASE WHEN area < 4 THEN 0.0 WHEN perimeter = 0 THEN 1.0 ELSE least(1.0, 4.0 * pi() * area / (perimeter * perimeter)) END, 6) AS smoothness FROM s""")
 def ink_smoothness(spark, sf_dir):
-    return ink.smoothness(V.ink_student(spark, sf_dir), ["g"]).withColumn("smoothness", r6("smoothness"))
+    return ink.smoothness_of(V.ink_glyphs(spark, sf_dir), ["g"]).withColumn("smoothness", r6("smoothness"))
 
 
 @catalogue.add(f"""{INK}, offsets AS (SELECT dr, dc FROM range(-8, 9) a(dr), range(-8, 9) b(dc) WHERE dr <> 0 OR dc <> 0),
@@ -118,7 +118,7 @@ def ink_smoothness(spark, sf_dir):
     depth AS (SELECT g, row, col, sqrt(min(d2)) AS d FROM free GROUP BY g, row, col)
     SELECT g, round(avg(d), 6) AS thickness_mean, round(stddev_pop(d), 6) AS thickness_std FROM depth GROUP BY g""")
 def ink_thickness(spark, sf_dir):
-    t = glyphs(spark, sf_dir).select("g", ink.thickness_column("a").alias("t"))
+    t = V.ink_glyphs(spark, sf_dir).select("g", ink.thickness_column("a").alias("t"))
     return t.select("g", r6(F.col("t")[0]).alias("thickness_mean"), r6(F.col("t")[1]).alias("thickness_std"))
 
 
@@ -137,15 +137,15 @@ ALIGN = """centre AS (SELECT g, t, sum(row)::DOUBLE / count(*) AS r, sum(col)::D
 
 @catalogue.add(f"{INK}, {ALIGN} SELECT g, t, count(*) AS pixels, sum(row)::BIGINT AS row_sum, sum(col)::BIGINT AS col_sum FROM moved WHERE row BETWEEN 0 AND 127 AND col BETWEEN 0 AND 127 GROUP BY g, t")
 def ink_align(spark, sf_dir):
-    moved = ink.align(V.ink_student(spark, sf_dir), V.ink_template(spark, sf_dir))
-    return moved.groupBy("g", "t").agg(F.count("*").alias("pixels"), F.sum("row").alias("row_sum"), F.sum("col").alias("col_sum"))
+    moved = glyphs(spark, sf_dir).where(F.size("p") > 0).select("g", "t", ink.totals_column(ink.aligned_column()).alias("s"))
+    return moved.select("g", "t", "s.*").where("pixels > 0")
 
 
 @catalogue.add(f"""{INK}, m AS (SELECT g, count(*) AS n, sum(col)::DOUBLE AS sx, sum(row)::DOUBLE AS sy, sum(col * col)::DOUBLE AS sxx, sum(row * row)::DOUBLE AS syy, sum(col * row)::DOUBLE AS sxy FROM ink_student GROUP BY g),
     a AS (SELECT g, n, CASE WHEN n < 10 OR abs((sxx - sx * sx / n) - (syy - sy * sy / n)) < 1e-5 THEN 0.0 ELSE degrees(0.5 * atan2(2 * (sxy - sx * sy / n), (sxx - sx * sx / n) - (syy - sy * sy / n))) END AS raw FROM m)
     SELECT g, n, round(raw, 6) AS raw, round(CASE WHEN abs(raw) > 30 THEN 0.0 ELSE raw END, 6) AS angle FROM a""")
 def ink_deskew_angle(spark, sf_dir):
-    d = ink.deskew_angle(V.ink_student(spark, sf_dir), ["g"])
+    d = ink.deskew_of(V.ink_glyphs(spark, sf_dir), ["g"])
     return d.select("g", "n", r6("raw").alias("raw"), r6("angle").alias("angle"))
 
 
@@ -165,8 +165,8 @@ def ink_lanes(spark, sf_dir):
     SELECT g, sum(n)::BIGINT AS pixels FROM parts JOIN largest USING (g) WHERE n >= 0.3::DOUBLE * most GROUP BY g""")
 def ink_fragments(spark, sf_dir):
     """Pixels left after fragments under 30 % of the largest are removed."""
-    kept = ink.largest_fragments(V.ink_student(spark, sf_dir), ["g"])
-    return kept.groupBy("g").agg(F.count("*").alias("pixels"))
+    kept = V.ink_glyphs(spark, sf_dir).select("g", ink.kept_column("a").alias("a"))
+    return kept.where(F.size("a") > 0).select("g", F.size("a").cast("long").alias("pixels"))
 
 
 @catalogue.add()
@@ -185,19 +185,14 @@ ORDERED = """ordered AS (SELECT g, t, row, col, n, (row_number() OVER (PARTITION
         FROM (SELECT *, count(*) OVER (PARTITION BY t) AS n, sum(row) OVER (PARTITION BY t) AS sr, sum(col) OVER (PARTITION BY t) AS sc FROM ink_template))"""
 
 
-def _ordered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return sequence.angular_order(V.ink_student(spark, sf_dir), ["g", "t"]), sequence.angular_order(V.ink_template(spark, sf_dir), ["t"])
-
-
 @catalogue.add(f"{INK}, {ORDERED} SELECT g, t, row, col, n, ord FROM ordered")
 def seq_angular_order(spark, sf_dir):
-    return _ordered(spark, sf_dir)[0]
+    return sequence.ordered_rows(V.ink_glyphs(spark, sf_dir), ["g", "t"])
 
 
 @catalogue.add(f"""{INK}, {ORDERED} SELECT o.g, i::INT AS ord, o.row, o.col FROM ordered o, range(32) r(i) WHERE i < least(n, 32) AND o.ord = CASE WHEN n <= 32 THEN i ELSE floor(i * (n - 1) / 31) END""")
 def seq_subsample(spark, sf_dir):
-    s = sequence.subsample(_ordered(spark, sf_dir)[0], ["g"], 32)
-    return s.select("g", F.col("ord").cast("int").alias("ord"), "row", "col")
+    return sequence.subsampled_rows(V.ink_glyphs(spark, sf_dir), ["g"], 32)
 
 
 def _resampled_sql(source: str, key: str, name: str) -> str:
@@ -210,7 +205,7 @@ def _resampled_sql(source: str, key: str, name: str) -> str:
 
 @catalogue.add(f"{INK}, {ORDERED}, {_resampled_sql('ordered', 'g', 'rs')} SELECT g, ord, round(row, 4) AS row, round(col, 4) AS col FROM rs")
 def seq_resample(spark, sf_dir):
-    s = sequence.resample(_ordered(spark, sf_dir)[0], ["g"])
+    s = sequence.resampled_rows(V.ink_glyphs(spark, sf_dir), ["g"])
     return s.select("g", F.col("ord").cast("int").alias("ord"), F.round("row", 4).alias("row"), F.round("col", 4).alias("col"))
 
 
@@ -220,8 +215,8 @@ PROCRUSTES = f"""{_resampled_sql('ordered', 'g', 'rs')}, {_resampled_sql('ordere
 
 
 def _procrustes(spark, sf_dir) -> DataFrame:
-    a, p = _ordered(spark, sf_dir)
-    return sequence.procrustes(sequence.resample(a, ["g", "t"]), sequence.resample(p, ["t"]), ["g"], ["t"])
+    d = glyphs(spark, sf_dir).select("g", sequence.disparity_column().alias("disparity")).where("disparity is not null")
+    return d.withColumn("score", F.greatest(F.lit(0.0), 100.0 - 50.0 * F.col("disparity")))
 
 
 @catalogue.add(f"""{INK}, {ORDERED}, {PROCRUSTES.replace("ink_student.t", "gt.t").replace("(SELECT DISTINCT g, t FROM ink_student) USING", "(SELECT DISTINCT g, t FROM ink_student) gt USING")},
@@ -239,9 +234,8 @@ def _vectors_sql(source: str, key: str, name: str) -> str:
 
 
 def _cosines(spark, sf_dir) -> DataFrame:
-    a, p = _ordered(spark, sf_dir)
-    students = a.select("g").distinct()
-    return sequence.segment_cosine(students, sequence.segment_vectors(a, ["g", "t"]), sequence.segment_vectors(p, ["t"]))
+    m = glyphs(spark, sf_dir).select("g", sequence.cosine_column().alias("mean"))
+    return m.select("g", F.coalesce("mean", F.lit(0.0)).alias("mean_cosine"), F.coalesce((F.col("mean") + 1) / 2 * 100, F.lit(50.0)).alias("score"))
 
 
 @catalogue.add(f"""{INK}, {ORDERED}, {_vectors_sql('ordered', 'g, t', 'va')}, {_vectors_sql('ordered_p', 't', 'vp')},
@@ -252,10 +246,7 @@ def seq_segment_cosine(spark, sf_dir):
 
 
 def _trajectory(spark, sf_dir) -> DataFrame:
-    a, p = _ordered(spark, sf_dir)
-    student = sequence.as_array(sequence.subsample(a, ["g", "t"]), ["g", "t"], "sa")
-    template = sequence.as_array(sequence.subsample(p, ["t"]), ["t"], "sp")
-    return student.join(template, "t").select("g", sequence.trajectory_column(F.col("sp"), F.col("sa")).alias("trajectory"))
+    return glyphs(spark, sf_dir).where(F.size("p") > 0).select("g", sequence.dtw_column("p", "a").alias("trajectory"))
 
 
 @catalogue.add()
@@ -292,9 +283,9 @@ SIMPLE = f"""{INK}, {FIDELITY}, {BACK}, h AS (SELECT g, greatest(there, back) AS
 def _simple(spark, sf_dir) -> DataFrame:
     """The SQL-expressible part of the score: fidelity, coverage and Hausdorff, reweighted."""
     pairs = glyphs(spark, sf_dir)
-    f = ink.fidelity(pairs, {"intermedio": K.TOLERANCE["intermedio"]}).select("g", F.col("fidelity").alias("fid"), (F.col("coverage") * 100.0).alias("cov"))
-    h = ink.hausdorff(pairs).select("g", F.col("score").alias("haus"))
-    rows = f.join(h, "g")
+    f = ink.fidelity(pairs, {"intermedio": K.TOLERANCE["intermedio"]})
+    h = ink.hausdorff(f.select("g", "t", "a", "p", F.struct("fidelity", "coverage").alias("f")), keep=["f"])
+    rows = h.select("g", F.col("f.fidelity").alias("fid"), (F.col("f.coverage") * 100.0).alias("cov"), F.col("score").alias("haus"))
     return rows.withColumn("score", (F.col("fid") * K.WEIGHTS["dt_precision"] + F.col("cov") * K.WEIGHTS["dt_coverage"] + F.col("haus") * K.WEIGHTS["hausdorff"]) / 0.54)
 
 
@@ -320,7 +311,7 @@ def page_avg_score(spark, sf_dir):
     SELECT g, f AS first_g, round(greatest(0.0, 100.0 * (1.0 - avg(greatest(0.0, sqrt(d2) - 5.0)) / 12.0)), 6) AS precision FROM both_ GROUP BY g, f""")
 def page_first_glyph_template(spark, sf_dir):
     """The first glyph of each page of ten is the template of the others."""
-    g = ink.gather(V.ink_student(spark, sf_dir), ["g"], "a").withColumn("page", F.floor(F.col("g") / 10)).withColumn("first_g", F.col("g"))
+    g = V.ink_glyphs(spark, sf_dir).select("g", "a").withColumn("page", F.floor(F.col("g") / 10)).withColumn("first_g", F.col("g"))
     heads = g.groupBy("page").agg(F.min_by(F.struct("g", "a"), "g").alias("f"))
     rows = g.join(heads, "page").where("g <> f.g").select("g", F.col("f.g").alias("first_g"), "a", F.col("f.a").alias("p"), F.lit(0).alias("t"))
     out = ink.fidelity(rows, {"intermedio": K.TOLERANCE["intermedio"]})
