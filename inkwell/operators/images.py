@@ -1,36 +1,99 @@
-"""Image statistics over pixel rows (img, row, col, v) and the rules that follow from them."""
+"""Image statistics over pixel rows (img, row, col, v) and the rules that follow from them.
+
+What needs more of an image than sums sees it gathered: one row (img, pixels), so pixels are
+never joined to pixels, whose size Spark underestimates. An image's pixels lie within its size.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PIXELS = "array<struct<row:int,col:int,v:int>>"
+#: Images looked at together.
+TOGETHER = 256
+
+
+def gather(pixels: DataFrame) -> DataFrame:
+    """(img, pixels): one row per image, for images that have a number."""
+    rows = pixels.where(F.col("img").isNotNull()).groupBy("img")
+    return rows.agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("row", "col", "v")])).alias("pixels"))
+
+
+def _some(array: pa.Array):
+    """A few images at a time: sizes, and rows, columns and values one after the other."""
+    for at in range(0, len(array), TOGETHER):
+        part = array.slice(at, TOGETHER)
+        sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        yield sizes, *(pc.fill_null(f, 0).to_numpy(zero_copy_only=False).astype(np.int64) for f in part.flatten().flatten())
+
+
+SUMS = ("pixels", "s_lap", "q_lap", "s_v", "q_v", "dark", "outer", "middle")
+
+
+def _laplacians(sizes: np.ndarray, row: np.ndarray, col: np.ndarray, v: np.ndarray, size: int):
+    """Image, value and 4-neighbour Laplacian of each pixel that has a neighbour. Copies of a
+    pixel are one, whose neighbours count once for each."""
+    cell = (np.repeat(np.arange(len(sizes)), sizes) * size + row) * size + col
+    total = np.bincount(cell, v, len(sizes) * size * size).astype(np.int64).reshape(-1, size, size)
+    there = np.bincount(cell, minlength=total.size).reshape(total.shape)
+    near = lambda x: (lambda p: p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:])(np.pad(x, ((0, 0), (1, 1), (1, 1)), mode="reflect" if size > 1 else "edge"))
+    around, known = near(total).ravel(), near(there).ravel()
+    copies = 1
+    if there.max(initial=0) > 1:
+        (cell, v), copies = np.unique(np.stack([cell, v]), axis=1, return_counts=True)
+    keep = known[cell] > 0
+    lap = copies * around[cell] - 4 * v
+    return cell[keep] // (size * size), v[keep], lap[keep]
+
 
 def quality(pixels: DataFrame, size: int) -> DataFrame:
     """Per image: blur (variance of the 4-neighbour Laplacian, edges reflected), contrast,
     brightness, ink share, histogram shares and flags."""
-    last = size - 1
-    mirror = lambda c: F.when(c < 0, -c).when(c > last, 2 * last - c).otherwise(c)
-    # Every pixel sends its value to the neighbours that see it, an edge's mirror image too.
-    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    seen = pixels.select("img", "row", "col", F.explode(steps).alias("s")).select("img", "row", "col", mirror(F.col("row") + F.col("s.dr")).alias("r2"), mirror(F.col("col") + F.col("s.dc")).alias("c2"))
-    near = seen.join(pixels.select("img", F.col("row").alias("r2"), F.col("col").alias("c2"), F.col("v").alias("v2")), ["img", "r2", "c2"]).groupBy("img", "row", "col").agg(F.sum("v2").alias("around"))
-    lap = pixels.join(near, ["img", "row", "col"]).withColumn("lap", F.col("around") - 4 * F.col("v"))
-    n = F.count("*")
-    share = lambda c: F.count_if(c) / n
-    v = F.col("v")
-    var = lambda c: F.sum(F.col(c) * F.col(c)).cast("double") / n - (F.sum(c) / n) * (F.sum(c) / n)
-    return lap.groupBy("img").agg(
+    return quality_of(gather(pixels), size)
+
+
+def quality_of(images: DataFrame, size: int) -> DataFrame:
+    """``quality`` of gathered images."""
+
+    @F.arrow_udf(", ".join(f"{n} long" for n in SUMS))
+    def run(array: pa.Array) -> pa.Array:
+        found = [[np.zeros(0, np.int64)] * len(SUMS)]
+        for sizes, row, col, v in _some(array):
+            of, v, lap = _laplacians(sizes, row, col, v, size)
+            add = lambda x: np.bincount(of, x, len(sizes)).astype(np.int64)  # noqa: E731, B023
+            found.append([np.bincount(of, minlength=len(sizes)), add(lap), add(lap * lap), add(v), add(v * v), add(v < 128), add((v < 30) | (v >= 230)), add((v >= 40) & (v < 220))])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], list(SUMS))
+
+    n, c = F.col("pixels"), F.col
+    var = lambda s, q: c(q).cast("double") / n - (c(s) / n) * (c(s) / n)
+    return images.select("img", run("pixels").alias("s")).select("img", "s.*").where("pixels > 0").select(
+        "img",
         n.alias("pixels"),
-        var("lap").alias("blur"),
-        F.sqrt(var("v")).alias("contrast"),
-        (F.sum("v") / n).alias("brightness"),
-        share(v < 128).alias("ink_ratio"),
-        share((v < 30) | (v >= 230)).alias("extremes"),
-        share((v >= 40) & (v < 220)).alias("midtones"),
+        var("s_lap", "q_lap").alias("blur"),
+        F.sqrt(var("s_v", "q_v")).alias("contrast"),
+        (c("s_v") / n).alias("brightness"),
+        (c("dark") / n).alias("ink_ratio"),
+        (c("outer") / n).alias("extremes"),
+        (c("middle") / n).alias("midtones"),
     )
 
 
+def _percentiles(v: np.ndarray, sizes: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+    """Percentiles of each image's values, between two of them in proportion; NaN if there are none."""
+    v = v[np.lexsort((v, np.repeat(np.arange(len(sizes)), sizes)))]
+    start, out = np.cumsum(sizes) - sizes, np.full((len(shares), len(sizes)), np.nan)
+    some = sizes > 0
+    for k, share in enumerate(shares):
+        at = (sizes[some] - 1) * share
+        lower, upper = np.floor(at), np.ceil(at)
+        low, high = (v[start[some] + i.astype(np.int64)].astype(float) for i in (lower, upper))
+        out[k, some] = np.where(low == high, low, (upper - at) * low + (at - lower) * high)
+    return out
+
 def is_digital() -> Column:
     """Rendered rather than photographed, by blur, contrast and histogram."""
     c = F.col
@@ -82,9 +145,25 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 def percentile_threshold(pixels: DataFrame, share: float = 0.45) -> DataFrame:
     """p10 + share x (p90 - p10) per image, and the pixels under it."""
-    p = pixels.groupBy("img").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
-    p = p.select("img", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p90"), (F.col("p")[0] + share * (F.col("p")[1] - F.col("p")[0])).alias("threshold"))
-    return pixels.join(p, "img").groupBy("img", "p10", "p90", "threshold").agg(F.count_if(F.col("v") < F.col("threshold")).alias("ink"))
+    return percentile_threshold_of(gather(pixels), share)
+
+
+def percentile_threshold_of(images: DataFrame, share: float = 0.45) -> DataFrame:
+    """``percentile_threshold`` of gathered images."""
+    names = ["p10", "p90", "threshold", "ink"]
+
+    @F.arrow_udf("p10 double, p90 double, threshold double, ink long")
+    def run(array: pa.Array) -> pa.Array:
+        found = [[np.zeros(0)] * len(names)]
+        for sizes, _, _, v in _some(array):
+            low, high = _percentiles(v, sizes, (0.1, 0.9))
+            threshold = low + share * (high - low)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            found.append([low, high, threshold, np.bincount(of[v < threshold[of]], minlength=len(sizes))])
+        kinds = [pa.float64()] * 3 + [pa.int64()]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c).astype(k.to_pandas_dtype()), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
+    return images.where(F.size("pixels") > 0).select("img", run("pixels").alias("s")).select("img", "s.*")
 
 
 def polarity(pixels: DataFrame, size: int) -> DataFrame:
@@ -101,10 +180,26 @@ def polarity(pixels: DataFrame, size: int) -> DataFrame:
 def whiten(pixels: DataFrame, target: float = 245.0) -> DataFrame:
     """Values scaled so that the 90th percentile meets ``target``; images with p90 - p10
     under 30 are left alone."""
-    p = pixels.groupBy("img").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.9))).alias("p"))
-    rows = pixels.join(p, "img")
-    scaled = F.least(F.lit(255), F.floor(F.col("v") * target / F.greatest(F.col("p")[1], F.lit(1.0))).cast("int"))
-    return rows.withColumn("v", F.when(F.col("p")[1] - F.col("p")[0] < 30, F.col("v")).otherwise(scaled)).drop("p")
+    return whiten_of(gather(pixels), target)
+
+
+def whiten_of(images: DataFrame, target: float = 245.0) -> DataFrame:
+    """``whiten`` of gathered images: a row for each pixel."""
+
+    @F.arrow_udf(PIXELS)
+    def run(array: pa.Array) -> pa.Array:
+        parts = [np.zeros(0, np.int64)]
+        for sizes, _, _, v in _some(array):
+            low, high = _percentiles(v, sizes, (0.1, 0.9))
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            scaled = np.minimum(255, np.floor(v * target / np.maximum(high, 1.0)[of])).astype(np.int64)
+            parts.append(np.where((high - low < 30)[of], v, scaled))
+        sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+        row, col, _ = array.flatten().flatten()
+        rows = pa.StructArray.from_arrays([row, col, pa.array(np.concatenate(parts), pa.int32())], ["row", "col", "v"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), rows)
+
+    return images.select("img", F.inline(run("pixels")))
 
 
 def transpose_flip(pixels: DataFrame) -> DataFrame:

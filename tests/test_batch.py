@@ -99,6 +99,7 @@ def moves_pixels(plan: str, key: str) -> list[str]:
 #: Query and key of the table whose rows are glyphs or images.
 GATHERED = [
     ("ink_align", "p_partkey"),
+    ("percentile_threshold", "s_suppkey"),
 ]
 
 
