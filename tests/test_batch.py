@@ -100,6 +100,7 @@ def moves_pixels(plan: str, key: str) -> list[str]:
 GATHERED = [
     ("ink_align", "p_partkey"),
     ("percentile_threshold", "s_suppkey"),
+    ("seq_subsample", "p_partkey"),
 ]
 
 
