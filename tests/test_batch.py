@@ -101,6 +101,7 @@ GATHERED = [
     ("ink_align", "p_partkey"),
     ("percentile_threshold", "s_suppkey"),
     ("seq_subsample", "p_partkey"),
+    ("digital_flag", "s_suppkey"),
 ]
 
 
