@@ -102,6 +102,7 @@ GATHERED = [
     ("percentile_threshold", "s_suppkey"),
     ("seq_subsample", "p_partkey"),
     ("digital_flag", "s_suppkey"),
+    ("pixel_quality", "s_suppkey"),
 ]
 
 
