@@ -103,6 +103,8 @@ GATHERED = [
     ("seq_subsample", "p_partkey"),
     ("digital_flag", "s_suppkey"),
     ("pixel_quality", "s_suppkey"),
+    ("score_feedback", "p_partkey"),
+    ("score_final", "p_partkey"),
 ]
 
 
