@@ -105,6 +105,7 @@ GATHERED = [
     ("pixel_quality", "s_suppkey"),
     ("score_feedback", "p_partkey"),
     ("score_final", "p_partkey"),
+    ("seq_dtw", "p_partkey"),
 ]
 
 
