@@ -20,8 +20,8 @@ add = catalogue.add
 
 def _pictures(spark, sf_dir):
     """(g, content): each student glyph's ink, widened, as a PNG."""
-    wide = ink.dilate(V.ink_student(spark, sf_dir), ["g", "t"], "intermedio")
-    return ink.gather(wide, ["g", "t"], "a").select("g", F.size("a").alias("ink"), raster.rendered_column("a").alias("content"))
+    drawn = V.ink_glyphs(spark, sf_dir).select("g", raster.drawn_column("a").alias("d"))
+    return drawn.where("d.ink > 0").select("g", "d.ink", "d.content")
 
 
 @add(f"""WITH {V.SQL["ink_student"]}, d AS (SELECT i AS x FROM range(-2, 3) s(i)),

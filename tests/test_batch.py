@@ -10,6 +10,8 @@ import pytest
 import __spark_entry__
 from inkwell import constants as K
 from inkwell.operators import batch, ink, sequence
+from inkwell.operators import raster as R
+from inkwell.operators import words as W
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,6 +108,9 @@ GATHERED = [
     ("score_feedback", "p_partkey"),
     ("score_final", "p_partkey"),
     ("seq_dtw", "p_partkey"),
+    ("image_normalized", "p_partkey"),
+    ("image_quality", "p_partkey"),
+    ("image_round_trip", "p_partkey"),
 ]
 
 
@@ -131,3 +136,58 @@ def test_odd_parts_give_the_rows_of_the_sql(spark, tmp_path, name):
         want, df = [r for r in want if r[0] < 1000], df.where("g < 1000")
     norm = lambda rows: sorted(tuple((v is None, round(float(v), 5) if v is not None else 0) for v in r) for r in rows)
     assert norm(map(tuple, df.collect())) == norm(want)
+
+
+def test_whiten_joins_no_pixels(spark):
+    query = __spark_entry__.queries()["whiten"](spark, SF)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "s_suppkey" in plan and "Join" not in plan
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW supplier AS FROM '{SF}/supplier.parquet'")
+    assert sorted(map(tuple, query.collect())) == sorted(want.execute(__spark_entry__.oracle_sql()["whiten"]).fetchall())
+
+
+def test_masks_by_runs_match_a_search():
+    for mask in (*some_masks(), np.random.default_rng(2).random((37, 90)) < 0.4):
+        parts = ink._search(mask, batch.EIGHT)
+        found = R.parts_of(mask)
+        assert sorted(found.sizes[found.sizes > 0].tolist()) == sorted(map(len, parts))
+        kept = np.zeros_like(mask)
+        for part in parts:
+            if len(part) >= 9 or len(part) == max(map(len, parts)):
+                kept[tuple(np.array(part).T)] = True
+        assert (R.keep_components(mask, 9, True) == kept).all()
+        for degrees in (-29.5, 3.0, 17.3):
+            assert (R.turned(mask, degrees) == (R.rotate(np.where(mask, 255, 0).astype(np.uint8), degrees) > 127)).all()
+
+
+def test_filters_by_matrix_match_a_convolution(monkeypatch):
+    img = np.random.default_rng(3).integers(0, 256, (40, 23)).astype(np.uint8)
+    plain = lambda k: np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), 0, np.pad(img.astype(float), ((len(k) // 2,) * 2, (0, 0)), mode="reflect"))
+    kernel = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
+    want = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), 1, np.pad(plain(kernel), ((0, 0), (2, 2)), mode="reflect"))
+    for side in (R.MATRIX_SIDE, 0):
+        monkeypatch.setattr(R, "MATRIX_SIDE", side)
+        assert np.allclose(R._along(img, kernel), want)
+
+
+def test_small_and_large_lexicons_give_the_same_words(spark, monkeypatch):
+    """Looked up where the words are, or joined."""
+    alike = {"a": "á", "o": "0", "t": "r", "n": "ñ"}
+    rows = []
+    for k, word in enumerate(("casa", "cosa", "tó", "a", "nino", "zzq", "Gato")):
+        for i, ch in enumerate(word):
+            rows.append((k, 0, 0, i, [(ch, 0.6), (alike.get(ch, "e"), 0.3), ("i", 0.004)]))
+    chars = spark.createDataFrame(rows, "page_id int, line int, word int, pos int, top array<struct<ch:string,p:double>>")
+    lexicon = spark.createDataFrame([("cesa",), ("ta",), ("niño",), ("gato",), ("é",), (None,)], "entry string")
+    run = lambda: sorted(map(tuple, W.correct(W.gather(W.read_characters(chars)), lexicon).select("page_id", "raw_word", "word_text", "correction_method").collect()))
+    small = run()
+    monkeypatch.setattr(W, "SMALL_LEXICON", 0)
+    assert run() == small and {r[3] for r in small} > {"dictionary"}
+
+
+def test_words_and_pages_take_one_shuffle_of_boxes(spark):
+    """Only the line items are dealt by page, and words once more for the pages."""
+    for name, most in (("page_words", 1), ("page_recognition", 2)):
+        plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"\bExchange\b", plan)) == most and "Join" not in plan
