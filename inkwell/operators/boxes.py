@@ -208,9 +208,9 @@ def lines_first_fit(boxes: DataFrame, ratio: float = K.LINE_TOLERANCE, least: fl
 def words(ordered: DataFrame, keys: list[str], gap: float = K.WORD_GAP, order: str = "ord") -> DataFrame:
     """Word number from 0 within each line: a new one after a gap of over 1.5 median widths."""
     w = Window.partitionBy(*keys).orderBy(order)
-    median = F.percentile(F.col("x2") - F.col("x1"), 0.5)
-    limits = ordered.groupBy(*keys).agg((median * gap).alias("limit"))
-    rows = ordered.join(limits, keys)
+    median = F.percentile(F.col("x2") - F.col("x1"), 0.5).over(Window.partitionBy(*keys))
+    # A line without its key is left out.
+    rows = ordered.dropna(subset=keys).withColumn("limit", median * gap)
     rows = rows.withColumn("new", (F.col("x1") - F.lag("x2").over(w) > F.col("limit")).cast("int"))
     return rows.withColumn("word", F.coalesce(F.sum("new").over(w), F.lit(0)).cast("int")).drop("new", "limit")
 

@@ -83,6 +83,40 @@ def variants(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return single.unionByName(double).distinct()
 
 
+def _offers(ch: str, alternatives) -> list[str]:
+    """What may stand in a letter's place, as in ``variants``."""
+    lower = ch.lower()
+    found = [a["ch"] for a in alternatives if a["p"] is not None and a["p"] > 0.005]
+    found.append(BASES.get(ch))
+    if ch in O.LETTERS:
+        found.append(ch.upper() if ch == lower else lower)
+    found += [a if ch == lower else a.upper() for a, b in zip(K.ACCENTED_LOWER, K.BASE_LOWER, strict=True) if b == lower and b in "aeiou"]
+    return [a for a in found if a is not None and a != ch]
+
+
+BASES = dict(zip(O.ACCENTED, O.BASES, strict=True))
+
+
+def _variants_of(word: str, chars) -> set[str]:
+    """``variants`` of one word."""
+    put = lambda w, i, a: w[:i] + a + w[i + 1 :]
+    out = {put(word, i, a) for i, c in enumerate(chars) if c["ch"] is not None for a in _offers(c["ch"], c["alternatives"])}
+    if len(chars) <= 8:
+        best = [[a["ch"] for a in c["alternatives"][:3] if a["ch"] is not None] for c in chars]
+        for i, here in enumerate(best):
+            for a in here:
+                first = put(word, i, a)
+                out.update(put(first, j, b) for j in range(i + 1, len(best)) for b in best[j])
+    return out
+
+
+def _best_entry(word: str, chars, known: set[str]) -> str | None:
+    """The variant in the lexicon that agrees with the word in most places, the first of equals."""
+    low = word.lower()
+    hits = [v for v in _variants_of(word, chars) if v.lower() in known]
+    return min(hits, key=lambda v: (-sum(a == b for a, b in zip(low, v.lower(), strict=False)), v)) if hits else None
+
+
 def _fix_sequence(word: str, chars) -> str | None:
     """The word with the least certain letter of its first impossible run replaced."""
     bad = set(K.impossible_sequences())
@@ -103,11 +137,42 @@ def _fix_sequence(word: str, chars) -> str | None:
 def _sequence_fix(words: str, chars: str) -> Column:
     @F.pandas_udf("string")
     def run(words: pd.Series, chars: pd.Series) -> pd.Series:
-        return pd.Series([_fix_sequence(w, c) if w is not None and len(w) == len(c) else None for w, c in zip(words, chars, strict=True)], dtype=object)
+        return pd.Series([_fix_sequence(w, c) if w is not None and c is not None and len(w) == len(c) else None for w, c in zip(words, chars, strict=True)], dtype=object)
+
+    return run(words, chars)
+
+
+#: Entries of a lexicon up to which it is sent to every task.
+SMALL_LEXICON = 100_000
+
+
+def _best_entries(words: str, chars: str, known: set[str]) -> Column:
+    @F.pandas_udf("known boolean, best string")
+    def run(words: pd.Series, chars: pd.Series) -> pd.DataFrame:
+        found = [(w is not None and w.lower() in known, None if c is None else _best_entry(w, c, known)) for w, c in zip(words, chars, strict=True)]
+        return pd.DataFrame(found, columns=["known", "best"]).astype({"best": object})
 
     return run(words, chars)
 
 
+def _looked_up(words: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
+    """Words of two letters or more with ``_e``, whether they are in the lexicon (null if not),
+    and ``_v``, their best variant in it. A small lexicon is looked up where the words are;
+    variants are joined to a larger one."""
+    known = lexicon.select(F.lower(F.col("_e")).alias("_e")).where("_e is not null").distinct()
+    some = known.limit(SMALL_LEXICON + 1).collect()
+    if len(some) <= SMALL_LEXICON:
+        # One letter is never corrected, so its alternatives stay behind.
+        long_ = F.when(F.length("raw_word") >= 2, F.col("chars"))
+        rows = words.withColumn("_f", _best_entries("raw_word", long_, {r[0] for r in some}))
+        return rows.withColumns({"_e": F.when(F.col("_f.known"), F.lower("raw_word")), "_v": F.col("_f.best")}).drop("_f")
+    hits = variants(words.where(F.length("raw_word") >= 2), keys).join(known, F.lower("variant") == F.col("_e"), "left_semi")
+    letters = lambda c: F.split(F.lower(c), "")
+    agree = F.aggregate(F.zip_with(letters("raw_word"), letters("variant"), lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
+    best = hits.groupBy(*keys).agg(F.min(F.struct((-agree).alias("o"), "variant")).alias("_m")).select(*keys, F.col("_m.variant").alias("_v"))
+    return words.join(known, F.lower("raw_word") == F.col("_e"), "left").join(best, keys, "left")
+
+
 def correct(words: DataFrame, lexicon: DataFrame, kind: str = "letter", keys: list[str] | None = None, entry: str = "entry") -> DataFrame:
     """Adds word, corrected and correction_method: dictionary first, then the sequence fix.
 
@@ -115,15 +180,10 @@ def correct(words: DataFrame, lexicon: DataFrame, kind: str = "letter", keys: li
     order of equals.
     """
     keys = keys or KEYS
-    known = lexicon.select(F.lower(F.col(entry)).alias("_e")).distinct()
-    hits = variants(words, keys).join(known, F.lower("variant") == F.col("_e"), "left_semi")
-    letters = lambda c: F.split(F.lower(c), "")
-    agree = F.aggregate(F.zip_with(letters("raw_word"), letters("variant"), lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
-    best = hits.groupBy(*keys).agg(F.min(F.struct((-agree).alias("o"), "variant")).alias("_m")).select(*keys, F.col("_m.variant").alias("_v"))
-    rows = words.join(known, F.lower("raw_word") == F.col("_e"), "left").join(best, keys, "left")
+    rows = _looked_up(words, lexicon.select(F.col(entry).alias("_e")), keys)
     usable = (F.length("raw_word") >= 2) & F.lit(kind in ("letter", "mixed"))
     by_lexicon = F.when(usable & F.col("_e").isNull() & (F.lower("_v") != F.lower("raw_word")), F.col("_v"))
-    rows = rows.withColumn("_d", by_lexicon).withColumn("_s", F.when(F.length("raw_word") >= 2, _sequence_fix("raw_word", "chars")))
+    rows = rows.withColumn("_d", by_lexicon).withColumn("_s", F.when(F.length("raw_word") >= 2, _sequence_fix("raw_word", F.when(F.length("raw_word") >= 2, F.col("chars")))))
     method = F.when(F.col("_d").isNotNull(), "dictionary").when(F.col("_s").isNotNull() & (F.col("_s") != F.col("raw_word")), "sequence_fix").otherwise("none")
     rows = rows.withColumn("correction_method", method)
     word = F.when(method == "dictionary", F.col("_d")).when(method == "sequence_fix", F.col("_s")).otherwise(F.col("raw_word"))
@@ -132,5 +192,6 @@ def correct(words: DataFrame, lexicon: DataFrame, kind: str = "letter", keys: li
 
 def page_results(words: DataFrame) -> DataFrame:
     """Per page: the text, its lines, word and character counts, and mean confidence."""
-    line = words.groupBy("page_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "word_text"))), lambda x: x["word_text"]), " ").alias("text"), F.count("*").alias("word_count"), F.sum("n").alias("char_count"), F.sum(F.col("confidence") * F.col("n")).alias("_c"))
+    # Dealt by page, lines and pages are both made where their words are.
+    line = words.repartition("page_id").groupBy("page_id", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word", "word_text"))), lambda x: x["word_text"]), " ").alias("text"), F.count("*").alias("word_count"), F.sum("n").alias("char_count"), F.sum(F.col("confidence") * F.col("n")).alias("_c"))
     return line.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("lines"), F.sum("word_count").alias("words"), F.sum("char_count").alias("chars"), (F.sum("_c") / F.sum("char_count")).alias("avg_confidence"))
