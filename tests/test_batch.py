@@ -111,6 +111,7 @@ GATHERED = [
     ("image_normalized", "p_partkey"),
     ("image_quality", "p_partkey"),
     ("image_round_trip", "p_partkey"),
+    ("ink_smoothness", "p_partkey"),
 ]
 
 
