@@ -112,6 +112,7 @@ GATHERED = [
     ("image_quality", "p_partkey"),
     ("image_round_trip", "p_partkey"),
     ("ink_smoothness", "p_partkey"),
+    ("ink_endpoints_junctions", "p_partkey"),
 ]
 
 
