@@ -113,6 +113,7 @@ GATHERED = [
     ("image_round_trip", "p_partkey"),
     ("ink_smoothness", "p_partkey"),
     ("ink_endpoints_junctions", "p_partkey"),
+    ("ink_neighbors", "p_partkey"),
 ]
 
 
