@@ -114,6 +114,7 @@ GATHERED = [
     ("ink_smoothness", "p_partkey"),
     ("ink_endpoints_junctions", "p_partkey"),
     ("ink_neighbors", "p_partkey"),
+    ("ink_ssim", "p_partkey"),
 ]
 
 
