@@ -115,6 +115,7 @@ GATHERED = [
     ("ink_endpoints_junctions", "p_partkey"),
     ("ink_neighbors", "p_partkey"),
     ("ink_ssim", "p_partkey"),
+    ("ink_density_bbox", "p_partkey"),
 ]
 
 
