@@ -116,6 +116,7 @@ GATHERED = [
     ("ink_neighbors", "p_partkey"),
     ("ink_ssim", "p_partkey"),
     ("ink_density_bbox", "p_partkey"),
+    ("ink_deskew_angle", "p_partkey"),
 ]
 
 
