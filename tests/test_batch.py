@@ -117,6 +117,7 @@ GATHERED = [
     ("ink_ssim", "p_partkey"),
     ("ink_density_bbox", "p_partkey"),
     ("ink_deskew_angle", "p_partkey"),
+    ("seq_angular_order", "p_partkey"),
 ]
 
 
