@@ -118,6 +118,7 @@ GATHERED = [
     ("ink_density_bbox", "p_partkey"),
     ("ink_deskew_angle", "p_partkey"),
     ("seq_angular_order", "p_partkey"),
+    ("seq_procrustes", "p_partkey"),
 ]
 
 
