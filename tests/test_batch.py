@@ -119,6 +119,7 @@ GATHERED = [
     ("ink_deskew_angle", "p_partkey"),
     ("seq_angular_order", "p_partkey"),
     ("seq_procrustes", "p_partkey"),
+    ("seq_resample", "p_partkey"),
 ]
 
 
