@@ -120,6 +120,7 @@ GATHERED = [
     ("seq_angular_order", "p_partkey"),
     ("seq_procrustes", "p_partkey"),
     ("seq_resample", "p_partkey"),
+    ("seq_segment_cosine", "p_partkey"),
 ]
 
 
