@@ -121,6 +121,7 @@ GATHERED = [
     ("seq_procrustes", "p_partkey"),
     ("seq_resample", "p_partkey"),
     ("seq_segment_cosine", "p_partkey"),
+    ("ink_thickness", "p_partkey"),
 ]
 
 
