@@ -122,6 +122,7 @@ GATHERED = [
     ("seq_resample", "p_partkey"),
     ("seq_segment_cosine", "p_partkey"),
     ("ink_thickness", "p_partkey"),
+    ("score_band", "p_partkey"),
 ]
 
 
