@@ -123,6 +123,7 @@ GATHERED = [
     ("seq_segment_cosine", "p_partkey"),
     ("ink_thickness", "p_partkey"),
     ("score_band", "p_partkey"),
+    ("ink_dt_fidelity", "p_partkey"),
 ]
 
 
