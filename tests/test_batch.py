@@ -124,6 +124,7 @@ GATHERED = [
     ("ink_thickness", "p_partkey"),
     ("score_band", "p_partkey"),
     ("ink_dt_fidelity", "p_partkey"),
+    ("ink_components", "p_partkey"),
 ]
 
 
