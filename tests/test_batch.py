@@ -125,6 +125,7 @@ GATHERED = [
     ("score_band", "p_partkey"),
     ("ink_dt_fidelity", "p_partkey"),
     ("ink_components", "p_partkey"),
+    ("ink_heat_zones", "p_partkey"),
 ]
 
 
